@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, language
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
+QUERIES = {
+    "op2_language_id": language.op2_language_id,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+}
 
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}

@@ -109,3 +109,33 @@ def words(text: pa.Array) -> Words:
     count = np.bincount(doc, minlength=len(offsets) - 1)
     first = np.cumsum(count) - count
     return Words(buf, offsets, start, end, doc, count, first)
+
+
+class WordRows:
+    """Numbers distinct words 0, 1, .. in the order in which ``learn`` is told of them. Kept by a Python worker from task
+    to task; it starts anew beyond ``limit`` words, so memory is bounded whatever the corpus."""
+
+    def __init__(self, learn, forget, limit: int = 1_000_000):
+        self.learn, self.forget, self.limit = learn, forget, limit
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __call__(self, w: Words) -> np.ndarray:
+        """The number of each word of a block."""
+        h = w.hashes()
+        known, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) + len(known) > self.limit:
+            self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.forget()
+        at = np.searchsorted(self.keys, known)
+        new = np.ones(len(known), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != known[inside]
+        if new.any():
+            self.learn([w.text(i) for i in first[new]])
+            n = len(self.keys)
+            keys = np.concatenate([self.keys, known[new]])
+            rows = np.concatenate([self.rows, np.arange(n, n + int(new.sum()))])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.rows = keys[order], rows[order]
+            at = np.searchsorted(self.keys, known)
+        return self.rows[at[np.minimum(back, len(at) - 1)]] if len(at) else np.zeros(0, np.int64)
