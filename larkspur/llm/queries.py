@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language
+from . import exact_dedup, language, near_dup
 
 QUERIES = {
+    "op1_near_dedup": near_dup.op1_near_dedup,
     "op2_language_id": language.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }

@@ -27,12 +27,14 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    y = x >> np.uint64(30)
+    x = x ^ y
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    np.right_shift(x, np.uint64(27), out=y)
+    x ^= y
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    np.right_shift(x, np.uint64(31), out=y)
+    x ^= y
     return x
 
 
