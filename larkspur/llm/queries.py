@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, near_dup
+from . import exact_dedup, language, near_dup, packing, pii
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
     "op2_language_id": language.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_pii": pii.op5_pii,
 }
 
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
