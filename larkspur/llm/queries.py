@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, near_dup, packing, pii, repeats
+from . import exact_dedup, language, near_dup, packing, pii, quality, repeats
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_pii": pii.op5_pii,
+    "op7_quality": quality.op7_quality,
     "op8_substring_dedup": repeats.op8_substring_dedup,
 }
 
