@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, near_dup, packing, pii, quality, repeats
+from . import exact_dedup, language, near_dup, packing, pieces, pii, quality, repeats, shards
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_pii": pii.op5_pii,
+    "op6_sharding": shards.op6_sharding,
     "op7_quality": quality.op7_quality,
     "op8_substring_dedup": repeats.op8_substring_dedup,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
 }
 
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
