@@ -1,7 +1,7 @@
 """Long passages that repeat across documents, by recompression.
 
-A first scan parses each document into locally consistent symbols and stands one symbol for each run of windows (see
-recompress.anchors). Spark groups the runs: by symbol and the hash of all words that the run covers, which settles runs
+A scan parses each document into locally consistent symbols and stands one symbol for each run of windows (see
+recompress.anchors). Runs whose symbol only one document has are done. Spark groups the others: by symbol and the hash of all words that the run covers, which settles runs
 that are equal as a whole, however many documents have them; and by symbol, which leaves the runs whose symbol two
 documents share with different surroundings. Only the latter's windows are hashed one by one (128 bits) and grouped.
 
@@ -82,13 +82,16 @@ def _windows(window: int):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc, start, end) word ranges covered by windows whose words also start in a document with a smaller id."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
-    runs = staged(texts.mapInArrow(_runs(window), "symbol long, region long, doc long, at int, n int"), "runs")
+    runs = texts.mapInArrow(_runs(window), "symbol long, region long, doc long, at int, n int")  # cheaper to make twice than to keep
+    ends = runs.groupBy("symbol").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    shared = staged(ends.where("lo < hi").select("symbol"), "symbols")
+    runs = staged(runs.join(shared, "symbol", "left_semi"), "runs")
     regions = staged(runs.groupBy("symbol", "region").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "regions")
     symbols = regions.groupBy("symbol").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("symbol", F.lit(True).alias("open"))
     marked = regions.join(symbols, "symbol", "left").where("open OR n > 1").select("symbol", "region", "first", F.coalesce("open", F.lit(False)).alias("open"))
     told = staged(runs.join(marked, ["symbol", "region"]).where("doc > first OR open").select("doc", "at", "n", (F.col("doc") > F.col("first")).alias("known")), "told")
-    free(docs.sparkSession, runs)
-    free(docs.sparkSession, regions)
+    for x in (shared, runs, regions):
+        free(docs.sparkSession, x)
     open_ = told.where("NOT known").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     windows = staged(texts.join(open_, "doc").mapInArrow(_windows(window), "h1 long, h2 long, doc long, at int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
