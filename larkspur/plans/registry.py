@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "flagship"
+from . import graph, popularity, ranking, sessions, splits, text, vectors  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "flagship_recommendations"
