@@ -1 +1,77 @@
-"""Queries."""
+"""Text keys, hashes and page rules over documents, parts and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import hashing as H
+from ..functions import text as T
+from ..operators import clean as C
+from ..sources.html import tracklists
+from ..sources.tables import catalog, table
+from .base import query
+
+
+def _docs(s, d):
+    return table(s, d, "documents")
+
+
+query("f1_text_key", r"SELECT p_partkey AS item, lower(p_brand) || chr(31) || trim(regexp_replace(lower(p_name), '\s+', ' ', 'g')) AS key FROM part")(
+    lambda s, d: catalog(s, d).select("item", T.track_key(F.col("artist"), F.col("title")).alias("key"))
+)
+
+
+@query("f2_folded_keys")
+def _folded(s, d):
+    return _docs(s, d).select("doc_id", F.md5(T.folded_key(F.col("text")).cast("binary")).alias("folded"), F.md5(T.match_key(F.col("text")).cast("binary")).alias("matched"))
+
+
+query("f7_token_text", r"SELECT p_partkey AS item, trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', ' ', 'g')) AS tokens FROM part")(
+    lambda s, d: catalog(s, d).select("item", T.token_text(F.concat_ws(" ", "artist", "title")).alias("tokens"))
+)
+
+query(
+    "f5_song_family",
+    """WITH t AS (SELECT p_partkey AS item, p_brand AS artist, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' - Live' WHEN 2 THEN p_name || ' (2011 Remaster)' ELSE upper(p_name) || ' (Acoustic)' END AS title, p_name FROM part)
+    SELECT lower(artist) || chr(31) || lower(p_name) AS family, count(*) AS versions, min(item) AS first_item FROM t GROUP BY 1""",
+)(lambda s, d: _families(s, d))
+
+
+def _families(s, d):
+    t = F.col("title")
+    m = F.col("item") % 4
+    v = F.when(m == 0, t).when(m == 1, F.concat(t, F.lit(" - Live"))).when(m == 2, F.concat(t, F.lit(" (2011 Remaster)"))).otherwise(F.concat(F.upper(t), F.lit(" (Acoustic)")))
+    return catalog(s, d).groupBy(T.song_key(F.col("artist"), v).alias("family")).agg(F.count("*").alias("versions"), F.min("item").alias("first_item"))
+
+
+@query("f9_fnv1a")
+def _fnv(s, d):
+    return catalog(s, d).select("item", H.fnv1a(F.col("title")).alias("hash"), H.subword_ids(F.col("title")).alias("subwords"))
+
+
+query("p2_name_length", "SELECT c_custkey, length(c_name) AS n FROM customer WHERE length(c_name) <= 200")(lambda s, d: table(s, d, "customer").select("c_custkey", F.length("c_name").alias("n")).where("n <= 200"))
+
+query("p12_reject_report", "SELECT 'ok' AS code, count(*) AS n FROM part")(lambda s, d: C.reject_report(catalog(s, d)))
+
+query(
+    "p9_url_parts",
+    r"""SELECT page_id, starts_with(url, 'https://') AS https, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1) AS section,
+    CAST(nullif(regexp_extract(url, '[?&]page=(\d+)', 1), '') AS BIGINT) AS page FROM pages""",
+)(lambda s, d: C.url_parts(table(s, d, "pages")))
+
+query(
+    "p10_page_class",
+    r"""SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '\b404\b|not found') THEN 'not_found'
+    WHEN regexp_matches(lower(html), 'not available in your (?:country|region)') THEN 'blocked' ELSE 'ok' END AS status FROM pages""",
+)(lambda s, d: C.page_class(table(s, d, "pages")))
+
+
+@query("s7_html_lists")
+def _lists(s, d):
+    """With navigation, as the given pages have lists nowhere else."""
+    return tracklists(table(s, d, "pages"), skipped=frozenset({"script", "style"}))
+
+
+query("s15_fingerprint", "SELECT count(*) AS n, sum(CAST('0x' || substr(sha256(doc_id || ':' || text), 1, 8) AS UBIGINT))::DOUBLE AS digest FROM documents")(
+    lambda s, d: _docs(s, d).agg(F.count("*").alias("n"), F.sum(H.hex_prefix(F.concat_ws(":", "doc_id", "text"))).cast("double").alias("digest"))
+)

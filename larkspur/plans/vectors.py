@@ -1 +1,99 @@
-"""Queries."""
+"""Vector queries over the embeddings; queries are the rows whose id is divisible by 100."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vector as Q
+from ..operators import vectors as V
+from ..sources.tables import vectors
+from .base import query
+
+DOT = "(SELECT sum(CAST(u.a AS DOUBLE) * CAST(u.b AS DOUBLE)) FROM (SELECT unnest(q.embedding) AS a, unnest(i.embedding) AS b) u)"
+SIM = "WITH s AS (SELECT q.vec_id AS query, i.vec_id AS item, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0)"
+
+
+def _asked(s, d):
+    return vectors(s, d).where(F.col("id") % 100 == 0)
+
+
+query("v1_nearest", SIM + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS INTEGER) AS rank FROM s) SELECT query, item, round(score, 6) AS score, rank FROM r WHERE rank <= 20")(
+    lambda s, d: V.nearest(vectors(s, d), _asked(s, d), 20).withColumn("score", F.round("score", 6))
+)
+
+query("f13_norms", "SELECT vec_id AS id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")(
+    lambda s, d: vectors(s, d).select("id", F.round(Q.norm(F.col("vec")), 6).alias("norm"))
+)
+
+query(
+    "f14_quantize",
+    "SELECT vec_id AS id, CAST(sum(q) AS BIGINT) AS total, round(max(abs(q / 127.0 - v)), 6) AS worst FROM (SELECT vec_id, v, round_even(greatest(-1.0, least(1.0, v)) * 127, 0) AS q FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)) GROUP BY 1",
+)(
+    lambda s, d: vectors(s, d).select("id", "vec", Q.quantize(F.col("vec")).alias("q")).select(
+        "id",
+        F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
+        F.round(F.array_max(F.zip_with(Q.dequantize(F.col("q")), F.col("vec").cast("array<double>"), lambda a, b: F.abs(a - b))), 6).alias("worst"),
+    )
+)
+
+query(
+    "f17_standardized",
+    """WITH l AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT d, avg(x) AS m, stddev_pop(x) AS s FROM l GROUP BY d),
+    z AS (SELECT id, greatest(-5, least(5, (x - m) / CASE WHEN s < 1e-8 THEN 1 ELSE s END)) AS x FROM l JOIN m ON l.d = m.d)
+    SELECT id, round(max(x) / sqrt(sum(x * x)), 5) AS top FROM z GROUP BY id""",
+)(lambda s, d: V.standardized(vectors(s, d)).select("id", F.round(F.array_max("vec"), 5).alias("top")))
+
+query(
+    "d6_group_means",
+    """WITH l AS (SELECT label, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, d, avg(x) AS x FROM l GROUP BY 1, 2)
+    SELECT label, round(max(x) / sqrt(sum(x * x)), 5) AS top FROM m GROUP BY label""",
+)(lambda s, d: V.group_means(vectors(s, d), "label").select("label", F.round(F.array_max("vec"), 5).alias("top")))
+
+query(
+    "v8_collapse_check",
+    "SELECT d - 1 AS dim, round(stddev_pop(x), 6) AS std FROM (SELECT generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY d",
+)(lambda s, d: V.collapse_check(vectors(s, d)).withColumn("std", F.round("std", 6)))
+
+query(
+    "v9_same_label_rank",
+    SIM + """, r AS (SELECT s.query, item, score, e.label = f.label AS same, row_number() OVER (PARTITION BY s.query ORDER BY score DESC, item) AS rank FROM s JOIN embeddings e ON s.query = e.vec_id JOIN embeddings f ON s.item = f.vec_id WHERE s.query <> item)
+    SELECT query, min(rank) AS first_rank, min(rank) <= 1 AS at1, min(rank) <= 5 AS at5 FROM r WHERE same GROUP BY query""",
+)(lambda s, d: _same_label(s, d))
+
+
+def _pairs(s, d):
+    q = _asked(s, d).select(F.col("id").alias("query"), F.col("vec").alias("qv"), F.col("label").alias("ql"))
+    return q.crossJoin(vectors(s, d)).select("query", F.col("id").alias("item"), "ql", "label", F.round(Q.dot(F.col("qv"), F.col("vec")), 9).alias("score"))  # the stated query set against all rows
+
+
+def _same_label(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    r = _pairs(s, d).where("query <> item").withColumn("rank", F.row_number().over(w)).where("ql = label")
+    return r.groupBy("query").agg(F.min("rank").alias("first_rank")).select("query", F.col("first_rank").cast("long").alias("first_rank"), (F.col("first_rank") <= 1).alias("at1"), (F.col("first_rank") <= 5).alias("at5"))
+
+
+query(
+    "v10_weakest_dropped",
+    SIM + ", c AS (SELECT query, quantile_cont(score, 0.2) AS cut FROM s GROUP BY query) SELECT s.query, item, round(score, 6) AS sim FROM s JOIN c ON s.query = c.query WHERE score >= cut",
+)(lambda s, d: V.weakest_dropped(_pairs(s, d).select("query", "item", F.col("score").alias("sim"))).withColumn("sim", F.round("sim", 6)))
+
+query(
+    "r5_target_relevance",
+    """WITH s AS (SELECT i.label AS query, q.vec_id AS seed, i.vec_id AS item, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 9) AS sim FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query, item ORDER BY sim DESC, seed) AS k FROM s), b AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY query, item)) / 0.12) AS e FROM r WHERE k <= 8)
+    SELECT query, item, round(sum(e * sim) / sum(e), 6) AS relevance FROM b GROUP BY 1, 2""",
+)(lambda s, d: V.target_relevance(_pairs(s, d).select(F.col("label").alias("query"), F.col("query").alias("seed"), "item", F.col("score").alias("sim"))).withColumn("relevance", F.round("relevance", 6)))
+
+
+@query("v3_interest_heads")
+def _heads(s, d):
+    return V.interest_heads(vectors(s, d).select(F.col("label").cast("long").alias("query"), "id", "vec")).select("query", "head", "size", F.round(Q.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query("v2_attention_pool")
+def _pool(s, d):
+    heads = vectors(s, d).where("id < 4").select(F.col("id").alias("head"), "vec")
+    members = vectors(s, d).select(F.col("label").alias("query"), "id", "vec")
+    return V.attention_pool(members, heads).select("query", "head", F.round(F.array_max("vec"), 6).alias("top"))
