@@ -75,7 +75,7 @@ def json_ld(pages: DataFrame) -> DataFrame:
     body = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1))
     by, item = "byArtist struct<name: string>", "name string, byArtist struct<name: string>"
     schema = f"`@type` string, name string, {by}, track array<struct<{item}>>, itemListElement array<struct<item: struct<{item}>>>"
-    j = pages.select("page_id", F.from_json(body, schema).alias("j")).where(F.col("j.@type").isin("MusicPlaylist", "MusicAlbum", "ItemList"))
+    j = pages.select("page_id", body.alias("body")).select("page_id", F.from_json("body", schema).alias("j")).where(F.col("j.@type").isin("MusicPlaylist", "MusicAlbum", "ItemList"))
     tracks = F.concat(F.coalesce("j.track", F.array()), F.coalesce(F.transform("j.itemListElement", lambda e: e["item"]), F.array()))
     t = j.select("page_id", F.col("j.byArtist.name").alias("parent"), F.posexplode(tracks).alias("pos", "t"))
     return t.select("page_id", "pos", F.col("t.name").alias("name"), F.coalesce("t.byArtist.name", "parent").alias("artist")).where("name IS NOT NULL")
