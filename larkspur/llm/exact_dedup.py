@@ -30,9 +30,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """digest, keep_id, n_chars, group_size: one row for each distinct normalised text seen so far."""
+    """digest, keep_id, n_chars, group_size, batch: one row for each distinct normalised text seen so far."""
 
-    SCHEMA = "digest BINARY, keep_id BIGINT, n_chars INT, group_size BIGINT"
+    SCHEMA = "digest BINARY, keep_id BIGINT, n_chars INT, group_size BIGINT, batch STRING"
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         """name: of the catalog table; path: its files, in a store that all executors share; buckets: fixed when the
@@ -53,16 +53,17 @@ class DigestIndex:
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Adds the new texts of docs to the index. Returns one row per document: doc_id, keep_id, group_size (rows with
         this text in the batch that brought it), kept, text_sha256."""
+        name = uuid.uuid4().hex
         batch = staged(digests(docs, id_col, text_col), "digests")
         order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("n_chars"))
         best = batch.groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-        best = best.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.n_chars").alias("n_chars"), "group_size")
+        best = best.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.n_chars").alias("n_chars"), "group_size", F.lit(name).alias("batch"))
         new = best.hint("merge").join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         new = new.repartition(self.buckets, "digest")
         new.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        known = self.table().select("digest", "keep_id", "group_size").hint("merge")
+        known = self.table().select("digest", "keep_id", "group_size", (F.col("batch") == name).alias("new")).hint("merge")
         return batch.join(known, "digest").select(
-            "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+            "doc_id", "keep_id", "group_size", (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
         )
 
 
