@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feedback, graph, matching, popularity, ranking, sessions, splits, text, vectors  # noqa: F401
+from . import feedback, graph, matching, popularity, ranking, scoring, sessions, splits, text, vectors  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "flagship_recommendations"
