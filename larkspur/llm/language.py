@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import WordRows, blocks, mix, words
+from .words import WordRows, blocks, kept, mix, words
 
 MARK, LONGEST, FIT_CHARS = "▁", 16, 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -239,18 +239,16 @@ def _e_step(p: np.ndarray, path: str):
     return run
 
 
-_worker: dict = {}
-
-
 def _predict(model, columns: list[str], schema):
     def run(batches):
         names, p, prior, path, key = model.value
-        if key not in _worker:
-            _worker.clear()
+
+        def make():
             scores: list[np.ndarray] = []
             table = lookup(path)[0] if names else None
-            _worker[key] = WordRows(lambda new: scores.append(log_words(new, table, p)), scores.clear), scores
-        number, scores = _worker[key]
+            return WordRows(lambda new: scores.append(log_words(new, table, p)), scores.clear, 600_000), scores
+
+        number, scores = kept(("language", key), make)
         for b in batches:
             letters = b.column(len(columns)).to_numpy(zero_copy_only=False)
             lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)

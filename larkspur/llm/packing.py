@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import staged
-from .words import WordRows, blocks, words
+from .words import WordRows, blocks, kept, words
 
 LENGTH = 2048
 
@@ -90,18 +89,13 @@ class _Ids:
         return self.ids[0][at], n
 
 
-@lru_cache(1)
-def _worker_ids(path: str) -> _Ids:
-    return _Ids(path)
-
-
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document."""
     path = path or default_tokenizer()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        ids = _worker_ids(path)
+        ids = kept(("ids", path), lambda: _Ids(path))
         for b in batches:
             rows, piece, start, size, crc = [], [], [], [], []
             for lo, hi, text in blocks(b.column(1)):

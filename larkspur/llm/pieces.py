@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
 from os.path import commonprefix
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import WordRows, Words, blocks
+from .words import WordRows, Words, blocks, kept
 
 MARK = "▁"
 
@@ -127,9 +126,8 @@ def marked_words(text: pa.Array) -> Words:
     return Words(buf, offsets, start, end, doc, count, np.cumsum(count) - count)
 
 
-@lru_cache(1)
 def coder(path: str) -> PieceCoder:
-    return PieceCoder(path)
+    return kept(("pieces", path), lambda: PieceCoder(path))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

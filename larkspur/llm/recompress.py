@@ -115,9 +115,9 @@ def anchors(words: np.ndarray, doc: np.ndarray, window: int, rounds=ROUNDS):
     return first, end, name, spans(words, first, end + window - 1), level[first]
 
 
-def spans(words: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+def spans(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of words[start:end]."""
-    up, down = powers(which, len(words) + 1)
+    up, down = powers(len(words) + 1)
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] ^ (end - start).astype(np.uint64))

@@ -69,7 +69,7 @@ def _windows(window: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(spans(one, start[s], start[s] + window).view(np.int64)),
-                            pa.array(spans(two, start[s], start[s] + window, 1).view(np.int64)),
+                            pa.array(spans(two, start[s], start[s] + window).view(np.int64)),
                             b.column(0).take(pa.array(doc[s] + lo)),
                             pa.array(pos[s].astype(np.int32)),
                         ],

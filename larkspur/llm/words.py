@@ -14,15 +14,15 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in blocks of about so many bytes, to bound the memory of a task; a longer text is a block alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _seed = np.random.default_rng(20240229)
 _TABLES = _seed.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,20 +38,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n of them."""
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        n = max(n, BLOCK_BYTES + 1)
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        n = max(n, BLOCK_BYTES + 2)
         out = []
-        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             x = np.full(n, base, np.uint64)
             x[0] = 1
             out.append(np.cumprod(x, dtype=np.uint64))
-        have = _POWERS[which] = (out[0], out[1])
         if n > 8 * BLOCK_BYTES:  # for one huge text: not kept
-            del _POWERS[which]
-    return have
+            return out[0], out[1]
+        _POWERS[:] = [(out[0], out[1])]
+    return _POWERS[0]
+
+
+_kept: dict = {}
+
+
+def kept(key, make=None):
+    """What a Python worker keeps from task to task: one thing at a time, so that operators which follow each other in a
+    worker do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        if make:
+            _kept[key] = make()
+    return _kept.get(key)
 
 
 @dataclass
@@ -68,7 +80,7 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         n = len(self.buf)
-        up, down = powers(which, n + 1)
+        up, down = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLES[which][self.buf] * up[:n], out=total[1:])
         h = (total[self.end] - total[self.start]) * down[self.start]
