@@ -43,7 +43,12 @@ class PieceCoder:
         n = sp.get_piece_size()
         self.plain = {sp.id_to_piece(i).replace(MARK, " "): (sp.get_score(i), i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.longest = max(map(len, self.plain))
+        #: Lengths of the pieces with the same last three characters, longest first, then 2 and 1.
+        tails: dict[str, list[int]] = {}
+        for piece in sorted(self.plain, key=len, reverse=True):
+            if len(piece) > 2 and len(piece) not in tails.setdefault(piece[-3:], []):
+                tails[piece[-3:]].append(len(piece))
+        self.tails = {k: (*v, 2, 1) for k, v in tails.items()}
         self.unknown = min(s for s, _ in self.plain.values() if s > -1e8) - 10
         self.bytes_of = [b""] * n
         for piece, (_, i) in self.plain.items():
@@ -51,24 +56,25 @@ class PieceCoder:
         for b, i in enumerate(self.byte):
             self.bytes_of[i] = bytes([b])
         self.forget()
-        self.number = WordRows(self.learn, self.forget, 500_000)
+        self.number = WordRows(self.learn, self.forget)
 
     def forget(self) -> None:
         self.size, self.ids, self.start = [], [], None
 
     def best(self, marked: list[str]) -> list[list[int]]:
         """Ids of each of the sorted words."""
-        plain, longest, unknown = self.plain, self.longest, self.unknown
+        plain, tails, short, unknown = self.plain, self.tails, (2, 1), self.unknown
         score, back, before, out = [0.0], [None], "", []
         for word in marked:
             shared = len(commonprefix((before, word)))
             del score[shared + 1 :], back[shared + 1 :]
             for j in range(shared + 1, len(word) + 1):
                 top, how = -1e300, None
-                for i in range(max(0, j - longest), j):
-                    p = plain.get(word[i:j])
-                    if p is not None and score[i] + p[0] > top:
-                        top, how = score[i] + p[0], (i, p[1])
+                for n in tails.get(word[j - 3 : j], short) if j > 2 else short:
+                    if n <= j:
+                        p = plain.get(word[j - n : j])
+                        if p is not None and score[j - n] + p[0] > top:
+                            top, how = score[j - n] + p[0], (j - n, p[1])
                 if word[j - 1] not in plain and score[j - 1] + unknown > top:
                     top, how = score[j - 1] + unknown, (j - 1, -1)
                 score.append(top)
