@@ -14,8 +14,9 @@ it is. The leader leaves, and buckets whose members are in one class are done. W
 ``refine_after`` rounds (mostly documents that share a passage but are not alike) is dealt anew by ``FINE_BANDS`` bands of
 ``FINE_ROWS`` coordinates each, which a pair at 0.8 shares with probability 0.999 and one at 0.5 with 0.02, for as many
 rounds more. All that is linear in the members. What then still is open (variants of one text that are a little less
-alike than asked for) is left, or with ``exhaustive`` compared to the last pair, by leaders that double each round; that
-is quadratic in such a group. The README has figures of what it finds.
+alike than asked for) is compared to the last pair, by leaders that grow fourfold each round, up to ``LEADERS``; that is
+quadratic in such a group. Pairs in one class, and pairs whose numbers of shingles rule the similarity out, are not compared.
+Only ``exhaustive=False`` leaves what is open then; no query or stage does.
 
 All comparisons are exact: weighted Jaccard of the shingle multisets, from the texts.
 
@@ -37,6 +38,8 @@ from .words import blocks, kept, mix, words
 
 SHINGLE = 5
 FINE_BANDS, FINE_ROWS = 100, 12
+#: Most leaders of a bucket in one round: up to so many, Spark picks them before it deals the members out.
+LEADERS = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -161,7 +164,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dup_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 25, rows: int = 5, small: int = 16, refine_after: int = 2, exhaustive: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 25, rows: int = 5, small: int = 16, refine_after: int = 3, exhaustive: bool = True
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class), kept (whether it is that one), links (to
     documents of other texts that were compared and found at or above the similarity), n_words."""
@@ -170,10 +173,11 @@ def near_dup_classes(
     real = sig.where("n_words > 0 AND doc_id IS NOT NULL")
     texts = staged(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "texts")
     reps = real.join(texts.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"))
+    size = F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))
+    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"), size.alias("size"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(members.join(shared, "bucket"), "members")
-    hubs = staged(members.groupBy("doc").agg(F.sum("n").alias("hub")), "hubs")
+    hubs = staged(members.groupBy("doc").agg(F.sum("n").alias("hub"), F.first("size").alias("size")), "hubs")
     members = members.select("bucket", "doc").join(hubs, "doc")
     picked = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sets = staged(_shingle_sets(picked.join(hubs, "doc", "left_semi")).dropDuplicates(["doc"]), "shingles")
@@ -182,22 +186,22 @@ def near_dup_classes(
     while True:
         rounds += 1
         if klass is None:
-            now = members.select("bucket", "doc", "hub", F.col("doc").alias("class"))
+            now = members.select("bucket", "doc", "hub", "size", F.col("doc").alias("class"))
         else:
-            now = members.join(klass, members["doc"] == klass["node"], "left").select("bucket", "doc", "hub", F.coalesce("root", "doc").alias("class"))
+            now = members.join(klass, members["doc"] == klass["node"], "left").select("bucket", "doc", "hub", "size", F.coalesce("root", "doc").alias("class"))
             now = staged(now, "classed")  # read twice below
-        spread = now.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.min(F.struct((-F.col("hub")).alias("h"), "doc", "class")).alias("lead"))
+        spread = now.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.min(F.struct((-F.col("hub")).alias("h"), "doc", "class", "size")).alias("lead"))
         open_ = staged(now.join(spread.where("lo < hi").select("bucket", "n", "lead"), "bucket"), "open")
         led = open_.where((F.col("n") > small) & (F.col("doc") != F.col("lead.doc")))
-        pairs = led.where(F.col("class") != F.col("lead.class")).select("doc", F.col("lead.doc").alias("leader"))
-        few = open_.where(F.col("n") <= small).select("bucket", "doc", "class")
-        other = few.select("bucket", F.col("doc").alias("leader"), F.col("class").alias("theirs"))
-        pairs = pairs.union(few.join(other, "bucket").where("class <> theirs AND doc > leader").select("doc", "leader"))
-        most = 2 ** (rounds - 2 * refine_after) if rounds > 2 * refine_after else 0
+        pairs = led.where((F.col("class") != F.col("lead.class")) & _may("size", "lead.size", similarity)).select("doc", F.col("lead.doc").alias("leader"))
+        few = open_.where(F.col("n") <= small).select("bucket", "doc", "class", "size")
+        other = few.select("bucket", F.col("doc").alias("leader"), F.col("class").alias("theirs"), F.col("size").alias("its"))
+        pairs = pairs.union(few.join(other, "bucket").where(F.expr("class <> theirs AND doc > leader") & _may("size", "its", similarity)).select("doc", "leader"))
+        most = min(LEADERS, 4 ** (rounds - 2 * refine_after)) if rounds > 2 * refine_after else 0
         if most:
             order = Window.partitionBy("bucket").orderBy(F.desc("hub"), "doc")
-            more = led.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("bucket", F.col("doc").alias("leader"), F.col("class").alias("theirs"))
-            pairs = pairs.union(led.join(more, "bucket").where("class <> theirs").select("doc", "leader"))
+            more = led.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("bucket", F.col("doc").alias("leader"), F.col("class").alias("theirs"), F.col("size").alias("its"))
+            pairs = pairs.union(led.join(more, "bucket").where((F.col("class") != F.col("theirs")) & _may("size", "its", similarity)).select("doc", "leader"))
             led = led.join(more.select("bucket", F.col("leader").alias("doc")), ["bucket", "doc"], "left_anti")
         pairs = pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
         if tested is not None:
@@ -211,7 +215,7 @@ def near_dup_classes(
             more = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
             members = staged(left.join(more, "bucket", "left_semi").join(hubs, "doc"), "members")
         else:
-            members = staged(led.select("bucket", "doc", "hub"), "members")
+            members = staged(led.select("bucket", "doc", "hub", "size"), "members")
         free(spark, open_)
         if not new.isEmpty():
             klass = components(links)
@@ -227,6 +231,11 @@ def near_dup_classes(
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "links", "n_words")
 
 
+def _may(n, m, similarity: float):
+    """Whether sets of n and m shingles can be so alike at all."""
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left, right = sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))

@@ -123,6 +123,43 @@ def test_near_dup_classes_equal_brute_force(spark, docs, empty):
     assert near_dup.near_dup_classes(empty).isEmpty()
 
 
+def _edits_of_one_text():
+    """Texts of which most pairs are a little less alike than 0.8, and twins above it that no leader is like."""
+    rng = random.Random(8)
+    base = [f"t{k}" for k in range(204)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for k in rng.sample(range(5, 199, 6), 4):
+            w[k] = f"n{i}"
+        twin = list(w)
+        twin[rng.choice([k for k in range(5, 199, 6) if w[k] == base[k]])] = "twin"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(twin))]
+    return rows
+
+
+def _like_pairs(rows, similarity=0.8):
+    sets = {i: _shingles(t) for i, t in rows}
+    for a in sets:
+        for b in sets:
+            both = sum(min(n, sets[b].get(k, 0)) for k, n in sets[a].items()) if a < b else 0
+            if both and both >= similarity * (sum(sets[a].values()) + sum(sets[b].values()) - both):
+                yield a, b
+
+
+def test_near_dup_finishes_large_buckets(spark):
+    rows = _edits_of_one_text()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bucket = {r.doc_id: r.bands[0] for r in near_dup.signatures(df, "doc_id", "text", 1, 1).collect()}  # a few large buckets
+    root, pairs = {i: i for i, _ in rows}, [(a, b) for a, b in _like_pairs(rows) if bucket[a] == bucket[b]]
+    for _ in rows:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(set(root.values())) > 30
+    got = near_dup.near_dup_classes(df, bands=1, rows=1).collect()
+    assert {r.doc_id: r.class_id for r in got} == root
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     e = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64))
