@@ -11,12 +11,13 @@ ordered by how many other members they meet in all their buckets, so that origin
 at most ``small`` members compares all of different classes. A larger one compares its first member, the leader, with the
 members of other classes: a group of copies is one class after a round or two, at one comparison a member, however large
 it is. The leader leaves, and buckets whose members are in one class are done. What is still open and large after
-``refine_after`` rounds (mostly documents that share a passage but are not alike) is dealt anew by ``FINE_BANDS`` bands of
-``FINE_ROWS`` coordinates each, which a pair at 0.8 shares with probability 0.999 and one at 0.5 with 0.02, for as many
-rounds more. All that is linear in the members. What then still is open (variants of one text that are a little less
-alike than asked for) is compared to the last pair, by leaders that grow fourfold each round, up to ``LEADERS``; that is
-quadratic in such a group. Pairs in one class, and pairs whose numbers of shingles rule the similarity out, are not compared.
-Only ``exhaustive=False`` leaves what is open then; no query or stage does.
+``refine_after`` rounds (mostly documents that share a passage but are not alike) is dealt anew by shingles: with all shingles
+in one order, those rare among these documents first, two sets as alike as asked for share one of the first n - ceil(0.8 n) + 1
+of each. So every such pair of the open buckets meets again, whatever its coordinates; a pair at 0.8 shares a bucket of the
+first deal with probability 0.99995. After ``refine_after`` rounds more, leaders grow fourfold each round, up to ``LEADERS``,
+until no bucket is open; that is quadratic in a group of variants of one text that are a little less alike than asked for.
+Pairs in one class, and pairs that their numbers of shingles, or of those left after the one that they share, rule out, are
+not compared. Only ``exhaustive=False`` stops before; no query or stage does.
 
 All comparisons are exact: weighted Jaccard of the shingle multisets, from the texts.
 
@@ -37,7 +38,8 @@ from .store import free, staged
 from .words import blocks, kept, mix, words
 
 SHINGLE = 5
-FINE_BANDS, FINE_ROWS = 100, 12
+#: Counters of shingles, for an order that puts rare ones first; any order gives the same classes.
+SLOTS = 1 << 20
 #: Most leaders of a bucket in one round: up to so many, Spark picks them before it deals the members out.
 LEADERS = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +103,7 @@ def _lists(x: np.ndarray) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_words, c1 and c2 (hash of the word sequence), bands (a hash of each), signature (32 bits a coordinate)."""
+    """doc_id, n_words, c1 and c2 (hash of the word sequence), bands (a hash of each)."""
 
     def run(batches):
         kept(None)
@@ -109,7 +111,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
             c1, c2 = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             count = np.zeros(b.num_rows, np.int64)
             out = np.zeros((b.num_rows, bands), np.uint64)
-            all_ = np.zeros((b.num_rows, bands * rows), np.int32)
             for lo, hi, text in blocks(b.column(1)):
                 w = words(text)
                 h = w.hashes()
@@ -117,17 +118,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                 c1[lo:hi] = spans(h, w.first, w.first + w.count).view(np.int64)
                 c2[lo:hi] = spans(w.hashes(1), w.first, w.first + w.count).view(np.int64)
                 sig = dart_minhash(*weighted(*shingles(h, w)), hi - lo, bands * rows)
-                all_[lo:hi] = sig.astype(np.uint32).view(np.int32)
                 for k in range(bands):
                     x = np.full(hi - lo, k + 1, np.uint64)
                     for r in range(rows):
                         x = mix(x * _ODD + sig[:, k * rows + r])
                     out[lo:hi, k] = x
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(count), pa.array(c1), pa.array(c2), _lists(out.view(np.int64)), _lists(all_)], ["doc_id", "n_words", "c1", "c2", "bands", "signature"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(c1), pa.array(c2), _lists(out.view(np.int64))], ["doc_id", "n_words", "c1", "c2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_words long, c1 long, c2 long, bands array<long>, signature array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_words long, c1 long, c2 long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -178,7 +176,7 @@ def near_dup_classes(
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(members.join(shared, "bucket"), "members")
     hubs = staged(members.groupBy("doc").agg(F.sum("n").alias("hub"), F.first("size").alias("size")), "hubs")
-    members = members.select("bucket", "doc").join(hubs, "doc")
+    members = members.select("bucket", "doc", F.col("size").alias("rest")).join(hubs, "doc")
     picked = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sets = staged(_shingle_sets(picked.join(hubs, "doc", "left_semi")).dropDuplicates(["doc"]), "shingles")
 
@@ -186,22 +184,22 @@ def near_dup_classes(
     while True:
         rounds += 1
         if klass is None:
-            now = members.select("bucket", "doc", "hub", "size", F.col("doc").alias("class"))
+            now = members.select("bucket", "doc", "hub", "size", "rest", F.col("doc").alias("class"))
         else:
-            now = members.join(klass, members["doc"] == klass["node"], "left").select("bucket", "doc", "hub", "size", F.coalesce("root", "doc").alias("class"))
+            now = members.join(klass, members["doc"] == klass["node"], "left").select("bucket", "doc", "hub", "size", "rest", F.coalesce("root", "doc").alias("class"))
             now = staged(now, "classed")  # read twice below
-        spread = now.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.min(F.struct((-F.col("hub")).alias("h"), "doc", "class", "size")).alias("lead"))
+        spread = now.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.min(F.struct((-F.col("hub")).alias("h"), "doc", "class", "size", "rest")).alias("lead"))
         open_ = staged(now.join(spread.where("lo < hi").select("bucket", "n", "lead"), "bucket"), "open")
         led = open_.where((F.col("n") > small) & (F.col("doc") != F.col("lead.doc")))
-        pairs = led.where((F.col("class") != F.col("lead.class")) & _may("size", "lead.size", similarity)).select("doc", F.col("lead.doc").alias("leader"))
-        few = open_.where(F.col("n") <= small).select("bucket", "doc", "class", "size")
-        other = few.select("bucket", F.col("doc").alias("leader"), F.col("class").alias("theirs"), F.col("size").alias("its"))
-        pairs = pairs.union(few.join(other, "bucket").where(F.expr("class <> theirs AND doc > leader") & _may("size", "its", similarity)).select("doc", "leader"))
+        pairs = led.where((F.col("class") != F.col("lead.class")) & _may("lead.size", "lead.rest", similarity)).select("doc", F.col("lead.doc").alias("leader"))
+        few = open_.where(F.col("n") <= small).select("bucket", "doc", "class", "size", "rest")
+        other = few.select("bucket", F.col("doc").alias("leader"), F.col("class").alias("theirs"), F.col("size").alias("its"), F.col("rest").alias("their_rest"))
+        pairs = pairs.union(few.join(other, "bucket").where(F.expr("class <> theirs AND doc > leader") & _may("its", "their_rest", similarity)).select("doc", "leader"))
         most = min(LEADERS, 4 ** (rounds - 2 * refine_after)) if rounds > 2 * refine_after else 0
         if most:
             order = Window.partitionBy("bucket").orderBy(F.desc("hub"), "doc")
-            more = led.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("bucket", F.col("doc").alias("leader"), F.col("class").alias("theirs"), F.col("size").alias("its"))
-            pairs = pairs.union(led.join(more, "bucket").where((F.col("class") != F.col("theirs")) & _may("size", "its", similarity)).select("doc", "leader"))
+            more = led.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("bucket", F.col("doc").alias("leader"), F.col("class").alias("theirs"), F.col("size").alias("its"), F.col("rest").alias("their_rest"))
+            pairs = pairs.union(led.join(more, "bucket").where((F.col("class") != F.col("theirs")) & _may("its", "their_rest", similarity)).select("doc", "leader"))
             led = led.join(more.select("bucket", F.col("leader").alias("doc")), ["bucket", "doc"], "left_anti")
         pairs = pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
         if tested is not None:
@@ -211,11 +209,11 @@ def near_dup_classes(
         tested = found.select("a", "b") if tested is None else tested.union(found.select("a", "b"))
         links = new if links is None else links.union(new)
         if rounds == refine_after:
-            left = staged(_refined(led, sig), "fine")
+            left = staged(_refined(led, sets, similarity), "fine")
             more = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
             members = staged(left.join(more, "bucket", "left_semi").join(hubs, "doc"), "members")
         else:
-            members = staged(led.select("bucket", "doc", "hub", "size"), "members")
+            members = staged(led.select("bucket", "doc", "hub", "size", "rest"), "members")
         free(spark, open_)
         if not new.isEmpty():
             klass = components(links)
@@ -231,9 +229,10 @@ def near_dup_classes(
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "links", "n_words")
 
 
-def _may(n, m, similarity: float):
-    """Whether sets of n and m shingles can be so alike at all."""
-    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+def _may(size: str, rest: str, similarity: float):
+    """Whether a document and the one with these columns can be so alike, if the bucket's shingle is their first common one:
+    they have at most the lesser ``rest`` in common."""
+    return F.least("rest", rest) * (1 + similarity) >= similarity * (F.col("size") + F.col(size)) - 1e-6
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,25 +241,39 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
 
 
-def _refined(members: DataFrame, sig: DataFrame) -> DataFrame:
-    """Buckets of fine bands: fixed random choices of the signature's coordinates."""
+def _slots(sets: DataFrame) -> np.ndarray:
+    """How many of the sets' shingles fall on each of SLOTS counters."""
 
     def run(batches):
-        rng = np.random.default_rng(12)
+        total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            if b.num_rows:
-                all_ = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.uint64)
-                chosen = [rng.permutation(all_.shape[1])[:FINE_ROWS] for _ in range(FINE_BANDS)]
-                rng = np.random.default_rng(12)
-                out = np.zeros((b.num_rows, FINE_BANDS), np.uint64)
-                for k, columns in enumerate(chosen):
-                    out[:, k] = k + 1
-                    for c in columns:
-                        out[:, k] = mix(out[:, k] * _ODD + all_[:, c])
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(out.view(np.int64))], ["doc", "fine"])
-
-    some = sig.select(F.col("doc_id").alias("doc"), "signature").join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    return some.mapInArrow(run, "doc long, fine array<long>").select(F.explode("fine").alias("bucket"), "doc")
+            total += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(SLOTS), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    got = sets.select("set").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _refined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """bucket, doc, rest: the first shingles of each member's set, and how many of the set there are from that one on."""
+    some = staged(sets.join(members.select("doc").distinct(), "doc", "left_semi"), "refined")
+    shared = members.sparkSession.sparkContext.broadcast(_slots(some))  # fixed size, 8 MB
+
+    def run(batches):
+        for b in batches:
+            n = np.diff(b.column(1).offsets.to_numpy())
+            shingle = b.column(1).flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((shingle, shared.value[shingle.view(np.uint64) % np.uint64(SLOTS)], row))
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            first = at < (n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1)[row]
+            docs = b.column(0).take(pa.array(row[first]))
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[order][first]), docs, pa.array((n[row] - at)[first].astype(np.int64))], ["bucket", "doc", "rest"])
+
+    return some.mapInArrow(run, "bucket long, doc long, rest long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -160,6 +160,19 @@ def test_near_dup_finishes_large_buckets(spark):
     assert {r.doc_id: r.class_id for r in got} == root
 
 
+def test_near_dup_deals_all_like_pairs_of_open_buckets_again(spark):
+    rows = _edits_of_one_text()
+    df = spark.createDataFrame(rows, "doc long, text string")
+    sets = near_dup._shingle_sets(df)
+    buckets = {}
+    for r in near_dup._refined(df, sets, 0.8).collect():
+        buckets.setdefault(r.doc, {})[r.bucket] = r.rest
+    met = {(a, b) for a in buckets for b in buckets if a < b and buckets[a].keys() & buckets[b].keys()}
+    assert set(_like_pairs(rows)) <= met
+    for a, b in _like_pairs(rows):  # at the first shingle in common, enough are left in both
+        assert max(min(buckets[a][x], buckets[b][x]) for x in buckets[a].keys() & buckets[b].keys()) * 1.8 >= 0.8 * 400
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     e = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64))
