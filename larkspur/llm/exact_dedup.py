@@ -23,10 +23,13 @@ from .store import fresh, staged
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def _digest(text):
+    return F.unhex(F.sha2(F.translate(text, SPACE, ""), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.translate(text, SPACE, "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(bare, 256)).alias("digest"), F.length(text).alias("n_chars"))
+    return docs.select(F.col(id_col).alias("doc_id"), _digest(text).alias("digest"), F.length(text).alias("n_chars"))
 
 
 class DigestIndex:
@@ -68,11 +71,15 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of a batch that stay, with all their columns: one row for each new text."""
+    """The documents of a batch that stay, with all their columns: one row for each new text, also where ids are null or
+    several texts have one id."""
     index = index or DigestIndex(docs.sparkSession)
-    kept = index.ingest(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return out.dropDuplicates([id_col])
+    kept = index.ingest(docs, id_col, text_col).where("kept").select(F.unhex("text_sha256").alias("digest"), F.col("doc_id").alias("_kept_id")).distinct()
+    kept = kept.join(index.table().select("digest", F.col("n_chars").alias("_kept_chars")), "digest").withColumnRenamed("digest", "_kept_digest")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.withColumns({"_digest": _digest(text), "_chars": F.length(text)})
+    same = (own["_digest"] == kept["_kept_digest"]) & own[id_col].eqNullSafe(kept["_kept_id"]) & (own["_chars"] == kept["_kept_chars"])
+    return own.join(kept, same, "left_semi").dropDuplicates(["_digest", id_col]).drop("_digest", "_chars")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,13 @@ def test_exact_dedup(spark, docs, empty):
     assert exact_dedup.DigestIndex(spark).ingest(empty).isEmpty()
 
 
+def test_exact_dedup_keeps_each_text_of_null_and_shared_ids(spark):
+    rows = [(None, "a b", 1), (None, "c d", 2), (None, "c  d", 3), (None, "a b", 1), (7, "e", 4), (7, "f g", 5), (7, "f  g", 6), (8, "e", 7), (9, None, 8), (None, "h", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = [tuple(r) for r in exact_dedup.exact_dedup(df).collect()]
+    assert sorted(got, key=lambda r: r[2]) == [rows[0], rows[2], rows[4], rows[6], rows[8], rows[9]]
+
+
 def _shingles(text):
     w = text.split()
     n = max(1, len(w) - 4)
