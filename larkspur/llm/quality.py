@@ -2,7 +2,8 @@
 
 Each text gets simple counts and a transformed vector of five statistics. For each language and source the minimum
 covariance determinant gives a mean and a covariance that outliers cannot drag along; texts whose squared Mahalanobis
-distance exceeds ``cutoff`` are rejected.
+distance exceeds ``cutoff`` are rejected. That is a quantile of chi-squared; for small groups it is raised as the same
+quantile of F is, with the subset's rows less the dimensions as degrees of freedom.
 
 The estimate starts from several fits (median and absolute deviations, all rows, hashed quarters of the rows) and makes
 concentration steps: distances, the h = 3/4 of the rows with the smallest ones, their mean and covariance. All groups and
@@ -11,7 +12,8 @@ one group may hold any share of the rows. The h-th smallest distance is found on
 rows up to that grid value. A small ridge bounds the variances from below, as most texts have no symbol or repeated line.
 
 Defined cases: a null text counts as empty; null languages and sources are groups of their own; texts that fail a base
-rule are neither fitted nor judged; groups of fewer than ``least`` fitted rows are judged by the base rules alone;
+rule are neither fitted nor judged; groups of fewer than ``least`` fitted rows are judged by the estimate of all rows of
+their language, or else of all rows; only where even those are fewer do the base rules judge alone;
 repeated rows each get their row; further columns are ignored; an empty table gives no rows.
 """
 
@@ -30,9 +32,11 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 DIM, STARTS, SALTS = 5, ("median", "all", "q0", "q1", "q2", "q3"), 16
 #: Variances that the ridge adds, in the units of the transformed vector.
-RIDGE = (0.5**2, 0.05**2, 0.1**2, 0.15**2, 0.1**2)
+RIDGE = (0.5**2, 0.05**2, 0.05**2, 0.075**2, 0.1**2)
 #: Quantile 3/4 of chi-squared with five degrees of freedom (fixed value).
 CHI2_75 = 6.6257
+#: Its quantile 0.9999.
+CUTOFF = 25.745
 
 
 def text_counts(w: Words, n: int) -> tuple[np.ndarray, ...]:
@@ -194,21 +198,33 @@ def minimum_covariance_determinant(rows: DataFrame, least: int = 40, share: floa
     return staged(params.join(_limits(rows, params, share), ["group", "start"]), "mcd")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), cutoff: float = 75.0, least: int = 40) -> DataFrame:
+def _small_sample(n):
+    """Quantile 0.9999 over quantile 3/4 of F(5, 3/4 n - 5), relative to chi-squared; within 1 % from five degrees on."""
+    t = 1 / F.greatest(0.75 * n - DIM, F.lit(4.0))
+    return F.exp(9.774 * t + 9.87 * t * t)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, least: int = 40) -> DataFrame:
     """One row per document: doc_id, counts, base_failed, distance (squared, null if not judged), kept."""
-    key = F.xxhash64(*[x for c in by for x in (F.col(c).isNull(), F.col(c).cast("string"))])
-    keyed = docs.select(F.col(id_col).alias("doc_id"), key.alias("group"), F.col(text_col).alias("text"))
-    each = staged(counts(keyed, ["doc_id", "group"]), "counts")
+    key, pool, all_ = (F.xxhash64(F.lit(level), *[x for c in by[:level] for x in (F.col(c).isNull(), F.col(c).cast("string"))]) for level in (len(by), 1, 0))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), key.alias("group"), pool.alias("pool"), F.col(text_col).alias("text"))
+    each = staged(counts(keyed, ["doc_id", "group", "pool"]), "counts").withColumn("whole", all_)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     hashed = F.xxhash64("doc_id", "n_words", "word_chars")
     each = each.withColumn("base_failed", failed).withColumn("hash", hashed).withColumn("salt", F.pmod(F.shiftright("hash", 8), F.lit(SALTS)).cast("int"))
     rows = each.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_vector())])
-    params = minimum_covariance_determinant(rows.where("NOT base_failed").select("group", "salt", "hash", *[f"x{i}" for i in range(DIM)]), least)
+    levels = F.explode(F.array_distinct(F.array("group", "pool", "whole"))).alias("group")
+    params = minimum_covariance_determinant(rows.where("NOT base_failed").select(levels, "salt", "hash", *[f"x{i}" for i in range(DIM)]), least)
+    known = rows.select("group", "pool", "whole").distinct()
+    for at in ("group", "pool", "whole"):
+        known = known.join(params.select(F.col("group").alias(at), F.lit(True).alias(f"has_{at}")), at, "left")
+    use = F.coalesce(*[F.when(F.col(f"has_{at}"), F.col(at)) for at in ("group", "pool", "whole")])
+    params = params.withColumnRenamed("group", "fitted").join(known.select("group", use.alias("use")), F.col("fitted") == F.col("use")).drop("fitted", "use")
     reached = (F.pow(2.0, F.col("limit") / 64) - 1) / 16
-    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("size")
-    scaled = F.when(~F.col("base_failed"), _distance() * CHI2_75 / F.greatest(reached, F.lit(0.05)))
+    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("size", "fitted_rows")
+    scaled = F.when(~F.col("base_failed") & F.col("limit").isNotNull(), _distance() * CHI2_75 / F.greatest(reached, F.lit(0.05)))
     out = rows.join(salted, ["group", "salt"], "left").withColumn("distance", scaled)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff * _small_sample(F.col("fitted_rows")), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
 

@@ -281,6 +281,16 @@ def test_quality_counts_and_verdict(spark, docs, empty):
     assert quality.judge(empty).isEmpty()
 
 
+def test_quality_judges_small_groups_and_moderate_junk(spark, docs):
+    df, rows = docs
+    words = lambda i, sign: " ".join(f"w{(i * 7 + k) % 97}{sign if k % 3 == 0 else 'x'}" for k in range(90))
+    more = [(6000, words(1, "#"), "en", "s0", 0, "", ""), (6001, words(2, "#"), "en", "rare", 0, "", ""), (6002, words(3, "#"), "xx", "rare", 0, "", ""), (6003, words(4, "x"), "xx", "rare", 0, "", "")]
+    out = {r.doc_id: r for r in quality.judge(df.union(spark.createDataFrame(more, SCHEMA)), least=40).collect()}
+    assert not any(out[i].base_failed or out[i].kept for i in (6000, 6001, 6002)) and out[6003].kept
+    few = quality.judge(df.where("doc_id BETWEEN 30 AND 40"), least=40).collect()
+    assert all(r.distance is None for r in few) and all(r.kept != r.base_failed for r in few)
+
+
 def test_repeats_equal_brute_force(spark, docs, empty):
     df, _ = docs
     rows = {r.doc_id: r.text or "" for r in df.collect()}
