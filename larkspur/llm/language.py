@@ -246,7 +246,11 @@ def _predict(model, columns: list[str], schema):
         def make():
             scores: list[np.ndarray] = []
             table = lookup(path)[0] if names else None
-            return WordRows(lambda new: scores.append(log_words(new, table, p)), scores.clear, 600_000), scores
+
+            def keep(rows):
+                scores[:] = [np.concatenate(scores)[rows]]
+
+            return WordRows(lambda new: scores.append(log_words(new, table, p)), keep), scores
 
         number, scores = kept(("language", key), make)
         for b in batches:

@@ -16,17 +16,19 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import staged
-from .words import WordRows, blocks, kept, words
+from .words import IdLists, WordRows, blocks, kept, words
 
 LENGTH = 2048
+#: What a worker keeps from block to block: words with their ids, and parts of words with theirs; about 70 MB at most.
+WORDS_KEPT, PARTS_KEPT, PART_CHARS = 300_000, 300_000, 32
 
 
 def default_tokenizer() -> str:
@@ -47,46 +49,35 @@ class _Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x["content"] for x in json.load(open(path))["added_tokens"]]
-        self.parts: dict[str, list[int]] = {}
-        self.forget()
-        self.number = WordRows(self.learn, self.forget)
-
-    def forget(self) -> None:
-        self.size, self.ids = [], []
-        self.start = self.flat = None
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.lists = IdLists()
+        self.number = WordRows(self.learn, self.lists.keep, WORDS_KEPT)
 
     def learn(self, new: list[str]) -> None:
-        t, model, parts = self.tokenizer, self.tokenizer.model, self.parts
-        if len(parts) > 500_000:
-            parts.clear()
+        if len(self.parts) > PARTS_KEPT // 2:  # parts not met since the last time go
+            self.parts, self.older = {}, self.parts
+        t, model, parts, older = self.tokenizer, self.tokenizer.model, self.parts, self.older
         size, ids = [], []
         for word in new:
             if any(x in word for x in self.special) or not word.isascii():
-                got = t.encode(word, add_special_tokens=False).ids
+                got = np.array(t.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                got = []
+                got = b""
                 for part, _ in t.pre_tokenizer.pre_tokenize_str(word.lower()) if not word.isalpha() else ((word.lower(), 0),):
                     known = parts.get(part)
                     if known is None:
-                        known = parts[part] = [x.id for x in model.tokenize(part)]
+                        known = older.get(part) or array("I", [x.id for x in model.tokenize(part)]).tobytes()
+                        if len(part) <= PART_CHARS:
+                            parts[part] = known
                     got += known
-            size.append(len(got))
-            ids += got
-        self.size.append(np.array(size, np.int64))
-        self.ids.append(np.array(ids, np.uint32))
-        self.start = None
+            size.append(len(got) // 4)
+            ids.append(got)
+        self.lists.add(np.array(size, np.int64), np.frombuffer(b"".join(ids), "<u4"))
 
     def __call__(self, w) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block in order, and how many each word has."""
-        row = self.number(w)
-        if not len(row):
-            return np.zeros(0, np.uint32), row
-        if self.start is None:
-            self.size, self.ids = [np.concatenate(self.size)], [np.concatenate(self.ids)]
-            self.start = np.cumsum(self.size[0]) - self.size[0]
-        n = self.size[0][row]
-        at = np.repeat(self.start[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.ids[0][at], n
+        return self.lists(self.number(w))
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -176,7 +167,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, part_rows: int = 20_000, round
             break
         parts = max(1, -(-n // part_rows))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("_row", F.lit(r)), F.lit(parts)))
-        packed = staged(dealt.groupBy("part").applyInPandas(_pack(length, spare, r == rounds - 1 or parts == 1), "_row long, size long, part long, bin long, off long, again boolean"), "packed")
+        packed = staged(dealt.groupBy("part").applyInArrow(_pack(length, spare, r == rounds - 1 or parts == 1), "_row long, size long, part long, bin long, off long, again boolean"), "packed")
         done.append(packed.where("NOT again").select("_row", F.lit(r).alias("round"), "part", "bin", "off"))
         todo = packed.where("again").select("_row", "size")
     seq = F.xxhash64(F.lit(0))
@@ -194,7 +185,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, part_rows: int = 20_000, round
 
 
 def _pack(length: int, spare: int, final: bool):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         sizes = rows["size"].to_numpy()
         bin_of, offset = best_fit_decreasing(sizes, length)
         n = int(bin_of.max()) + 1
@@ -205,7 +196,8 @@ def _pack(length: int, spare: int, final: bool):
             emptiest = np.zeros(n, bool)
             emptiest[np.argsort(fill, kind="stable")[: gap + spare]] = True
             again = emptiest[bin_of]
-        return pd.DataFrame({"_row": rows["_row"], "size": sizes, "part": key[0], "bin": bin_of, "off": offset, "again": again})
+        part = np.full(len(sizes), key[0].as_py(), np.int64)
+        return pa.table({"_row": rows["_row"], "size": pa.array(sizes), "part": pa.array(part), "bin": pa.array(bin_of), "off": pa.array(offset), "again": pa.array(again)})
 
     return run
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import WordRows, Words, blocks, kept
+from .words import IdLists, WordRows, Words, blocks, kept
 
 MARK = "▁"
 
@@ -55,11 +55,8 @@ class PieceCoder:
             self.bytes_of[i] = piece.encode()
         for b, i in enumerate(self.byte):
             self.bytes_of[i] = bytes([b])
-        self.forget()
-        self.number = WordRows(self.learn, self.forget)
-
-    def forget(self) -> None:
-        self.size, self.ids, self.start = [], [], None
+        self.lists = IdLists()
+        self.number = WordRows(self.learn, self.lists.keep)
 
     def best(self, marked: list[str]) -> list[list[int]]:
         """Ids of each of the sorted words."""
@@ -93,21 +90,12 @@ class PieceCoder:
         found: list = [None] * len(new)
         for i, ids in zip(order, self.best([new[i] for i in order])):
             found[i] = ids
-        self.size.append(np.array([len(x) for x in found], np.int64))
-        self.ids.append(np.array([i for x in found for i in x], np.uint32))
-        self.start = None
+        self.lists.add(np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32))
 
     def encode(self, text: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a block."""
         w = marked_words(text)
-        row = self.number(w)
-        if not len(row):
-            return [np.zeros(0, np.uint32)] * len(text)
-        if self.start is None:
-            self.size, self.ids = [np.concatenate(self.size)], [np.concatenate(self.ids)]
-            self.start = np.cumsum(self.size[0]) - self.size[0]
-        n = self.size[0][row]
-        flat = self.ids[0][np.repeat(self.start[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        flat, n = self.lists(self.number(w))
         return np.split(flat, np.cumsum(np.bincount(w.doc, n, len(text)).astype(np.int64))[:-1])
 
     def decode(self, ids: list[int]) -> str:

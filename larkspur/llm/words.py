@@ -7,6 +7,8 @@ modulo 2**64 whose byte values come from a random table, then mixed.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,13 +56,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _kept: dict = {}
+_libc = ctypes.CDLL(None)
 
 
 def kept(key, make=None):
     """What a Python worker keeps from task to task: one thing at a time, so that operators which follow each other in a
     worker do not add up."""
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _libc.malloc_trim(0)
         if make:
             _kept[key] = make()
     return _kept.get(key)
@@ -127,29 +134,70 @@ def words(text: pa.Array) -> Words:
 
 class WordRows:
     """Numbers distinct words 0, 1, .. in the order in which ``learn`` is told of them. Kept by a Python worker from task
-    to task; it starts anew beyond ``limit`` words, so memory is bounded whatever the corpus."""
-
-    def __init__(self, learn, forget, limit: int = 1_000_000):
-        self.learn, self.forget, self.limit = learn, forget, limit
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    to task, with ``limit`` words at most beside those of one block, so memory is bounded whatever the corpus: when it is
+    full, words met in one block only go, and ``keep`` is told which numbers stay (they become 0, 1, .. in this order)."""
+
+    def __init__(self, learn, keep, limit: int = 300_000):
+        self.learn, self.keep, self.limit = learn, keep, limit
+        self.keys, self.rows, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _trim(self) -> None:
+        stay = self.met > 1
+        if stay.sum() > self.limit // 2:
+            stay = self.met > np.partition(self.met, len(self.met) - self.limit // 2)[len(self.met) - self.limit // 2]
+        number = np.cumsum(stay, dtype=np.int32) - 1
+        on = stay[self.rows]
+        self.keys, self.rows = self.keys[on], number[self.rows[on]]
+        self.met = np.ones(int(stay.sum()), np.int32)
+        self.keep(np.flatnonzero(stay))
 
     def __call__(self, w: Words) -> np.ndarray:
         """The number of each word of a block."""
         h = w.hashes()
         known, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(known) > self.limit:
-            self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.forget()
+        if len(self.keys) + len(known) > self.limit and len(self.keys):
+            self._trim()
         at = np.searchsorted(self.keys, known)
         new = np.ones(len(known), bool)
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != known[inside]
         if new.any():
             self.learn([w.text(i) for i in first[new]])
-            n = len(self.keys)
+            n, m = len(self.keys), int(new.sum())
             keys = np.concatenate([self.keys, known[new]])
-            rows = np.concatenate([self.rows, np.arange(n, n + int(new.sum()))])
+            rows = np.concatenate([self.rows, np.arange(n, n + m, dtype=np.int32)])
             order = np.argsort(keys, kind="stable")
             self.keys, self.rows = keys[order], rows[order]
+            self.met = np.concatenate([self.met, np.zeros(m, np.int32)])
             at = np.searchsorted(self.keys, known)
-        return self.rows[at[np.minimum(back, len(at) - 1)]] if len(at) else np.zeros(0, np.int64)
+        if not len(at):
+            return np.zeros(0, np.int64)
+        self.met[self.rows[at]] += 1
+        return self.rows[at[back]].astype(np.int64)
+
+
+class IdLists:
+    """A list of ids for each number that WordRows gives, in two flat arrays."""
+
+    def __init__(self):
+        self.size, self.ids, self.start = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], None
+
+    def add(self, size: np.ndarray, ids: np.ndarray) -> None:
+        self.size.append(size)
+        self.ids.append(ids)
+        self.start = None
+
+    def _joined(self) -> None:
+        if self.start is None:
+            self.size, self.ids = [np.concatenate(self.size)], [np.concatenate(self.ids)]
+            self.start = np.cumsum(self.size[0]) - self.size[0]
+
+    def keep(self, rows: np.ndarray) -> None:
+        ids, n = self(rows)
+        self.size, self.ids, self.start = [n], [ids], None
+
+    def __call__(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers, one list after the other, and the length of each list."""
+        self._joined()
+        n = self.size[0][row]
+        return self.ids[0][np.repeat(self.start[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
