@@ -1,8 +1,13 @@
 """Exact dedup against a persistent digest index.
 
-The index is a Parquet table bucketed and sorted by digest: the join of new digests with it needs no shuffle or sort of
-the index. New data is grouped by digest (partial aggregates first, so that a text with very many copies sends one row
-per task), the known digests leave by a sort-merge anti-join, and the rest is appended.
+The index is a Parquet table bucketed and sorted by digest: the join of new digests with it needs no shuffle of the
+index (Spark sorts a bucket again where several batches left a file each; ``compact`` makes it one file). New data is
+grouped by digest (partial aggregates first, so that a text with very many copies sends one row per task), the known
+digests leave by a sort-merge anti-join, and the rest is appended. Rows meet their digest's entry by a sort-merge join
+too, but for digests that more than one row in ``HOT`` has: of those there are at most ``HOT``, and they are broadcast.
+
+Batches: with a ``batch`` id from the caller, a job that died and runs again gives the rows of the first run, since the
+entries that a batch brought carry its id. Without one, each call is a batch of its own.
 
 Defined cases: a null text counts as empty; of rows with one digest the one with the most code points stays, then the
 smallest id, null ids last; repeated rows are members of their group like any other; an empty table gives no rows;
@@ -13,11 +18,15 @@ row of the batch stays for it.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fresh, staged
+from .store import delete, fresh, staged, unused
+
+#: A digest that more than one row in HOT of a batch has is joined by broadcast.
+HOT = 1000
 
 #: What normalisation deletes: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -53,37 +62,81 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Adds the new texts of docs to the index. Returns one row per document: doc_id, keep_id, group_size (rows with
         this text in the batch that brought it), kept, text_sha256."""
-        name = uuid.uuid4().hex
-        batch = staged(digests(docs, id_col, text_col), "digests")
+        name = batch or uuid.uuid4().hex
+        rows = staged(digests(docs, id_col, text_col), "digests")
         order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("n_chars"))
-        best = batch.groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+        best = rows.groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
         best = best.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.n_chars").alias("n_chars"), "group_size", F.lit(name).alias("batch"))
+        best = staged(best, "texts")
         new = best.hint("merge").join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         new = new.repartition(self.buckets, "digest")
         new.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        known = self.table().select("digest", "keep_id", "group_size", (F.col("batch") == name).alias("new")).hint("merge")
-        return batch.join(known, "digest").select(
+        known = self.table().select("digest", "keep_id", "group_size", (F.col("batch") == name).alias("new"))
+        hot = best.where(F.col("group_size") > rows.count() / HOT).select("digest")  # HOT rows at most
+        often = known.join(F.broadcast(hot), "digest").select("digest", F.struct("keep_id", "group_size", "new").alias("entry"))
+        marked = rows.join(F.broadcast(often), "digest", "left")
+        found = [
+            marked.where("entry IS NOT NULL").select("digest", "doc_id", "entry.*"),
+            marked.where("entry IS NULL").drop("entry").hint("merge").join(known.hint("merge"), "digest").select("digest", "doc_id", "keep_id", "group_size", "new"),
+        ]
+        return found[0].unionByName(found[1]).select(
             "doc_id", "keep_id", "group_size", (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
         )
 
-
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def compact(self) -> None:
+        """One sorted file a bucket in place of one a batch. No other job may write meanwhile."""
+        old, new = f"{self.name}_old", DigestIndex(self.spark, f"{self.name}_new", buckets=self.buckets)
+        rows = self.table().repartition(self.buckets, "digest")
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(new.name)
+        self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {old}")
+        self.spark.sql(f"ALTER TABLE {new.name} RENAME TO {self.name}")
+        DigestIndex(self.spark, old).drop()
+
+    def drop(self) -> None:
+        """Deletes the index, files included."""
+        at = self.spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'").head()["data_type"]
+        self.spark.sql(f"DROP TABLE {self.name}")
+        delete(self.spark, at)
+
+
+@contextmanager
+def _own_index(spark: SparkSession):
+    """An index for one run."""
+    index = DigestIndex(spark)
+    try:
+        yield index
+    finally:
+        index.drop()
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """The documents of a batch that stay, with all their columns: one row for each new text, also where ids are null or
-    several texts have one id."""
-    index = index or DigestIndex(docs.sparkSession)
-    kept = index.ingest(docs, id_col, text_col).where("kept").select(F.unhex("text_sha256").alias("digest"), F.col("doc_id").alias("_kept_id")).distinct()
-    kept = kept.join(index.table().select("digest", F.col("n_chars").alias("_kept_chars")), "digest").withColumnRenamed("digest", "_kept_digest")
+    several texts have one id. Without an index, texts are compared within the batch only."""
+    if index is None:
+        with _own_index(docs.sparkSession) as own:
+            winners = staged(_winners(docs, own, id_col, text_col, batch), "winners")
+    else:
+        winners = staged(_winners(docs, index, id_col, text_col, batch), "winners")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumns({"_digest": _digest(text), "_chars": F.length(text)})
-    same = (own["_digest"] == kept["_kept_digest"]) & own[id_col].eqNullSafe(kept["_kept_id"]) & (own["_chars"] == kept["_kept_chars"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["_digest", id_col]).drop("_digest", "_chars")
+    digest, chars = unused(docs, "digest"), unused(docs, "chars")
+    own_rows = docs.withColumns({digest: _digest(text), chars: F.length(text)})
+    same = (own_rows[digest] == winners["digest"]) & own_rows[id_col].eqNullSafe(winners["keep_id"]) & (own_rows[chars] == winners["n_chars"])
+    return own_rows.join(winners, same, "left_semi").dropDuplicates([digest, id_col]).drop(digest, chars)
+
+
+def _winners(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str, batch: str | None) -> DataFrame:
+    """digest, keep_id, n_chars of the texts that a batch brings."""
+    name = batch or uuid.uuid4().hex
+    index.ingest(docs, id_col, text_col, name)
+    return index.table().where(F.col("batch") == name).select("digest", "keep_id", "n_chars")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DigestIndex(spark).ingest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    with _own_index(spark) as index:
+        return staged(index.ingest(spark.read.parquet(f"{sf_dir}/documents.parquet")), "op3")
 
 
 OP3_SQL = r"""

@@ -5,7 +5,7 @@ sum, over all ways to cut the marked word into pieces, of the product of their p
 for all languages at once. A text's log-probability is the sum over its words, since no piece crosses white space.
 
 The piece probabilities are fitted by expectation maximisation on a bounded sample of labelled rows (``fit_rows`` rows a
-language in expectation, chosen by a hash of the id), from their words of at most 32 characters. Each step's expected
+language in expectation, chosen by a hash of the id), from all their words. Each step's expected
 counts come from Spark tasks; languages x pieces numbers reach the driver.
 
 Defined cases: null text, or text without a letter: 'und' with score 0; nothing to learn from: 'und' for all; a null id
@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import WordRows, blocks, kept, mix, words
+from .store import unused
+from .words import WordRows, blocks, kept, mix, tidy, words
 
-MARK, LONGEST, FIT_CHARS = "▁", 16, 32
+MARK, LONGEST = "▁", 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -98,12 +99,12 @@ def lookup(path: str) -> tuple[Lookup, int]:
     return Lookup(p), len(p)
 
 
-def _groups(texts: list[str], table: Lookup):
-    """Marked words in groups of alike lengths: (indexes, lengths, edges), where edges(j, l) are the pieces that end after
-    j characters and have l of them; piece -1: none."""
+def _groups(texts: list[str], table: Lookup, unknown: int):
+    """Marked words in groups of alike lengths: (indexes, lengths, edges), where edges(j) gives (length, which words, which
+    pieces) of the pieces that end after j characters; a character that is no piece is the unknown one."""
     marked = [MARK + t for t in texts]
     size = np.array([len(t) for t in marked])
-    bounds = [0, 4, 6, 8, 10, 13, 17, 24, FIT_CHARS + 1]
+    bounds = [0, 4, 6, 8, 10, 13, 17, 24, 33]
     while bounds[-1] < size.max(initial=0):
         bounds.append(bounds[-1] * 2)
     for lo, hi in zip(bounds, bounds[1:]):
@@ -111,17 +112,32 @@ def _groups(texts: list[str], table: Lookup):
         step = max(1, 200_000 // hi)
         for k in range(0, len(of), step):
             part = of[k : k + step]
-            codes = _Codes("".join(marked[i] for i in part))
-            end = np.cumsum(size[part])
-            start = end - size[part]
-
-            def edges(j: int, n: int, start=start, part=part, codes=codes) -> np.ndarray:
-                out = np.full(len(part), -1, np.int32)
-                on = np.flatnonzero(size[part] >= j)
-                out[on] = table(codes.hashes(start[on] + (j - n), start[on] + j))
-                return out
-
-            yield part, size[part], edges
+            yield part, size[part], _edges([marked[i] for i in part], size[part], table, unknown)
+
+
+def _edges(marked: list[str], size: np.ndarray, table: Lookup, unknown: int):
+    codes = _Codes("".join(marked))
+    start = np.cumsum(size) - size
+    place = np.arange(1, int(size.sum()) + 1) - np.repeat(start, size)  # characters of the word up to this one
+    ends = np.arange(1, len(place) + 1)
+    found = np.full((LONGEST, len(place)), -1, np.int32)
+    some = np.zeros((int(size.max()) + 1, LONGEST), bool)
+    for n in range(1, LONGEST + 1):
+        on = np.flatnonzero(place >= n)
+        found[n - 1, on] = table(codes.hashes(ends[on] - n, ends[on]))
+        if n == 1:
+            found[0][found[0] < 0] = unknown
+        some[place[found[n - 1] >= 0], n - 1] = True
+
+    def edges(j: int):
+        live = np.flatnonzero(size >= j)
+        at = start[live] + (j - 1)
+        for n in np.flatnonzero(some[j]).tolist():
+            e = found[n, at]
+            hit = e >= 0
+            yield n + 1, live[hit], e[hit]
+
+    return edges
 
 
 def log_words(texts: list[str], table: Lookup, p: np.ndarray) -> np.ndarray:
@@ -129,62 +145,68 @@ def log_words(texts: list[str], table: Lookup, p: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), len(p)))
     q = np.ascontiguousarray(p.T)
     unknown = q.shape[0] - 1
-    for part, size, edges in _groups(texts, table):
+    for part, size, edges in _groups(texts, table, unknown):
         ring = np.zeros((LONGEST, len(part), len(p)))
         ring[0] = 1
         scale = np.zeros((len(part), len(p)))
         for j in range(1, int(size.max()) + 1):
             now = np.zeros((len(part), len(p)))
-            for n in range(1, min(j, LONGEST) + 1):
-                e = edges(j, n)
-                if n == 1:
-                    e[(e < 0) & (size >= j)] = unknown
-                on = np.flatnonzero(e >= 0)
-                if len(on):
-                    now[on] += ring[(j - n) % LONGEST][on] * q[e[on]]
+            for n, on, e in edges(j):
+                now[on] += ring[(j - n) % LONGEST][on] * q[e]
             ring[j % LONGEST] = now
             done = np.flatnonzero(size == j)
             out[part[done]] = np.log(now[done]) + scale[done]
             if j % 8 == 0:  # keeps long words within the floating range
-                top = ring.max(0)
-                top[top <= 0] = 1
-                ring /= top
-                scale += np.log(top)
+                scale += _rescaled(ring)
     return out
 
 
 def expected(texts: list[str], counts: np.ndarray, table: Lookup, p: np.ndarray) -> np.ndarray:
-    """Expected piece counts of words with counts (words x languages), by a forward and a backward pass."""
+    """Expected piece counts of words with counts (words x languages), by a forward and a backward pass. Both are scaled
+    every few characters, so words may be of any length."""
     total = np.zeros_like(p.T)
     q = np.ascontiguousarray(p.T)
-    unknown = q.shape[0] - 1
-    for part, size, edges in _groups(texts, table):
-        top = int(size.max())
+    unknown, slots = q.shape[0] - 1, LONGEST + 1
+    for part, size, edges in _groups(texts, table, unknown):
+        top, shape = int(size.max()), (len(part), len(p))
         c = counts[part]
-        f, b = np.zeros((top + 1, len(part), len(p))), np.zeros((top + 1, len(part), len(p)))
-        f[0] = 1
-        b[size, np.arange(len(part))] = 1
-        kept = {}
+        forward, scales, scale = np.zeros((top + 1, *shape)), np.zeros((top // 8 + 1, *shape)), np.zeros(shape)
+        ring = np.zeros((slots, *shape))
+        ring[0] = forward[0] = 1
         for j in range(1, top + 1):
-            for n in range(1, min(j, LONGEST) + 1):
-                e = edges(j, n)
-                if n == 1:
-                    e[(e < 0) & (size >= j)] = unknown
-                on = np.flatnonzero(e >= 0)
-                if len(on):
-                    kept[j, n] = on, e[on]
-                    f[j, on] += f[j - n, on] * q[e[on]]
+            now = np.zeros(shape)
+            for n, on, e in edges(j):
+                now[on] += ring[(j - n) % slots][on] * q[e]
+            ring[j % slots] = forward[j] = now
+            if j % 8 == 0:
+                scale = scale + _rescaled(ring)
+                scales[j // 8] = scale
+        ends = np.arange(len(part))
+        whole = np.log(np.maximum(forward[size, ends], 1e-300)) + scales[(size - 1) // 8, ends]
+        ring, back = np.zeros((slots, *shape)), np.zeros(shape)
         for j in range(top, 0, -1):
-            for n in range(1, min(j, LONGEST) + 1):
-                if (j, n) in kept:
-                    on, e = kept[j, n]
-                    b[j - n, on] += b[j, on] * q[e]
-        whole = np.maximum(f[size, np.arange(len(part))], 1e-300)
-        for (j, n), (on, e) in kept.items():
-            np.add.at(total, e, f[j - n, on] * q[e] * b[j, on] * c[on] / whole[on])
+            ring[j % slots][size == j] = 1
+            now = ring[j % slots].copy()
+            for n, on, e in edges(j):
+                i = j - n
+                step = now[on] * q[e]
+                ring[i % slots][on] += step
+                share = np.exp(np.minimum(scales[max(i - 1, 0) // 8, on] + back[on] - whole[on], 700))
+                np.add.at(total, e, forward[i, on] * step * share * c[on])
+            ring[j % slots] = 0
+            if j % 8 == 0:
+                back = back + _rescaled(ring)
     return total.T
 
 
+def _rescaled(ring: np.ndarray) -> np.ndarray:
+    """Divides the ring by its largest values in place; their logs."""
+    top = ring.max(0)
+    top[top <= 0] = 1
+    ring /= top
+    return np.log(top)
+
+
 class LanguageModel:
     """names: languages; p: piece probabilities; prior: log share of each language among the labelled rows."""
 
@@ -202,13 +224,13 @@ class LanguageModel:
         unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, fit_rows / sizes[n]))])
         sample = labelled.where(unit < share[F.col("lang")])
-        each = sample.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where(F.length("word").between(1, FIT_CHARS))
+        each = sample.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
         table = each.groupBy("word").pivot("lang", names).count().na.fill(0).toDF("word", *[f"n{i}" for i in range(len(names))])
         table = table.persist()
         n = lookup(path)[1]
         p = np.full((len(names), n + 1), 1 / (n + 1))
         for _ in range(steps):
-            got = table.mapInArrow(_e_step(p, path), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+            got = table.mapInArrow(tidy(_e_step(p, path)), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
             total = np.full_like(p, 0.05)
             total[got["lang"].to_numpy(), got["piece"].to_numpy()] += got["n"].to_numpy()
             p = total / total.sum(1, keepdims=True)
@@ -216,13 +238,15 @@ class LanguageModel:
         prior = np.log([sizes[x] for x in names]) - np.log(sum(sizes.values()))
         return cls(names, p, prior, path)
 
-    def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-        """One row per document: the id, the columns in keep, lang_pred and score (posterior of the language)."""
+    def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+        """One row per document: the id, the columns in keep, lang_pred and score (posterior of the language) under the
+        given names, which must not be among the others."""
         spark = docs.sparkSession
-        rows = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col(text_col).alias("_text"))
-        schema = T.StructType([*rows.select(id_col, *keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+        first = docs.select(id_col, *keep)
+        rows = docs.select(*first.columns, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(unused(first, "letters")), F.col(text_col).alias(unused(first, "whole_text")))
+        schema = T.StructType([*first.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
         model = spark.sparkContext.broadcast((self.names, self.p, self.prior, self.path, self.key))  # languages x 32,000 numbers
-        return rows.mapInArrow(_predict(model, [id_col, *keep], schema), schema)
+        return rows.mapInArrow(tidy(_predict(model, first.columns, schema)), schema)
 
 
 def _e_step(p: np.ndarray, path: str):

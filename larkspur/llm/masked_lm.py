@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import blocks, mix, words
+from .words import blocks, mix, tidy, words
 
 SIDE, WIDTH, CLASSES, PART = 2, 24, 64, 8192
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
@@ -143,7 +143,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     have, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield rows()
 
-    return docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class MaskedModel:
@@ -160,7 +160,7 @@ class MaskedModel:
         flat = Net.start()
         for r in range(rounds):
             shared = spark.sparkContext.broadcast((known, ids, flat))
-            trained = docs.select(text_col).mapInArrow(_train(shared, every, r, rate), "salt int, part int, weight double, values array<float>")
+            trained = docs.select(text_col).mapInArrow(tidy(_train(shared, every, r, rate)), "salt int, part int, weight double, values array<float>")
             once = trained.groupBy("salt", "part").applyInArrow(_averaged, "salt int, part int, weight double, values array<float>")
             whole = once.withColumn("salt", F.lit(0)).groupBy("salt", "part").applyInArrow(_averaged, "salt int, part int, weight double, values array<float>")
             got = whole.orderBy("part").select("values").toArrow().column(0).combine_chunks()
@@ -188,7 +188,7 @@ class MaskedModel:
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-        return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+        return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidy(run), f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
 def _train(shared, every: int, turn: int, rate: float):

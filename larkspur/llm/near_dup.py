@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .recompress import spans
-from .store import free, staged
-from .words import blocks, kept, mix, words
+from .store import free, staged, unused
+from .words import blocks, kept, mix, tidy, words
 
 SHINGLE = 5
 #: Counters of shingles, for an order that puts rare ones first; any order gives the same classes.
@@ -104,6 +104,7 @@ def _lists(x: np.ndarray) -> pa.ListArray:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
     """doc_id, n_words, c1 and c2 (hash of the word sequence), bands (a hash of each)."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         kept(None)
@@ -125,7 +126,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                     out[lo:hi, k] = x
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(c1), pa.array(c2), _lists(out.view(np.int64))], ["doc_id", "n_words", "c1", "c2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_words long, c1 long, c2 long, bands array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), f"doc_id {kind}, n_words long, c1 long, c2 long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.array(values[ends[i] : ends[j]].view(np.int64)))
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo + i, j - i), lists], ["doc", "set"])
 
-    return docs.mapInArrow(run, "doc long, set array<long>")
+    return docs.mapInArrow(tidy(run), f"doc {docs.schema['doc'].dataType.simpleString()}, set array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def near_dup_classes(
     members = staged(members.join(shared, "bucket"), "members")
     hubs = staged(members.groupBy("doc").agg(F.sum("n").alias("hub"), F.first("size").alias("size")), "hubs")
     members = members.select("bucket", "doc", F.col("size").alias("rest")).join(hubs, "doc")
-    picked = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     sets = staged(_shingle_sets(picked.join(hubs, "doc", "left_semi")).dropDuplicates(["doc"]), "shingles")
 
     klass, links, tested, rounds = None, None, None, 0
@@ -251,7 +252,7 @@ def _slots(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    got = sets.select("set").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = sets.select("set").mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -273,13 +274,14 @@ def _refined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             docs = b.column(0).take(pa.array(row[first]))
             yield pa.RecordBatch.from_arrays([pa.array(shingle[order][first]), docs, pa.array((n[row] - at)[first].astype(np.int64))], ["bucket", "doc", "rest"])
 
-    return some.mapInArrow(run, "bucket long, doc long, rest long")
+    return some.mapInArrow(tidy(run), f"bucket long, doc {some.schema['doc'].dataType.simpleString()}, rest long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that stay, with all their columns: one of each class."""
-    kept = near_dup_classes(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    name = unused(docs, "kept_id")
+    kept = near_dup_classes(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[name]), "left_semi")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

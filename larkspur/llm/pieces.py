@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import IdLists, WordRows, Words, blocks, kept
+from .words import IdLists, WordRows, Words, blocks, kept, tidy
 
 MARK = "▁"
 
@@ -137,7 +137,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -150,7 +150,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x.as_py() or []) for x in b.column(1)], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, text string")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -173,7 +173,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"],
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidy(run), f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -74,6 +76,7 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l",
     "․": ".", "。": ".", "．": ".", "｡": ".", "‧": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹣": "-",
     " ": " ", " ": " ", " ": " ", " ": " ", "　": " ",
@@ -91,36 +94,54 @@ DIGITS = {
 
 @lru_cache(1)
 def _characters() -> dict[str, str]:
-    """Single characters and what they stand for: the table, full-width ASCII, and decimal digits of all scripts."""
-    out = dict(HOMOGLYPHS)
-    out |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    """Single characters and what they stand for: the table; characters whose compatibility form is one ASCII character
+    (full-width, mathematical, circled and raised ones among them); decimal digits of all scripts; combining marks vanish."""
+    out = {}
     for c in range(0x80, 0x20000):
-        if unicodedata.category(chr(c)) == "Nd":
-            out[chr(c)] = str(unicodedata.digit(chr(c)))
-    return out
+        x = chr(c)
+        kind = unicodedata.category(x)
+        plain = unicodedata.normalize("NFKC", x)
+        if kind == "Nd":
+            out[x] = str(unicodedata.digit(x))
+        elif kind == "Mn" and c < 0x370:
+            out[x] = ""
+        elif len(plain) == 1 and " " <= plain <= "~":
+            out[x] = plain
+    return out | HOMOGLYPHS
 
 
 #: Last labels that make a bare "x at y dot z" an address (fixed values).
 ENDINGS = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|me|eu|de|fr|es|uk|us|ca|ch|at|it|nl|be|pt|pl|ru|cn|jp|in|br|mx"
 
 
+#: Words for @ and for the dot in addresses, in the languages of the corpus (fixed values).
+AT_WORDS, DOT_WORDS = "at|arroba|arobase|klammeraffe", "dot|punkt|point|punto"
+
+
 @lru_cache(1)
 def _patterns():
     characters = "[" + "".join(map(re.escape, _characters())) + "]"
     name = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
+    number = rf"(?:{name}|[0-9]{{1,4}})"
     open_, close = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
     host = r"[A-Za-z0-9-]{1,63}"
-    boxed = rf"\s{{0,3}}{open_}(?:dot|punkt|point|punto){close}\s{{0,3}}"
-    bare = r"\s{1,3}dot\s{1,3}"
+    boxed = rf"\s{{0,3}}{open_}(?:{DOT_WORDS}|\.){close}\s{{0,3}}"
+    bare = rf"\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}"
+    byte = rf"{number}(?:[\s-]{number}){{0,2}}"
     phrases = re.compile(
-        rf"(?P<at>\s{{0,3}}{open_}(?:at|@){close}\s{{0,3}}|\s{{1,3}}at\s{{1,3}}(?={host}(?:\.{host}){{0,4}}{boxed}{host}|{host}(?:(?:\.|{bare}){host}){{0,4}}{bare}(?:{ENDINGS})\b))"
+        rf"(?P<at>\s{{0,3}}{open_}(?:{AT_WORDS}|a|@){close}\s{{0,3}}(?={host})|\s{{1,3}}(?:{AT_WORDS})\s{{1,3}}(?={host}(?:\.{host}){{0,4}}{boxed}{host}|{host}(?:(?:\.|{bare}){host}){{0,4}}{bare}(?:{ENDINGS})\b))"
+        rf"|(?P<bytes>\b{byte}(?:{bare}{byte}){{3}}\b)"
         rf"|(?P<dot>{boxed}(?=[A-Za-z0-9])|{bare}(?={host}))"
         rf"|(?P<plus>\bplus\s{{1,3}}(?={name}\b|[0-9]))"
-        rf"|(?P<digits>\b{name}(?:[\s.-]{{1,2}}{name}){{2,}}\b)",
+        rf"|(?P<digits>\b(?:{number}[\s.-]{{1,2}}){{0,40}}?{name}(?:[\s.-]{{1,2}}{number}){{2,40}}\b)"
+        rf"|(?P<spaced>(?<!\S)[A-Za-z0-9](?:\s[A-Za-z0-9._%+-]){{1,40}}\s?@\s?[A-Za-z0-9](?:\s[A-Za-z0-9.-]){{3,60}}(?!\S))",
         re.IGNORECASE,
     )
-    sign = rf"(?i){open_}(?:at|@|dot|punkt|point|punto){close}|\sdot\s|{name}[\s.-]{{1,2}}{name}[\s.-]{{1,2}}{name}|{characters}"
-    return re.compile(characters), phrases, re.compile(rf"{name}|[^\w]+", re.IGNORECASE), sign
+    sign = (
+        rf"(?i:{open_}(?:{AT_WORDS}|a|@|{DOT_WORDS}|\.){close}|\s(?:{DOT_WORDS})\s|{name}[\s.-]{{1,2}}{number}[\s.-]{{1,2}}{number}|{number}[\s.-]{{1,2}}{number}[\s.-]{{1,2}}{name}"
+        rf"|\s[a-z0-9]\s?@\s?[a-z0-9]\s)|{characters}"  # case folding would let a plain s or k stand for its look-alikes
+    )
+    return re.compile(characters), phrases, re.compile(rf"{name}|[0-9]+|(?:{DOT_WORDS})|[^\w]+", re.IGNORECASE), sign
 
 
 #: Without one of these a text has no plain identifier.
@@ -170,8 +191,19 @@ class Aligned:
 
 
 def _phrase(m: re.Match, pieces: re.Pattern) -> str:
-    if m.lastgroup == "digits":
-        return "".join(DIGITS.get(x.group().lower(), " " if len(x.group()) > 1 else "") for x in pieces.finditer(m.group()))
+    if m.lastgroup == "spaced":
+        return "".join(m.group().split())
+    if m.lastgroup in ("digits", "bytes"):
+        out = []
+        for x in pieces.finditer(m.group()):
+            word = x.group().lower()
+            if word[0].isdigit():
+                out.append(word)
+            elif word[0].isalpha():
+                out.append(DIGITS.get(word, "."))
+            elif len(word) > 1 and m.lastgroup == "digits":
+                out.append(" ")
+        return "".join(out)
     return {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]
 
 
@@ -215,7 +247,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(
-        run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        tidy(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )
 
 
@@ -241,7 +273,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     new[k] = mask(new[k], sum(_spans(new[k], *signs), []))
             yield b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

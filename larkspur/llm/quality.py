@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .recompress import spans
-from .store import staged
-from .words import SPACE, Words, blocks, mix, words
+from .store import staged, unused
+from .words import SPACE, Words, blocks, mix, tidy, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -81,7 +81,7 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 
 
 def counts(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    rows = docs.select(*keys, F.col(text_col).alias("_text"))
+    rows = docs.select(*keys, F.col(text_col).alias(unused(docs.select(*keys), "whole_text")))
 
     def run(batches):
         for b in batches:
@@ -93,7 +93,7 @@ def counts(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFram
     schema = docs.select(*keys).schema
     for c in _COUNTS:
         schema = schema.add(c, "long")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _vector() -> list:
@@ -136,7 +136,7 @@ def _fitted(moments: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
 
     names = [x.split()[0] for x in _PARAMS.split(", ")]
-    return moments.mapInArrow(run, _PARAMS)
+    return moments.mapInArrow(tidy(run), _PARAMS)
 
 
 def _distance():
@@ -144,7 +144,7 @@ def _distance():
     for i in range(DIM):
         for j in range(i, DIM):
             d += (1 if i == j else 2) * F.col(f"p{i}{j}") * (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}"))
-    return F.greatest(d, F.lit(0.0))
+    return F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))
 
 
 def _grid(d):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .recompress import anchors, spans
 from .store import free, staged
-from .words import blocks, words
+from .words import blocks, tidy, words
 
 WINDOW = 50
 
@@ -81,8 +81,9 @@ def _windows(window: int):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc, start, end) word ranges covered by windows whose words also start in a document with a smaller id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
-    runs = texts.mapInArrow(_runs(window), "symbol long, region long, doc long, at int, n int")  # cheaper to make twice than to keep
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
+    runs = texts.mapInArrow(tidy(_runs(window)), f"symbol long, region long, doc {kind}, at int, n int")  # cheaper to make twice than to keep
     ends = runs.groupBy("symbol").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     shared = staged(ends.where("lo < hi").select("symbol"), "symbols")
     runs = staged(runs.join(shared, "symbol", "left_semi"), "runs")
@@ -93,7 +94,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for x in (shared, runs, regions):
         free(docs.sparkSession, x)
     open_ = told.where("NOT known").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    windows = staged(texts.join(open_, "doc").mapInArrow(_windows(window), "h1 long, h2 long, doc long, at int"), "windows")
+    windows = staged(texts.join(open_, "doc").mapInArrow(tidy(_windows(window)), f"h1 long, h2 long, doc {kind}, at int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     found = windows.join(first, ["h1", "h2"]).where("doc > first").select("doc", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
     known = told.where("known").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") + (window - 1)).alias("end"))
@@ -103,7 +104,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, the kept words."""
     gone = staged(repeated_spans(docs, id_col, text_col, window).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.join(gone, rows["doc_id"] == gone["doc"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
@@ -128,7 +129,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())] + [pa.array(kept, pa.string())] * texts
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(columns)])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    return rows.mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

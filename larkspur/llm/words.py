@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in blocks of about so many bytes, to bound the memory of a task; a longer text is a block alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -49,7 +49,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(n, base, np.uint64)
             x[0] = 1
             out.append(np.cumprod(x, dtype=np.uint64))
-        if n > 8 * BLOCK_BYTES:  # for one huge text: not kept
+        if n > 16 * BLOCK_BYTES:  # for one huge text: not kept
             return out[0], out[1]
         _POWERS[:] = [(out[0], out[1])]
     return _POWERS[0]
@@ -59,15 +59,32 @@ _kept: dict = {}
 _libc = ctypes.CDLL(None)
 
 
+def _give_back() -> None:
+    """Returns what the process has freed to the machine: a worker is used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _libc.malloc_trim(0)
+
+
+def tidy(run):
+    """The function of batches, with freed memory given back at the end of each task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def kept(key, make=None):
     """What a Python worker keeps from task to task: one thing at a time, so that operators which follow each other in a
     worker do not add up."""
     if key not in _kept:
         if _kept:
             _kept.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            _libc.malloc_trim(0)
+            _give_back()
         if make:
             _kept[key] = make()
     return _kept.get(key)
