@@ -1,4 +1,9 @@
-"""A corpus made ready for training, stage by stage. Each stage's rows are written and read again by the next."""
+"""A corpus made ready for training, stage by stage. Each stage's rows are written and read again by the next.
+
+Defined cases: a document without text or without a letter goes in the first stage, so later ones see texts only; rows that
+are equal as a whole are exact copies; a null id is carried along, and documents with one are never near copies; empty
+tables give no rows; further columns pass through to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup, language, near_dup, packing, pii
-from larkspur.llm.store import staged
+from larkspur.llm.store import staged, unused
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those whose best language is less likely than all others together."""
     labelled = docs.select("doc_id", "text", "lang").where(~language.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = language.LanguageModel.fit(labelled)
-    kept = model.predict(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    pred, score = unused(docs, "lang_pred"), unused(docs, "score")
+    kept = model.predict(docs, keep=tuple(c for c in docs.columns if c != "doc_id"), names=(pred, score))
+    return kept.where((F.col(pred) != "und") & (F.col(score) >= 0.5)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
