@@ -49,15 +49,13 @@ def fnv1a(c: Column) -> Column:
 def subword_ids(text: Column, buckets: int = 4096, shortest: int = 3, longest: int = 5) -> Column:
     """Sorted distinct hash buckets of the character n-grams of ^text$."""
     marked = F.concat(F.lit("^"), text, F.lit("$"))
-    grams = F.flatten(
-        F.array(
-            *[
-                F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-                for n in range(shortest, longest + 1)
-            ]
-        )
-    )
-    return F.array_sort(F.array_distinct(F.transform(grams, lambda g: fnv1a(g) % buckets)))
+
+    def grams(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.substring(marked, i, F.lit(n)))
+        return F.when(F.length(marked) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    whole = F.flatten(F.array(*[grams(n) for n in range(shortest, longest + 1)]))
+    return F.array_sort(F.array_distinct(F.transform(whole, lambda g: fnv1a(g) % buckets)))
 
 
 def order_hash(i: Column) -> Column:

@@ -57,30 +57,36 @@ def track_key(artist: Column, title: Column) -> Column:
     return F.concat(text_key(artist), F.lit(UNIT), text_key(title))
 
 
-_REMASTER = r"\s*(?:[-–(\[]\s*)?(?:\d{4}\s+)?(?:digital(?:ly)?\s+)?remaster(?:ed)?(?:\s+version)?(?:\s+\d{4})?\s*[)\]]?\s*$"
-_FAMILY = r"\s*(?:[-–]\s*|[(\[]\s*)(?:[^()\[\]]*\b)?(?:remaster(?:ed)?|live|version|remix|mix|acoustic|edit)\b[^()\[\]]*[)\]]?\s*$"
+#: Words that mark a version of a song (fixed values): anywhere in a last bracket or behind a dash; and the labels that
+#: must be a bracket's or a suffix's whole content.
+FAMILY_WORDS = "remaster|live|version|remix|acoustic|edit"
+LABELS = r"remaster(?:ed)?|remix(?:ed)?|live|demo|acoustic|instrumental|radio\s+edit|single\s+version|album\s+version|mono|stereo|clean|explicit|cover"
+_YEAR_BEFORE, _YEAR_AFTER = r"(?:\d{4}\s+)?", r"(?:\s+\d{4})?"
 
 
 def remaster_key(title: Column) -> Column:
-    return collapse(F.regexp_replace(text_key(title), _REMASTER, ""))
+    """The match key without a last bracket or dash suffix that only says remaster, with or without a year."""
+    label = _YEAR_BEFORE + "remaster(?:ed)?" + _YEAR_AFTER
+    bare = F.regexp_replace(match_key(title), rf"\s*[\[(]{label}[\])]\s*$", "")
+    return F.regexp_replace(bare, rf"\s+-\s+{label}\s*$", "")
 
 
 def family_title(title: Column) -> Column:
-    return collapse(F.regexp_replace(text_key(title), _FAMILY, ""))
+    """The match key without a last bracket that holds a version word, and without what follows a spaced dash and one."""
+    bare = F.regexp_replace(match_key(title), rf"\s*[\[(][^\])]*(?:{FAMILY_WORDS})[^\])]*[\])]\s*$", "")
+    return F.trim(F.regexp_replace(bare, rf"\s+-\s+{_YEAR_BEFORE}(?:{FAMILY_WORDS}).*$", ""))
 
 
 def song_key(artist: Column, title: Column) -> Column:
     """Key of all versions of a song."""
-    return F.concat(text_key(artist), F.lit(UNIT), family_title(title))
-
-
-_LABEL = r"(?:(?:\d{4}\s+)?remaster(?:ed)?(?:\s+\d{4})?|live|acoustic|radio edit|single version|album version|extended mix|mono|stereo)"
+    return F.concat(match_key(artist), F.lit(UNIT), family_title(title))
 
 
 def versionless(title: Column) -> Column:
-    """A bracket or dash suffix goes only if all of it is a version label."""
-    bare = F.regexp_replace(text_key(title), rf"\s*[(\[]\s*{_LABEL}\s*[)\]]\s*$", "")
-    return collapse(F.regexp_replace(bare, rf"\s+[-–]\s+{_LABEL}\s*$", ""))
+    """Every bracket goes whose whole content is a version label, and so does a dash suffix."""
+    label = f"{_YEAR_BEFORE}(?:{LABELS}){_YEAR_AFTER}"
+    bare = F.regexp_replace(text_key(title), rf"\s*[\[(]{label}[\])]", "")
+    return collapse(F.regexp_replace(bare, rf"\s*[-–—]\s*{label}$", ""))
 
 
 def token_text(c: Column) -> Column:

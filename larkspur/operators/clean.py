@@ -46,7 +46,7 @@ def url_parts(pages: DataFrame) -> DataFrame:
     )
 
 
-def track_url(urls: DataFrame, host: str) -> DataFrame:
-    """url and track: the 22-character id of https://<host>/track/<id>, null otherwise."""
+def track_url(urls: DataFrame, host: str, keep: list[str] | None = None) -> DataFrame:
+    """url (or the columns to keep) and track: the 22-character id of https://<host>/track/<id>, null otherwise."""
     pattern = rf"^https://{host}/(?:intl-[a-z]{{2}}/)?track/([A-Za-z0-9]{{22}})(?:[?#].*)?$"
-    return urls.select("url", F.nullif(F.regexp_extract("url", pattern, 1), F.lit("")).alias("track"))
+    return urls.select(*(keep or ["url"]), F.nullif(F.regexp_extract("url", pattern, 1), F.lit("")).alias("track"))

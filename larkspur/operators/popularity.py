@@ -112,3 +112,11 @@ def vocabulary(x: DataFrame, column: str, size: int) -> DataFrame:
     """The most played values with ids by alphabetical order."""
     top = x.groupBy(column).agg(F.count("*").alias("plays")).orderBy(F.desc("plays"), column).limit(size)
     return top.select(column, "plays", (F.row_number().over(Window.orderBy(column)) - 1).alias("id"))
+
+
+def rank_feature(x: DataFrame, value: str) -> DataFrame:
+    """x with feature = -log1p(how many rows have a larger value): equal evidence, equal feature. Ranks are found among the
+    distinct values; round a continuous value first."""
+    per = x.groupBy(value).agg(F.count("*").alias("_n"))
+    above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.join(per.select(value, (-F.log1p(above)).alias("feature")), value)

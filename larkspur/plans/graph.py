@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hex_prefix
 from ..operators import graph as G
 from ..operators import ranking as R
+from ..sources.staging import cut
 from ..sources.tables import INTERACTIONS, catalog, interactions
 from .base import query
 
@@ -73,7 +74,7 @@ def _ppr_sql(n: int = 12) -> str:
 
 def _ppr(s, d):
     inc, edges = _graph(s, d)
-    e = G._cut(G.confidence(edges, inc)).select("src", "dst", (F.col("affinity") * F.col("confidence")).alias("value")).where("value > 0")
+    e = cut(G.confidence(edges, inc)).select("src", "dst", (F.col("affinity") * F.col("confidence")).alias("value")).where("value > 0")
     return G.personalized_pagerank(_seeds(s, d), e).withColumn("score", F.round("score", 6))
 
 

@@ -59,3 +59,11 @@ def library(rows: DataFrame) -> DataFrame:
     artist = F.trim(F.split(pick(["Artist Name(s)", "artist", "artist_name"]), ";")[0])
     title = F.trim(pick(["Track Name", "name", "title", "track_name"]))
     return rows.select(artist.alias("artist"), title.alias("title")).where("artist <> '' AND title <> ''").distinct()
+
+
+PROFILE = "key string, payload struct<recordings: array<struct<recording: long>>>"
+
+
+def profiles(cache: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(user, recording) of cached profiles (PROFILE) whose key is that of a wanted user. wanted: user, key (the hash of the user)."""
+    return cache.join(wanted, "key").select("user", F.explode("payload.recordings").alias("r")).select("user", "r.recording")
