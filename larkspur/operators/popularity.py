@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def context_frequency(x: DataFrame) -> DataFrame:
     """Distinct contexts of each item."""
@@ -25,8 +27,9 @@ def user_percentile(x: DataFrame, bands: int = 10) -> DataFrame:
 def rank_popularity(x: DataFrame) -> DataFrame:
     """round(max(0.01, 1 - rank/n), 4) by contexts, then plays, then item."""
     n = x.groupBy("item").agg(F.count_distinct("ctx").alias("contexts"), F.count("*").alias("plays"))
-    rank = F.row_number().over(Window.orderBy(F.desc("contexts"), F.desc("plays"), "item")) - 1
-    return n.select("item", F.round(F.greatest(F.lit(0.01), 1 - rank / F.count("*").over(Window.partitionBy())), 4).alias("popularity"))
+    ranked = numbered(n.select("item", (-F.col("contexts")).alias("c"), (-F.col("plays")).alias("p")), ["c", "p", "item"], "rank")
+    whole = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("n"))))  # one row
+    return whole.select("item", F.round(F.greatest(F.lit(0.01), 1 - F.col("rank") / F.col("n")), 4).alias("popularity"))
 
 
 def midrank_popularity(x: DataFrame) -> DataFrame:

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha
+from ..sources.staging import cut
+from .numbering import drawn, numbered
 from .popularity import user_percentile
 
 
 def ordered_split(users: DataFrame, key: str, ratios: tuple[float, float]) -> DataFrame:
     """train, validation, test by hash order; sizes are floors of the ratios."""
-    w = Window.orderBy(sha(F.concat(F.lit("seed:"), F.col(key).cast("string"))), key)
-    n = F.count("*").over(Window.partitionBy())
-    r = users.select(key, F.row_number().over(w).alias("k"), n.alias("n"))
+    hashed = users.select(key, sha(F.concat(F.lit("seed:"), F.col(key).cast("string"))).alias("_h"))
+    r = numbered(hashed, ["_h", key], "k").crossJoin(F.broadcast(users.agg(F.count("*").alias("n"))))  # one row
     a, b = F.floor(F.col("n") * ratios[0]), F.floor(F.col("n") * ratios[1])
-    return r.select(key, F.when(F.col("k") <= a, "train").when(F.col("k") <= a + b, "validation").otherwise("test").alias("split"))
+    return r.select(key, F.when(F.col("k") < a, "train").when(F.col("k") < a + b, "validation").otherwise("test").alias("split"))
 
 
 def group_disjoint_split(x: DataFrame, group: str, share: float) -> DataFrame:
@@ -35,15 +36,28 @@ def masked_episodes(x: DataFrame, masks: int = 32, least: int = 5, most: int = 3
     return o.where((F.col("n") > least) & (F.col("k") <= last)).select("user", "mask", "item", (F.col("k") == last).alias("positive"))
 
 
-def band_negatives(x: DataFrame, asked=None) -> DataFrame:
-    """(query, positive, negative): for each known item an unknown one of the same popularity band, first in hash order."""
+def band_items(x: DataFrame) -> DataFrame:
+    """pool (popularity band), item, number within the band in item order."""
+    bands = user_percentile(x).select(F.col("band").alias("pool"), "item")
+    every = numbered(bands, ["pool", "item"], "at")
+    first = every.groupBy("pool").agg(F.min("at").alias("first"))
+    return every.join(F.broadcast(first), "pool").select("pool", "item", (F.col("at") - F.col("first")).alias("number"))  # ten bands
+
+
+def band_negatives(x: DataFrame, asked=None, n: int = 1, tries: int = 16) -> DataFrame:
+    """(query, positive, negative): for each known item n unknown ones of the same popularity band, by hash draws."""
     asked = F.col("user") % 100 == 0 if asked is None else asked
-    bands = user_percentile(x).select("item", "band")
+    items = cut(band_items(x), "bands")
     known = x.where(asked).select(F.col("user").alias("query"), "item").distinct()
-    positive = known.join(bands, "item").select("query", F.col("item").alias("positive"), "band")
-    found = positive.join(bands, "band").join(known, ["query", "item"], "left_anti")
-    pick = F.min(F.struct(sha(F.concat_ws(":", "positive", "item")).alias("h"), "item")).alias("m")
-    return found.groupBy("query", "positive").agg(pick).select("query", "positive", F.col("m.item").alias("negative"))
+    positive = known.join(items, "item").select(F.col("item").alias("positive"), "query", "pool")
+    return drawn(positive, items, known, ["positive"], n, tries).select("query", "positive", F.col("item").alias("negative"))
+
+
+def random_negatives(asked: DataFrame, x: DataFrame, n: int = 99, tries: int = 160) -> DataFrame:
+    """(key, query, item): for each asked row n items that its user does not know, by hash draws. asked: key, query."""
+    items = numbered(x.select("item").distinct(), ["item"], "number").withColumn("pool", F.lit(0))
+    known = x.select(F.col("user").alias("query"), "item").distinct()
+    return drawn(asked.withColumn("pool", F.lit(0)), cut(items, "items"), known, ["key"], n, tries).select("key", "query", "item")
 
 
 def distinct_contexts(x: DataFrame) -> DataFrame:

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hex_prefix
 from ..operators import graph as G
 from ..operators import ranking as R
+from ..operators.sessions import eligible
 from ..sources.staging import cut
 from ..sources.tables import INTERACTIONS, catalog, interactions
 from .base import query
 
 X = "WITH " + INTERACTIONS
 
-ASSOC = """, i AS (SELECT DISTINCT "user" AS ctx, item FROM x),
+#: Users and contexts whose distinct items are within bounds, before any pairing.
+ELIGIBLE = """, el AS (SELECT * FROM x WHERE "user" IN (SELECT "user" FROM x GROUP BY "user" HAVING count(DISTINCT item) BETWEEN 5 AND 2000) AND ctx IN (SELECT ctx FROM x GROUP BY ctx HAVING count(DISTINCT item) BETWEEN 2 AND 80))"""
+
+ASSOC = ELIGIBLE + """, i AS (SELECT DISTINCT "user" AS ctx, item FROM el),
 z AS (SELECT ctx, 1.0 / greatest(count(*) - 1, 1) AS c FROM i GROUP BY ctx), wi AS (SELECT i.ctx, item, CAST(c AS DOUBLE) AS c FROM i JOIN z ON i.ctx = z.ctx),
 nn AS (SELECT item, sum(c) AS n FROM wi GROUP BY item),
 h AS (SELECT a.item AS src, b.item AS dst, count(*) AS support, sum(a.c) AS s FROM wi a JOIN wi b ON a.ctx = b.ctx AND a.item <> b.item GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -25,14 +29,20 @@ cf AS (SELECT src, dst, support, affinity, greatest(0, (support - ex) / (support
 
 
 def _graph(s, d):
-    inc = G.incidence(interactions(s, d), "user")
-    return inc, G.association(inc)
+    """Incidence of users and items, and the associations; both written once, as most queries read them more than once."""
+    inc = cut(G.incidence(eligible(interactions(s, d)), "user"), "incidence")
+    return inc, cut(G.association(inc), "associations")
+
+
+def _confident(s, d):
+    inc, edges = _graph(s, d)
+    return G.confidence(edges, inc)
 
 
 query("g2_association", X + ASSOC + "SELECT src, dst, support, round(affinity, 6) AS affinity FROM g")(lambda s, d: _graph(s, d)[1].withColumn("affinity", F.round("affinity", 6)))
 
 query("g3_confidence", X + ASSOC + "SELECT src, dst, support, round(confidence, 6) AS confidence FROM cf")(
-    lambda s, d: G.confidence(_graph(s, d)[1], _graph(s, d)[0]).select("src", "dst", "support", F.round("confidence", 6).alias("confidence"))
+    lambda s, d: _confident(s, d).select("src", "dst", "support", F.round("confidence", 6).alias("confidence"))
 )
 
 query("g1_incidence", X + "SELECT DISTINCT ctx, item FROM x")(lambda s, d: G.incidence(interactions(s, d)))
@@ -90,17 +100,17 @@ query(
 
 query(
     "g12_protected",
-    X + ASSOC + SEEDS + """, o AS (SELECT src, dst FROM cf WHERE confidence >= 0.1), f AS (SELECT src, dst FROM cf WHERE confidence >= 0.2)
+    X + ASSOC + SEEDS + """, o AS (SELECT src, dst FROM cf WHERE confidence >= 0.1), f AS (SELECT src, dst FROM cf WHERE confidence >= 0.35)
     SELECT query, dst AS item FROM sd JOIN o ON item = src UNION SELECT query, b.dst FROM sd JOIN f a ON item = a.src JOIN f b ON a.dst = b.src""",
-)(lambda s, d: G.protected(_seeds(s, d), G.confidence(*reversed(_graph(s, d))), 0.1, 0.2))
+)(lambda s, d: G.protected(_seeds(s, d), cut(_confident(s, d))))
 
 query(
     "g14_direct_scores",
     X + ASSOC + SEEDS + " SELECT query, dst AS item, round(sum(affinity * confidence), 6) AS score, round(max(confidence), 6) AS best, count(*) AS links FROM sd JOIN cf ON item = src GROUP BY 1, 2",
-)(lambda s, d: G.direct_scores(_seeds(s, d), G.confidence(*reversed(_graph(s, d)))).withColumn("score", F.round("score", 6)).withColumn("best", F.round("best", 6)))
+)(lambda s, d: G.direct_scores(_seeds(s, d), _confident(s, d)).withColumn("score", F.round("score", 6)).withColumn("best", F.round("best", 6)))
 
-query("g15_recommendable", X + ASSOC + " SELECT src AS item, round(max(confidence), 6) AS best FROM cf GROUP BY src HAVING max(confidence) >= 0.2")(
-    lambda s, d: G.confidence(*reversed(_graph(s, d))).groupBy(F.col("src").alias("item")).agg(F.max("confidence").alias("best")).where("best >= 0.2").withColumn("best", F.round("best", 6))
+query("g15_recommendable", X + ASSOC + " SELECT src AS item, round(max(confidence), 6) AS best, max(confidence) >= 0.35 AS recommendable FROM cf GROUP BY src")(
+    lambda s, d: _confident(s, d).groupBy(F.col("src").alias("item")).agg(F.max("confidence").alias("best")).select("item", F.round("best", 6).alias("best"), (F.col("best") >= 0.35).alias("recommendable"))
 )
 
 query(
@@ -190,21 +200,21 @@ query("m1_metrics", X + SPLIT + TOP + METRICS + "SELECT query, round(recall, 6)
 
 query(
     "m2_candidate_recall",
-    X + SPLIT + ", r AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS k FROM nk), t AS (SELECT q.query, count(*) AS n, count(*) FILTER (k <= 100) AS a, count(*) FILTER (k <= 500) AS b, count(*) FILTER (k <= 1000) AS c FROM q LEFT JOIN r ON q.query = r.query AND q.item = r.item WHERE NOT q.seed GROUP BY 1) SELECT query, n AS targets, a AS at100, b AS at500, c AS at1000 FROM t",
+    X + SPLIT + ", r AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS k FROM nk), t AS (SELECT q.query, count(*) AS n, count(*) FILTER (k <= 100) AS a, count(*) FILTER (k <= 500) AS b, count(*) FILTER (k <= 1000) AS c, count(*) FILTER (k <= 2000) AS d FROM q LEFT JOIN r ON q.query = r.query AND q.item = r.item WHERE NOT q.seed GROUP BY 1) SELECT query, n AS targets, a AS at100, b AS at500, c AS at1000, d AS at2000 FROM t",
 )(lambda s, d: _recall(s, d))
 
 
 def _recall(s, d):
     q, found = _candidates(s, d)
-    ranked = R.top_k(found, 1000).select("query", "item", "rank")
+    ranked = R.top_k(found, 2000).select("query", "item", "rank")
     j = q.where("NOT seed").select("query", "item").join(ranked, ["query", "item"], "left")
-    return j.groupBy("query").agg(F.count("*").alias("targets"), *[F.count_if(F.col("rank") <= k).alias(f"at{k}") for k in (100, 500, 1000)])
+    return j.groupBy("query").agg(F.count("*").alias("targets"), *[F.count_if(F.col("rank") <= k).alias(f"at{k}") for k in (100, 500, 1000, 2000)])
 
 
 query(
     "m5_paired_bootstrap",
     X + SPLIT + TOP + METRICS + """, dl AS (SELECT query, ndcg - recall AS delta, row_number() OVER (ORDER BY query) - 1 AS i FROM mt),
-    dr AS (SELECT b, CAST('0x' || substr(sha256(b || ':' || i), 1, 12) AS UBIGINT) % (SELECT count(*) FROM dl) AS i FROM dl, range(0, 200) r(b)),
+    dr AS (SELECT b, CAST('0x' || substr(sha256(b || ':' || i), 1, 12) AS UBIGINT) % (SELECT count(*) FROM dl) AS i FROM dl, range(0, 2000) r(b)),
     ms AS (SELECT b, avg(delta) AS m FROM dr JOIN dl ON dr.i = dl.i GROUP BY b)
     SELECT round((SELECT avg(delta) FROM dl), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM ms""",
 )(lambda s, d: R.paired_bootstrap(_measured(s, d).select("query", (F.col("ndcg") - F.col("recall")).alias("delta"))).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")]))

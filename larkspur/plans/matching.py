@@ -11,8 +11,9 @@ from ..operators import matching as M
 from ..operators import popularity as P
 from ..operators import ranking as R
 from ..sources.tables import INTERACTIONS, catalog, interactions, table, vectors
+from ..operators.sessions import eligible
 from .base import query
-from .graph import ASSOC, METRICS, SPLIT, TOP, _candidates, _graph, _measured, _queries
+from .graph import ASSOC, ELIGIBLE, METRICS, SPLIT, TOP, _candidates, _graph, _measured, _queries
 
 X = "WITH " + INTERACTIONS
 
@@ -39,9 +40,9 @@ def _resolved(s, d):
 
 query(
     "j10_list_neighbours",
-    X + """, p AS (SELECT DISTINCT a.item, b.item AS other FROM x a JOIN x b ON a.ctx = b.ctx AND a.item <> b.item), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY other) AS k FROM p)
+    X + ELIGIBLE + """, p AS (SELECT DISTINCT a.item, b.item AS other FROM el a JOIN el b ON a.ctx = b.ctx AND a.item <> b.item), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY other) AS k FROM p)
     SELECT item, count(*) AS n, CAST(sum(other) AS BIGINT) AS total, max(other) AS last FROM r WHERE k <= 200 GROUP BY item""",
-)(lambda s, d: M.list_neighbours(interactions(s, d)).select("item", F.size("neighbours").cast("long").alias("n"), F.aggregate("neighbours", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), F.array_max("neighbours").alias("last")))
+)(lambda s, d: M.list_neighbours(eligible(interactions(s, d))).select("item", F.size("neighbours").cast("long").alias("n"), F.aggregate("neighbours", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), F.array_max("neighbours").alias("last")))
 
 query("j13_side_features", "SELECT p_partkey AS item, CAST(e.vec_id IS NOT NULL AS INTEGER) AS mask, round(coalesce(list_sum(CAST(e.embedding AS DOUBLE[])), 0), 5) AS total FROM part LEFT JOIN embeddings e ON p_partkey = vec_id")(
     lambda s, d: M.side_features(catalog(s, d).select("item"), vectors(s, d).select(F.col("id").alias("item"), "vec"), 64).select("item", "mask", F.round(F.aggregate("vec", F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
@@ -85,8 +86,15 @@ query("w12_relative_floor", X + ASSOC + ", b AS (SELECT src, dst % 2 AS bucket,
 
 query(
     "t3_candidate_union",
-    X + SPLIT + ", a AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS i, row_number() OVER (PARTITION BY query ORDER BY support DESC, item) AS j FROM nk) SELECT query, item FROM a WHERE i <= 100 OR j <= 100",
-)(lambda s, d: M.candidate_union(_candidates(s, d)[1], ["score", "support"], 100))
+    X + SPLIT + ", ow2 AS (SELECT item, count(*) AS owners FROM hs GROUP BY item), a AS (SELECT query, nk.item, row_number() OVER (PARTITION BY query ORDER BY score DESC, nk.item) AS i, row_number() OVER (PARTITION BY query ORDER BY support DESC, nk.item) AS j, row_number() OVER (PARTITION BY query ORDER BY round(score / sqrt(owners), 9) DESC, nk.item) AS l FROM nk JOIN ow2 ON nk.item = ow2.item) SELECT query, item FROM a WHERE i <= 2000 OR j <= 2000 OR l <= 2000",
+)(lambda s, d: _union(s, d))
+
+
+def _union(s, d):
+    """By score, by support, and by score over the root of the item's owners."""
+    owners = _queries(s, d)[1].groupBy("item").agg(F.count("*").alias("owners"))
+    return M.candidate_union(_candidates(s, d)[1].join(owners, "item").withColumn("rare", F.round(F.col("score") / F.sqrt("owners"), 9)), ["score", "support", "rare"], 2000)
+
 
 query("t4_hash_sample", X + "SELECT DISTINCT item, item % 97 = 0 AS priority FROM x ORDER BY item % 97 = 0 DESC, sha256(CAST(item AS VARCHAR)) LIMIT 100".replace("SELECT DISTINCT item, item % 97 = 0 AS priority FROM x", " SELECT item, item % 97 = 0 AS priority FROM (SELECT DISTINCT item FROM x)", 1))(
     lambda s, d: interactions(s, d).select("item").distinct().withColumn("priority", F.col("item") % 97 == 0).orderBy(F.desc("priority"), F.sha2(F.col("item").cast("string").cast("binary"), 256)).limit(100)
@@ -141,10 +149,6 @@ def _terciles(s, d):
     return j.groupBy(F.when(F.col("users") <= F.col("a"), "low").when(F.col("users") <= F.col("b"), "middle").otherwise("high").alias("tercile")).agg(F.count("*").alias("listed"))
 
 
-query("m13_probe_verdict", X + SPLIT + TOP + METRICS + "SELECT bool_and(recall >= 0 AND ndcg >= 0) AS sound, round(avg(ndcg), 6) AS ndcg, count(*) AS queries FROM mt")(
-    lambda s, d: _measured(s, d).agg(F.bool_and((F.col("recall") >= 0) & (F.col("ndcg") >= 0)).alias("sound"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.count("*").alias("queries"))
-)
-
 query(
     "m6_methods",
     X + SPLIT + """, u AS (SELECT item, count(*) AS pop FROM hs GROUP BY item), al AS (SELECT query, item, 'co_listen' AS method, score FROM nk UNION ALL SELECT nk.query, nk.item, 'popularity', CAST(pop AS DOUBLE) FROM nk JOIN u ON nk.item = u.item),
@@ -191,17 +195,3 @@ def _propagated(s, d):
     adj = G.adjacency(_graph(s, d)[1])
     v = catalog(s, d).select(F.col("item").alias("id")).join(vectors(s, d).select(F.col("id").alias("v"), "vec"), F.col("id") % 500 == F.col("v")).select("id", "vec")
     return G.propagate(adj, v).select("id", F.round(F.array_max("vec"), 6).alias("top"))
-
-
-query("k10_random_negatives", X + """, c AS (SELECT DISTINCT ctx, "user" FROM x WHERE "user" % 100 = 0), k AS (SELECT DISTINCT "user", item FROM x), i AS (SELECT DISTINCT item FROM x),
- d AS (SELECT ctx, "user", item, row_number() OVER (PARTITION BY ctx ORDER BY substr(sha256(ctx || ':' || item), 1, 8), item) AS r FROM c, i WHERE NOT EXISTS (SELECT 1 FROM k WHERE k."user" = c."user" AND k.item = i.item)) SELECT ctx, item FROM d WHERE r <= 9""")(lambda s, d: _random_negatives(s, d))
-
-
-def _random_negatives(s, d):
-    x = interactions(s, d)
-    c = x.where("user % 100 = 0").select("ctx", "user").distinct()
-    asked = c.crossJoin(x.select("item").distinct()).join(x.select("user", "item").distinct(), ["user", "item"], "left_anti")  # the stated query set against all items
-    w = Window.partitionBy("ctx").orderBy(F.substring(F.sha2(F.concat_ws(":", "ctx", "item").cast("binary"), 256), 1, 8), "item")
-    return asked.withColumn("r", F.row_number().over(w)).where("r <= 9").select("ctx", "item")
-
-

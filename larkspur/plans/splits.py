@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..operators import sampling as N
+from ..operators.numbering import drawn_sql
 from ..sources.tables import INTERACTIONS, LISTENS, interactions, listens
 from .base import query
 
@@ -60,19 +61,25 @@ query(
 
 query(
     "k6_masked_episodes",
-    X + """, i AS (SELECT DISTINCT "user", item FROM x WHERE "user" % 100 = 0), m AS (SELECT "user", item, g.i AS mask FROM i, range(0, 8) g(i)),
+    X + """, i AS (SELECT DISTINCT "user", item FROM x WHERE "user" % 100 = 0), m AS (SELECT "user", item, g.i AS mask FROM i, range(0, 32) g(i)),
     o AS (SELECT "user", mask, item, row_number() OVER (PARTITION BY "user", mask ORDER BY sha256(mask || ':' || "user" || ':' || item), item) AS k, count(*) OVER (PARTITION BY "user", mask) AS n FROM m)
     SELECT "user", mask, item, k = least(30, n - 1) + 1 AS positive FROM o WHERE n >= 6 AND k <= least(30, n - 1) + 1""",
-)(lambda s, d: N.masked_episodes(interactions(s, d).where(F.col("user") % 100 == 0), masks=8))
+)(lambda s, d: N.masked_episodes(interactions(s, d).where(F.col("user") % 100 == 0), masks=32))
+
+BANDS = """, u AS (SELECT item, count(DISTINCT "user") AS users FROM x GROUP BY item), pc AS (SELECT item, percent_rank() OVER (ORDER BY users) AS pr FROM u), b AS (SELECT item, CAST(least(9, floor(pr * 10)) AS INTEGER) AS pool FROM pc),
+bi AS (SELECT pool, item, row_number() OVER (PARTITION BY pool ORDER BY item) - 1 AS number FROM b), kn AS (SELECT DISTINCT "user" AS query, item FROM x)"""
 
 query(
     "k9_band_negatives",
-    X + """, u AS (SELECT item, count(DISTINCT "user") AS users FROM x GROUP BY item), p AS (SELECT item, percent_rank() OVER (ORDER BY users) AS pr FROM u), b AS (SELECT item, CAST(least(9, floor(pr * 10)) AS INTEGER) AS band FROM p),
-    k AS (SELECT DISTINCT "user" AS query, item FROM x WHERE "user" % 100 = 0), kb AS (SELECT query, k.item AS positive, band FROM k JOIN b ON k.item = b.item),
-    c AS (SELECT kb.query, kb.positive, b.item, row_number() OVER (PARTITION BY kb.query, kb.positive ORDER BY sha256(kb.positive || ':' || b.item), b.item) AS r FROM kb JOIN b ON b.band = kb.band LEFT JOIN k ON k.query = kb.query AND k.item = b.item WHERE k.item IS NULL)
-    SELECT query, positive, item AS negative FROM c WHERE r = 1""",
+    X + BANDS + """, ak AS (SELECT kn.item AS positive, query, pool FROM kn JOIN b ON kn.item = b.item WHERE query % 100 = 0), """ + drawn_sql("ak", "bi", "kn", ["positive"], 1, 16, "dn") + " SELECT query, positive, item AS negative FROM dn",
 )(lambda s, d: N.band_negatives(interactions(s, d)))
 
+query(
+    "k10_random_negatives",
+    X + """, kn AS (SELECT DISTINCT "user" AS query, item FROM x), ai AS (SELECT 0 AS pool, item, row_number() OVER (ORDER BY item) - 1 AS number FROM (SELECT DISTINCT item FROM x)), ak AS (SELECT DISTINCT ctx AS key, "user" AS query, 0 AS pool FROM x WHERE "user" % 100 = 0), """
+    + drawn_sql("ak", "ai", "kn", ["key"], 99, 160, "dn") + " SELECT key AS ctx, item FROM dn",
+)(lambda s, d: (lambda x: N.random_negatives(x.where("user % 100 = 0").select(F.col("ctx").alias("key"), F.col("user").alias("query")).distinct(), x).select(F.col("key").alias("ctx"), "item"))(interactions(s, d)))
+
 query(
     "u2_held_out",
     X + """, i AS (SELECT DISTINCT "user", item FROM x) SELECT "user", item FROM i EXCEPT SELECT "user", item FROM i WHERE CAST('0x' || substr(sha256(CAST(item AS VARCHAR)), 1, 8) AS UBIGINT) % 2 = 0""",
