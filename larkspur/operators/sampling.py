@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha
+from ..functions.vector import dot
 from ..sources.staging import cut
 from .numbering import drawn, numbered
 from .popularity import user_percentile
@@ -75,3 +76,43 @@ def first_seen(x: DataFrame, key: str, order: str) -> DataFrame:
 def user_weighted(pairs: DataFrame) -> DataFrame:
     """Equal total weight per user."""
     return pairs.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("user")))
+
+
+def matched_negatives(x: DataFrame, asked=None, tries: int = 32) -> DataFrame:
+    """(query, positive, negative, weight): for each known item an unknown one of an artist that the user knows, so that
+    both carry the same familiar flag; the weights of a user sum to one."""
+    asked = F.col("user") % 100 == 0 if asked is None else asked
+    mine = x.where(asked).select(F.col("user").alias("query"), "artist", "item").distinct()
+    of = mine.select("query", "artist").distinct().join(x.select("item", "artist").distinct(), "artist").select(F.col("query").alias("pool"), "item")
+    items = cut(of.withColumn("number", F.row_number().over(Window.partitionBy("pool").orderBy("item")) - 1), "familiar")
+    positives = mine.select(F.col("item").alias("positive"), "query", F.col("query").alias("pool")).distinct()
+    found = drawn(positives, items, mine.select("query", "item").distinct(), ["positive"], 1, tries)
+    return user_weighted(found.select(F.col("query").alias("user"), "positive", F.col("item").alias("negative"))).withColumnRenamed("user", "query")
+
+
+def pooled_negatives(positives: DataFrame, known: DataFrame, items: DataFrame, each: int = 8) -> DataFrame:
+    """(query, positive, item, pool): ``each`` unknown items in hash order from four pools in turn: all, the quarter nearest in
+    popularity, the middle third and the top tenth by similarity; an item counts for the first pool that takes it.
+    positives: query, positive, a stated set; known: query, item; items: item, users, vec."""
+    p = positives.join(items.select(F.col("item").alias("positive"), F.col("vec").alias("pv"), F.col("users").alias("pu")), "positive")
+    every = p.crossJoin(items).join(known, ["query", "item"], "left_anti")  # the stated positives against all items
+    every = every.select("query", "positive", "item", F.round(dot(F.col("pv"), F.col("vec")), 9).alias("sim"), F.round(F.abs(F.log1p("users") - F.log1p("pu")), 9).alias("far"))
+    w = Window.partitionBy("query", "positive")
+    r = every.withColumn("rf", F.row_number().over(w.orderBy("far", "item"))).withColumn("rs", F.row_number().over(w.orderBy("sim", "item"))).withColumn("n", F.count("*").over(w))
+    r = r.withColumn("h", sha(F.concat_ws(":", "positive", "item")))
+    n, third = F.col("n"), F.floor(F.col("n") / 3)
+    inside = [F.lit(True), F.col("rf") <= F.greatest(F.lit(1), F.floor(n / 4)), (F.col("rs") > third) & (F.col("rs") <= F.greatest(third + 1, F.floor(2 * n / 3))), n - F.col("rs") < F.greatest(F.lit(1), F.floor(n / 10))]
+    taken = F.lit(-1)
+    for k, ok in enumerate(inside):
+        free = ok & (F.col("taken") < 0)
+        r = r.withColumn("taken", taken) if k == 0 else r
+        place = F.row_number().over(Window.partitionBy("query", "positive", free).orderBy("h", "item"))
+        r = r.withColumn("taken", F.when(free & (place <= each), k).otherwise(F.col("taken")))
+    return r.where("taken >= 0").select("query", "positive", "item", F.col("taken").alias("pool"))
+
+
+def cohort_union(old: DataFrame, new: DataFrame, key: str = "user") -> DataFrame:
+    """(key, part): old users all train, new ones apart. Raises where a user is in both."""
+    both = old.select(key).intersect(new.select(key)).agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.raise_error(F.lit("cohorts overlap"))).alias("e"))
+    whole = old.select(key, F.lit("train").alias("part")).unionByName(new.select(key, F.lit("new").alias("part")))
+    return whole.crossJoin(F.broadcast(both)).where("e IS NULL").drop("e")  # one row

@@ -152,15 +152,15 @@ nk AS (SELECT sc.query, sc.item, round(score, 9) AS score, support FROM sc LEFT
 """
 
 
-def _queries(s, d):
-    x = interactions(s, d)
+def _queries(s, d, x=None):
+    x = interactions(s, d) if x is None else x
     asked = x.where(F.col("user") % 100 == 0)
     q = R.profile_split(asked, F.sha2(F.concat_ws(":", "user", "item").cast("binary"), 256))
     return q, x.where(F.col("user") % 100 != 0).select("user", "item").distinct()
 
 
-def _candidates(s, d):
-    q, history = _queries(s, d)
+def _candidates(s, d, x=None):
+    q, history = _queries(s, d, x)
     found = R.co_listen(q.where("seed").select("query", "item"), history)
     return q, R.without_known(found, q.where("seed")).withColumn("score", F.round("score", 9))
 
@@ -175,8 +175,8 @@ top AS (SELECT * FROM o3 WHERE rank <= 40)
 """
 
 
-def _recommended(s, d):
-    q, found = _candidates(s, d)
+def _recommended(s, d, x=None):
+    q, found = _candidates(s, d, x)
     items = catalog(s, d).select("item", "artist", F.concat_ws("|", "artist", "title").alias("identity"))
     return q, R.diversified(found, items)
 

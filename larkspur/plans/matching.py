@@ -10,6 +10,7 @@ from ..operators import graph as G
 from ..operators import matching as M
 from ..operators import popularity as P
 from ..operators import ranking as R
+from ..operators import sampling as N
 from ..sources.tables import INTERACTIONS, catalog, interactions, table, vectors
 from ..operators.sessions import eligible
 from .base import query
@@ -131,8 +132,8 @@ def _top(s, d):
     return q, R.diversified(found, catalog(s, d).select("item", "artist", F.concat_ws("|", "artist", "title").alias("identity")))
 
 
-query("u1_cohort_union", X + """SELECT "user", CASE WHEN "user" < 500 THEN 'train' ELSE 'new' END AS part FROM (SELECT DISTINCT "user" FROM x)""")(
-    lambda s, d: (lambda u: u.where("user < 500").withColumn("part", F.lit("train")).unionByName(u.where("user >= 500").withColumn("part", F.lit("new"))))(interactions(s, d).select("user").distinct())
+query("u1_cohort_union", X + """SELECT "user", CASE WHEN ts < DATE '1995-06-01' THEN 'train' ELSE 'new' END AS part FROM (SELECT "user", min(ts) AS ts FROM x GROUP BY "user")""")(
+    lambda s, d: (lambda u: N.cohort_union(u.where("ts < DATE '1995-06-01'").select("user"), u.where("ts >= DATE '1995-06-01'").select("user")))(interactions(s, d).groupBy("user").agg(F.min("ts").alias("ts")))
 )
 
 query(

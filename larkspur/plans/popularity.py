@@ -52,8 +52,8 @@ query(
     FROM e JOIN events ON e.event_id = events.event_id GROUP BY item ORDER BY sum(coalesce(value, 1)) DESC, plays DESC, first_event LIMIT 500""",
 )(lambda s, d: P.history_strength(listens(s, d).join(table(s, d, "events").select("event_id", "value"), "event_id")).withColumn("strength", F.round("strength", 4)))
 
-query("a9_active_users", E + """SELECT "user", count(*) AS listens FROM e WHERE "user" NOT IN (SELECT "user" FROM e WHERE action = 'signup') GROUP BY "user" HAVING count(*) >= 20""")(
-    lambda s, d: P.active_users(listens(s, d), 20, listens(s, d).where("action = 'signup'").select("user").distinct())
+query("a9_active_users", E + """SELECT "user", count(*) AS listens FROM e WHERE "user" NOT IN (SELECT "user" FROM e WHERE action = 'signup' AND item < 8) GROUP BY "user" HAVING count(*) >= 20""")(
+    lambda s, d: P.active_users(listens(s, d), 20, listens(s, d).where("action = 'signup' AND item < 8").select("user").distinct())
 )
 
 query(
@@ -98,8 +98,9 @@ query(
 
 query(
     "a21_vocabulary",
-    X + """, t AS (SELECT title, count(*) AS plays FROM x GROUP BY title ORDER BY plays DESC, title LIMIT 40) SELECT title, plays, row_number() OVER (ORDER BY title) - 1 AS id FROM t""",
-)(lambda s, d: P.vocabulary(interactions(s, d), "title", 40))
+    X + """, t AS (SELECT 'title' AS field, title AS value, count(*) AS plays FROM x GROUP BY title ORDER BY plays DESC, value LIMIT 8192), a AS (SELECT 'artist' AS field, artist AS value, count(*) AS plays FROM x GROUP BY artist ORDER BY plays DESC, value LIMIT 4096)
+    SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) - 1 AS id FROM (SELECT * FROM t UNION ALL SELECT * FROM a)""",
+)(lambda s, d: (lambda x: P.vocabulary(x, "title", 8192).select(F.lit("title").alias("field"), F.col("title").alias("value"), "plays", "id").union(P.vocabulary(x, "artist", 4096).select(F.lit("artist"), "artist", "plays", "id")))(interactions(s, d)))
 
 query(
     "p4_profile_suitability",
