@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feedback, graph, matching, pools, popularity, ranking, raw, scoring, sessions, splits, text, vectors  # noqa: F401
+from . import discovery, feedback, graph, matching, pools, popularity, ranking, raw, scoring, sessions, splits, text, vectors  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "flagship_recommendations"
