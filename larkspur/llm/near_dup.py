@@ -173,11 +173,11 @@ def near_dup_classes(
     texts = staged(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "texts")
     reps = real.join(texts.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     size = F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"), size.alias("size"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(members.join(shared, "bucket"), "members")
-    hubs = staged(members.groupBy("doc").agg(F.sum("n").alias("hub"), F.first("size").alias("size")), "hubs")
-    members = members.select("bucket", "doc", F.col("size").alias("rest")).join(hubs, "doc")
+    dealt = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"), size.alias("size"))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = dealt.join(shared, "bucket").groupBy("doc").agg(F.sum("n").alias("hub"), F.first("size").alias("size"), F.collect_list(F.struct("bucket", F.col("size").alias("rest"))).alias("deals"))
+    members = staged(dealt, "members")
+    hubs = staged(members.select("doc", "hub", "size"), "hubs")
     picked = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     sets = staged(_shingle_sets(picked.join(hubs, "doc", "left_semi")).dropDuplicates(["doc"]), "shingles")
 
@@ -185,10 +185,10 @@ def near_dup_classes(
     while True:
         rounds += 1
         if klass is None:
-            now = members.select("bucket", "doc", "hub", "size", "rest", F.col("doc").alias("class"))
-        else:
-            now = members.join(klass, members["doc"] == klass["node"], "left").select("bucket", "doc", "hub", "size", "rest", F.coalesce("root", "doc").alias("class"))
-            now = staged(now, "classed")  # read twice below
+            known = members.withColumn("class", F.col("doc"))
+        else:  # a row a document, not one a bucket
+            known = staged(members.join(klass, members["doc"] == klass["node"], "left").select("doc", "hub", "size", "deals", F.coalesce("root", "doc").alias("class")), "classed")
+        now = known.select("doc", "hub", "size", "class", F.explode("deals").alias("deal")).select("deal.bucket", "doc", "hub", "size", "deal.rest", "class")
         spread = now.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.min(F.struct((-F.col("hub")).alias("h"), "doc", "class", "size", "rest")).alias("lead"))
         open_ = staged(now.join(spread.where("lo < hi").select("bucket", "n", "lead"), "bucket"), "open")
         led = open_.where((F.col("n") > small) & (F.col("doc") != F.col("lead.doc")))
@@ -212,10 +212,13 @@ def near_dup_classes(
         if rounds == refine_after:
             left = staged(_refined(led, sets, similarity), "fine")
             more = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-            members = staged(left.join(more, "bucket", "left_semi").join(hubs, "doc"), "members")
+            again = left.join(more, "bucket", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("bucket", "rest")).alias("deals")).join(hubs, "doc")
         else:
-            members = staged(led.select("bucket", "doc", "hub", "size", "rest"), "members")
+            again = led.groupBy("doc", "hub", "size").agg(F.collect_list(F.struct("bucket", "rest")).alias("deals"))
+        again = staged(again.select("doc", "hub", "size", "deals"), "members")
         free(spark, open_)
+        free(spark, members)
+        members = again
         if not new.isEmpty():
             klass = components(links)
         if members.isEmpty() or (rounds == 2 * refine_after and not exhaustive):
