@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sha
 from ..functions.vector import dot
 from ..sources.staging import cut
-from .numbering import drawn, numbered
+from .numbering import drawn, hash_number, numbered
 from .popularity import user_percentile
 
 
@@ -116,3 +116,59 @@ def cohort_union(old: DataFrame, new: DataFrame, key: str = "user") -> DataFrame
     both = old.select(key).intersect(new.select(key)).agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.raise_error(F.lit("cohorts overlap"))).alias("e"))
     whole = old.select(key, F.lit("train").alias("part")).unionByName(new.select(key, F.lit("new").alias("part")))
     return whole.crossJoin(F.broadcast(both)).where("e IS NULL").drop("e")  # one row
+
+
+def family_episodes(x: DataFrame, families: DataFrame, artists: DataFrame, discovery: bool = False, most: int = 2000) -> DataFrame:
+    """(user, item, target): families held out whole. Users of fewer than three families have no episode. Without discovery a
+    fifth of the families (one at least) is held out, in hash order; with it one artist, the first in hash order among those
+    whose families leave two others; families that an artist shares go as a whole. At most ``most`` seeds, by item. x: user,
+    item; families: item, family; artists: item, artist."""
+    own = x.select("user", "item").distinct().join(families, "item").join(artists, "item")
+    fam = own.select("user", "family").distinct().withColumn("n", F.count("*").over(Window.partitionBy("user"))).where("n >= 3")
+    if discovery:
+        per = own.select("user", "artist", "family").distinct().groupBy("user", "artist").agg(F.count("*").alias("held"))
+        ok = per.join(fam.select("user", "n").distinct(), "user").where("n - held >= 2")
+        first = F.min(F.struct(sha(F.concat_ws(":", "user", "artist")).alias("h"), "artist")).alias("m")
+        pick = ok.groupBy("user").agg(first).select("user", F.col("m.artist").alias("artist"))
+        held = own.join(pick, ["user", "artist"], "left_semi").select("user", "family").distinct()
+        users = pick.select("user")
+    else:
+        k = F.row_number().over(Window.partitionBy("user").orderBy(sha(F.concat_ws(":", "user", "family")), "family"))
+        held = fam.withColumn("k", k).where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") / 5))).select("user", "family")
+        users = fam.select("user").distinct()
+    e = own.join(users, "user", "left_semi").join(held.withColumn("h", F.lit(True)), ["user", "family"], "left").withColumn("target", F.coalesce("h", F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy("user", "target").orderBy("item"))
+    return e.withColumn("nth", nth).where(F.col("target") | (F.col("nth") <= most)).select("user", "item", "target")
+
+
+def pool_pairs(pool: DataFrame, targets: DataFrame, known: DataFrame, families: DataFrame, most: int = 12, hardest: int = 500) -> DataFrame:
+    """(query, positive, negative, hard): up to ``most`` positives in hash order, one a target family, each with three hard
+    negatives (hash draws from the ``hardest`` best of the pool) and one from all of it; families of known items are never
+    negatives. pool: query, item, score; targets, known: query, item; families: item, family."""
+    f = pool.join(families, "item")
+    tf = targets.join(families, "item").select("query", "family").distinct()
+    kf = known.union(targets).join(families, "item").select("query", "family").distinct()
+    one = f.join(tf, ["query", "family"], "left_semi").groupBy("query", "family").agg(F.min("item").alias("positive"))
+    w = Window.partitionBy("query")
+    positive = one.withColumn("k", F.row_number().over(w.orderBy(sha(F.concat_ws(":", "query", "positive")), "positive"))).where(F.col("k") <= most).select("query", "positive")
+    allowed = f.join(kf, ["query", "family"], "left_anti").select("query", "item", "score")
+    ranked = cut(allowed.withColumn("number", F.row_number().over(w.orderBy(F.desc("score"), "item")) - 1).withColumn("n", F.count("*").over(w)), "ranked")
+    size = ranked.groupBy("query").agg(F.max("n").alias("n"))
+    d = positive.join(size, "query").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("hard", F.col("j") < 3)
+    number = F.pmod(hash_number(F.col("query"), F.col("positive"), F.col("j")), F.when(F.col("hard"), F.least(F.lit(hardest), F.col("n"))).otherwise(F.col("n")))
+    return d.withColumn("number", number).drop("n").join(ranked.select("query", "number", F.col("item").alias("negative")), ["query", "number"]).select("query", "positive", "negative", "hard")
+
+
+def hard_negatives(drawn_items: DataFrame, scores: DataFrame, k: int = 4) -> DataFrame:
+    """(positive, query, item, place): of the drawn items of a positive the k with the largest score. scores: query, item, score."""
+    r = drawn_items.join(scores, ["query", "item"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("query", "positive").orderBy(F.desc("score"), "item"))
+    return r.withColumn("place", place).where(F.col("place") <= k).select("query", "positive", "item", "place")
+
+
+def bucketed_evaluation(x: DataFrame, sizes: tuple[int, ...] = (5, 20, 60)) -> DataFrame:
+    """(user, size, item, seed): for each size that leaves a target, that many seeds in hash order and all others as targets."""
+    w = Window.partitionBy("user")
+    o = x.select("user", "item").distinct().withColumn("k", F.row_number().over(w.orderBy(sha(F.concat_ws(":", "user", "item")), "item"))).withColumn("n", F.count("*").over(w))
+    each = o.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where("n > size")
+    return each.select("user", "size", "item", (F.col("k") <= F.col("size")).alias("seed"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import sha
 from ..functions.vector import dense, dot
+from ..sources.staging import cut
+from .numbering import drawn, numbered
 
 
 def mlp(rows: DataFrame, layers: list[tuple[list[list[float]], list[float]]], features: str = "features") -> DataFrame:
@@ -66,16 +69,13 @@ def best_alpha(scored: DataFrame, targets: DataFrame, alphas: list[float], k: in
     return mean.orderBy(F.desc(F.round("ndcg", 9)), "alpha").limit(1)
 
 
-def sampled_ranking(positives: DataFrame, items: DataFrame, known: DataFrame, n: int = 99, draws: int = 160) -> DataFrame:
-    """(query, positive, item, is_positive): each positive among n unknown items drawn by hash: draw j of a positive is the
-    item with number hash mod size, so the catalog is never crossed with the queries. items: item, number (dense, from 0)."""
-    size = items.agg(F.count("*").alias("size"))
-    d = positives.crossJoin(F.broadcast(size)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))  # one row
-    pick = d.select("query", F.col("item").alias("positive"), "j", F.pmod(F.xxhash64("query", "item", "j"), F.col("size")).alias("number"))
-    found = pick.join(items, "number").join(known, ["query", "item"], "left_anti").groupBy("query", "positive", "item").agg(F.min("j").alias("j"))
-    w = Window.partitionBy("query", "positive").orderBy("j", "item")
-    cut = found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("query", "positive", "item", F.lit(False).alias("is_positive"))
-    return cut.union(positives.select("query", F.col("item").alias("positive"), "item", F.lit(True)))
+def sampled_ranking(positives: DataFrame, x: DataFrame, known: DataFrame, n: int = 99, draws: int = 160) -> DataFrame:
+    """(query, positive, item, is_positive): each positive (query, item) among n unknown items drawn by hash, so the catalog is
+    never crossed with the queries."""
+    items = cut(numbered(x.select("item").distinct(), ["item"], "number").withColumn("pool", F.lit(0)), "items")
+    asked = positives.select(F.col("item").alias("positive"), "query", F.lit(0).alias("pool"))
+    found = drawn(asked, items, known, ["positive"], n, draws).select("query", "positive", "item", F.lit(False).alias("is_positive"))
+    return found.union(positives.select("query", F.col("item").alias("positive"), "item", F.lit(True)))
 
 
 def sampled_metrics(ranked: DataFrame, k: int = 10) -> DataFrame:
@@ -86,12 +86,12 @@ def sampled_metrics(ranked: DataFrame, k: int = 10) -> DataFrame:
     return at.agg(F.avg(within.cast("double")).alias("hit"), F.avg(F.when(within, 1 / F.col("rank")).otherwise(0.0)).alias("mrr"), F.avg(F.when(within, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("ndcg"))
 
 
-def contrastive_loss(pairs: DataFrame, heat: float = 0.07, batch: int = 256) -> DataFrame:
+def contrastive_loss(pairs: DataFrame, heat: float = 0.07, batch: int = 1024) -> DataFrame:
     """(batch, loss): mean softmax loss of each pair's similarity among its hash batch's. pairs: id, a, b (vectors)."""
-    w = Window.orderBy("h", "id")
-    parts = pairs.withColumn("h", F.xxhash64("id")).withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch))
+    number = numbered(pairs.select("id", sha(F.col("id")).alias("h")), ["h", "id"], "number").select("id", F.floor(F.col("number") / batch).alias("batch"))
+    parts = cut(pairs.join(number, "id"), "batches")
     other = parts.select("batch", F.col("id").alias("other"), F.col("b").alias("ob"))
-    s = parts.join(other, "batch").withColumn("s", dot(F.col("a"), F.col("ob")) / heat)
+    s = parts.join(other, "batch").withColumn("s", dot(F.col("a"), F.col("ob")) / heat)  # a batch has ``batch`` rows
     row = s.groupBy("batch", "id").agg(F.log(F.sum(F.exp("s"))).alias("all"), F.max(F.when(F.col("id") == F.col("other"), F.col("s"))).alias("own"))
     return row.groupBy("batch").agg(F.avg(F.col("all") - F.col("own")).alias("loss"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, unit
-from ..operators import matching as M
 from ..operators import ranking as R
+from ..operators.numbering import drawn_sql
 from ..operators import scoring as S
 from ..sources.tables import INTERACTIONS, interactions, vectors
 from .base import query
@@ -24,7 +24,16 @@ def _blend_input(s, d):
     return q.where("NOT seed").select("query", "item"), found.select("query", "item", pr("score").alias("a"), pr("support").alias("b"))
 
 
-@query("r14_best_alpha")
+_BLEND = X + SPLIT + """, p AS (SELECT query, item, 1 - (row_number() OVER (PARTITION BY query ORDER BY score DESC, item) - 1) / (count(*) OVER (PARTITION BY query) - 1) AS a, 1 - (row_number() OVER (PARTITION BY query ORDER BY support DESC, item) - 1) / (count(*) OVER (PARTITION BY query) - 1) AS b FROM nk),
+tg AS (SELECT query, item FROM q WHERE NOT seed), tn AS (SELECT query, count(*) AS n FROM tg GROUP BY 1)"""
+
+
+@query(
+    "r14_best_alpha",
+    _BLEND + """, al AS (SELECT z / 10.0 AS alpha FROM range(1, 10) r(z)), rk AS (SELECT alpha, query, item, row_number() OVER (PARTITION BY alpha, query ORDER BY round(alpha * a + (1 - alpha) * b, 9) DESC, item) AS k FROM p, al),
+    dc AS (SELECT alpha, rk.query, sum(1 / log2(k + 1)) AS dcg FROM rk JOIN tg ON rk.query = tg.query AND rk.item = tg.item WHERE k <= 20 GROUP BY 1, 2), nd AS (SELECT al.alpha, avg(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 21) r(i) WHERE i <= n), 0)) AS ndcg FROM tn CROSS JOIN al LEFT JOIN dc ON dc.query = tn.query AND dc.alpha = al.alpha GROUP BY 1)
+    SELECT CAST(alpha AS DOUBLE) AS alpha, round(ndcg, 6) AS ndcg FROM nd ORDER BY round(ndcg, 9) DESC, alpha LIMIT 1""",
+)
 def _alpha(s, d):
     targets, scored = _blend_input(s, d)
     return S.best_alpha(scored, targets, [i / 10 for i in range(1, 10)]).select("alpha", F.round("ndcg", 6).alias("ndcg"))
@@ -32,26 +41,35 @@ def _alpha(s, d):
 
 @query("r11_pairwise_ranker")
 def _pairwise(s, d):
-    """Every candidate scored by a ranker that is fitted on targets against the other candidates at the same rank from the end."""
+    """Every candidate scored by a ranker that is fitted on each query's targets against all its other candidates."""
     targets, scored = _blend_input(s, d)
     pos = targets.join(scored, ["query", "item"]).select("query", F.col("a").alias("pos_a"), F.col("b").alias("pos_b"))
-    neg = scored.join(targets, ["query", "item"], "left_anti").where(F.pmod(F.xxhash64("query", "item"), F.lit(50)) == 0).select("query", F.col("a").alias("neg_a"), F.col("b").alias("neg_b"))
+    neg = scored.join(targets, ["query", "item"], "left_anti").select("query", F.col("a").alias("neg_a"), F.col("b").alias("neg_b"))
     weights = S.pairwise_ranker(pos.join(neg, "query"), ["a", "b"])
     return R.top_k(S.linear(scored, ["a", "b"], weights), 40).select("query", "item", F.round("score", 4).alias("score"), "rank")
 
 
-@query("m4_sampled_ranking")
+@query(
+    "m4_sampled_ranking",
+    X + """, kn AS (SELECT DISTINCT "user" AS query, item FROM x), ai AS (SELECT 0 AS pool, item, row_number() OVER (ORDER BY item) - 1 AS number FROM (SELECT DISTINCT item FROM x)), ak AS (SELECT item AS positive, query, 0 AS pool FROM kn WHERE query % 100 = 0), """
+    + drawn_sql("ak", "ai", "kn", ["positive"], 99, 160, "dn") + """, us AS (SELECT item, count(DISTINCT "user") AS users FROM x GROUP BY item), al AS (SELECT query, positive, item, false AS yes FROM dn UNION ALL SELECT query, positive, positive, true FROM ak),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query, positive ORDER BY users DESC, al.item) AS rank FROM al JOIN us ON al.item = us.item)
+    SELECT round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg FROM rk WHERE yes""",
+)
 def _sampled(s, d):
     x = interactions(s, d)
     known = x.select(F.col("user").alias("query"), "item").distinct()
-    items = M.dense_index(x, "item").withColumnRenamed("index", "number")
-    positives = known.where(F.col("query") % 100 == 0)
     popular = x.groupBy("item").agg(F.count_distinct("user").cast("double").alias("score"))
-    ranked = S.sampled_ranking(positives, items, known).join(popular, "item")
+    ranked = S.sampled_ranking(known.where(F.col("query") % 100 == 0), x, known).join(popular, "item")
     return S.sampled_metrics(ranked).select(*[F.round(c, 6).alias(c) for c in ("hit", "mrr", "ndcg")])
 
 
-@query("m14_contrastive_loss")
+@query(
+    "m14_contrastive_loss",
+    """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v), p AS (SELECT a.id, a.v AS a, b.v AS b, (row_number() OVER (ORDER BY sha256(CAST(a.id AS VARCHAR)), a.id) - 1) // 1024 AS batch FROM u a JOIN u b ON b.id = a.id + 1),
+    s AS (SELECT x.batch, x.id, y.id = x.id AS own, list_dot_product(x.a, y.b) / 0.07 AS s FROM p x JOIN p y ON x.batch = y.batch), r AS (SELECT batch, id, ln(sum(exp(s))) - max(s) FILTER (own) AS loss FROM s GROUP BY 1, 2)
+    SELECT batch, round(avg(loss), 5) AS loss FROM r GROUP BY 1""",
+)
 def _contrast(s, d):
     v = vectors(s, d)
     pairs = v.select("id", unit(F.col("vec")).alias("a")).join(v.select((F.col("id") - 1).alias("id"), unit(F.col("vec")).alias("b")), "id")
