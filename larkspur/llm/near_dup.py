@@ -13,8 +13,8 @@ members of other classes: a group of copies is one class after a round or two, a
 it is. The leader leaves, and buckets whose members are in one class are done. What is still open and large after
 ``refine_after`` rounds (mostly documents that share a passage but are not alike) is dealt anew by shingles: with all shingles
 in one order, those rare among these documents first, two sets as alike as asked for share one of the first n - ceil(0.8 n) + 1
-of each. So every such pair of the open buckets meets again, whatever its coordinates; a pair at 0.8 shares a bucket of the
-first deal with probability 0.99995. After ``refine_after`` rounds more, leaders grow fourfold each round, up to ``LEADERS``,
+of each. So every such pair of the open buckets meets again, whatever its coordinates (shingles that only one class has are
+not dealt); a pair at 0.8 shares a bucket of the first deal with probability 0.99995. After ``refine_after`` rounds more, leaders grow fourfold each round, up to ``LEADERS``,
 until no bucket is open; that is quadratic in a group of variants of one text that are a little less alike than asked for.
 Pairs in one class, and pairs that their numbers of shingles, or of those left after the one that they share, rule out, are
 not compared. Only ``exhaustive=False`` stops before; no query or stage does.
@@ -262,20 +262,45 @@ def _slots(sets: DataFrame) -> np.ndarray:
 
 
 def _refined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """bucket, doc, rest: the first shingles of each member's set, and how many of the set there are from that one on."""
-    some = staged(sets.join(members.select("doc").distinct(), "doc", "left_semi"), "refined")
-    shared = members.sparkSession.sparkContext.broadcast(_slots(some))  # fixed size, 8 MB
+    """bucket, doc, rest: the first shingles of each member's set, and how many of the set there are from that one on. Those
+    of which a table of SLOTS entries says that only one class has them could link nothing and are left out. members: doc,
+    class."""
+    of = members.select("doc", F.xxhash64("class").alias("class")).distinct()
+    some = staged(sets.join(of, "doc").select("doc", "set", "class"), "refined")
+    context = members.sparkSession.sparkContext
+    shared = context.broadcast(_slots(some))  # fixed size, 8 MB
+
+    def first(b):
+        n = np.diff(b.column(1).offsets.to_numpy())
+        shingle = b.column(1).flatten().to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((shingle, shared.value[shingle.view(np.uint64) % np.uint64(SLOTS)], row))
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        on = at < (n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1)[row]
+        chosen = shingle[order][on]
+        return row[on], chosen, (chosen.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64), (n[row] - at)[on].astype(np.int64)
+
+    def classes(batches):
+        big = np.iinfo(np.int64)
+        lo, hi = np.full(SLOTS, big.max), np.full(SLOTS, big.min)
+        for b in batches:
+            row, _, slot, _ = first(b)
+            of_row = b.column(2).to_numpy()[row]
+            np.minimum.at(lo, slot, of_row)
+            np.maximum.at(hi, slot, of_row)
+        at = np.flatnonzero(lo <= hi)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lo[at]), pa.array(hi[at])], ["slot", "lo", "hi"])
+
+    mixed = some.mapInArrow(tidy(classes), "slot long, lo long, hi long").groupBy("slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("slot").toArrow()
+    several = np.zeros(SLOTS, bool)
+    several[mixed["slot"].to_numpy()] = True
+    open_ = context.broadcast(several)  # fixed size, 1 MB
 
     def run(batches):
         for b in batches:
-            n = np.diff(b.column(1).offsets.to_numpy())
-            shingle = b.column(1).flatten().to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((shingle, shared.value[shingle.view(np.uint64) % np.uint64(SLOTS)], row))
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            first = at < (n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1)[row]
-            docs = b.column(0).take(pa.array(row[first]))
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[order][first]), docs, pa.array((n[row] - at)[first].astype(np.int64))], ["bucket", "doc", "rest"])
+            row, shingle, slot, rest = first(b)
+            on = open_.value[slot]
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[on]), b.column(0).take(pa.array(row[on])), pa.array(rest[on])], ["bucket", "doc", "rest"])
 
     return some.mapInArrow(tidy(run), f"bucket long, doc {some.schema['doc'].dataType.simpleString()}, rest long")
 
