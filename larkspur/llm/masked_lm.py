@@ -1,13 +1,16 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A network of one hidden layer predicts each word of a text from ``SIDE`` words on both sides; the text's score is the sum
-of the log-probabilities of all its words. Words are the ``vocabulary`` most frequent of the corpus (counted over all
-documents) and one symbol for all others; the output is a two-level softmax over classes of words of like frequency.
+of the log-probabilities of all its words. The network knows the ``vocabulary`` most frequent words of the corpus and one
+symbol for all others; its output is a two-level softmax over classes of words of like frequency. A word behind that
+symbol also has its own probability among those words: its count over all documents, joined by the word. So every word is
+predicted, and what is gathered from the corpus (a count for each distinct word) grows with it.
 
 Counting merges in each task first, then by word. Training is numpy in Spark tasks: each task makes one pass of Adagrad
 over the positions of its partition that a hash chooses (one in ``every``, of all documents), from common weights; the
 weights are averaged by number of positions, in two groupings, and the next round starts from them. Only the vocabulary
-and one set of weights, both of fixed size, reach the driver.
+and one set of weights, both of fixed size, reach the driver. A word outside the vocabulary is less than one word in its
+size, so no key of the join is hot.
 
 Defined cases: a null text, or one without a word, has 0 words and score 0; repeated rows each get their row; further
 columns are ignored; an empty table gives no rows.
@@ -22,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import staged
 from .words import blocks, mix, tidy, words
 
-SIDE, WIDTH, CLASSES, PART = 2, 24, 64, 8192
+SIDE, WIDTH, CLASSES, PART, BATCH = 2, 24, 64, 8192, 4096
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
@@ -63,46 +67,60 @@ class Net:
 
     def log_prob(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(near)
-        out = _log_softmax(h @ self.group + self.group_bias)[0][np.arange(len(h)), target // CLASSES]
-        order = np.argsort(target // CLASSES, kind="stable")
-        cuts = np.searchsorted((target // CLASSES)[order], np.arange(CLASSES + 1))
+        group = target // CLASSES
+        out = _log_of(h @ self.group + self.group_bias, group)
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = order[cuts[c] : cuts[c + 1]]
             if len(rows):
-                out[rows] += _log_softmax(h[rows] @ self.word[c] + self.word_bias[c])[0][np.arange(len(rows)), target[rows] % CLASSES]
+                out[rows] += _log_of(h[rows] @ self.word[c] + self.word_bias[c], target[rows] % CLASSES)
         return out
 
     def step(self, near: np.ndarray, target: np.ndarray, past: Net, rate: float) -> None:
         """One Adagrad step; past holds the sums of squared gradients."""
         n = len(target)
         h = self.hidden(near)
-        p = _log_softmax(h @ self.group + self.group_bias)[1]
-        p[np.arange(n), target // CLASSES] -= 1
+        group = target // CLASSES
+        p = _softmax(h @ self.group + self.group_bias)
+        p[np.arange(n), group] -= 1
         dh = p @ self.group.T
         _adagrad(self.group, past.group, h.T @ p / n, rate)
         _adagrad(self.group_bias, past.group_bias, p.mean(0), rate)
-        for c in np.unique(target // CLASSES):
-            rows = np.flatnonzero(target // CLASSES == c)
-            q = _log_softmax(h[rows] @ self.word[c] + self.word_bias[c])[1]
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            rows = order[cuts[c] : cuts[c + 1]]
+            mine = h[rows]
+            q = _softmax(mine @ self.word[c] + self.word_bias[c])
             q[np.arange(len(rows)), target[rows] % CLASSES] -= 1
             dh[rows] += q @ self.word[c].T
-            _adagrad(self.word[c], past.word[c], h[rows].T @ q / n, rate)
+            _adagrad(self.word[c], past.word[c], mine.T @ q / n, rate)
             _adagrad(self.word_bias[c], past.word_bias[c], q.sum(0) / n, rate)
         dh *= h > 0
         _adagrad(self.bias, past.bias, dh.mean(0), rate)
+        dh /= n
         for k in range(len(_OFFSETS)):
-            ids, back = np.unique(near[:, k], return_inverse=True)
-            g = np.zeros((len(ids), WIDTH), np.float32)
-            np.add.at(g, back, dh / n)
+            order = np.argsort(near[:, k], kind="stable")
+            ids = near[order, k]
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            g, ids = np.add.reduceat(dh[order], first, axis=0), ids[first]
             past.embed[k, ids] += g * g
             self.embed[k, ids] -= rate * g / (np.sqrt(past.embed[k, ids]) + 1e-6)
 
 
-def _log_softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_of(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log of the softmax of x at one place of each row."""
     x -= x.max(1, keepdims=True)
-    e = np.exp(x)
-    total = e.sum(1, keepdims=True)
-    return x - np.log(total), e / total
+    out = x[np.arange(len(x)), which]
+    return out - np.log(np.exp(x, out=x).sum(1))
 
 
 def _adagrad(w: np.ndarray, past: np.ndarray, g: np.ndarray, rate: float) -> None:
@@ -147,13 +165,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class MaskedModel:
-    def __init__(self, known: np.ndarray, ids: np.ndarray, flat: np.ndarray):
-        self.known, self.ids, self.flat = known, ids, flat
+    """known, ids: hashes of the vocabulary, sorted, and their ids; flat: the weights; counts: (word, n) of all words; rare:
+    how many of the corpus' words are outside the vocabulary."""
+
+    def __init__(self, known: np.ndarray, ids: np.ndarray, flat: np.ndarray, counts: DataFrame, rare: int):
+        self.known, self.ids, self.flat, self.counts, self.rare = known, ids, flat, counts, rare
 
     @classmethod
-    def fit(cls, docs: DataFrame, text_col: str = "text", vocabulary: int = CLASSES * CLASSES - 1, every: int = 16, rounds: int = 2, rate: float = 0.1) -> MaskedModel:
+    def fit(cls, docs: DataFrame, text_col: str = "text", vocabulary: int = CLASSES * CLASSES - 1, every: int = 2, rounds: int = 1, rate: float = 0.1) -> MaskedModel:
         spark = docs.sparkSession
-        top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(min(vocabulary, CLASSES * CLASSES - 1)).select("word").toArrow()
+        counts = staged(word_counts(docs, text_col), "word-counts")
+        top = counts.orderBy(F.desc("n"), "word").limit(min(vocabulary, CLASSES * CLASSES - 1)).select("word", "n").toArrow()
+        rare = (counts.agg(F.sum("n")).head()[0] or 0) - sum(top["n"].to_pylist())
         known = top["word"].to_numpy().view(np.uint64)
         order = np.argsort(known)
         known, ids = known[order], order + 1
@@ -166,7 +189,7 @@ class MaskedModel:
             got = whole.orderBy("part").select("values").toArrow().column(0).combine_chunks()
             if len(got):
                 flat = got.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-        return cls(known, ids, flat)
+        return cls(known, ids, flat, counts, rare)
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_words, log_likelihood (sum over the words), mean_log_likelihood (null without words)."""
@@ -177,18 +200,26 @@ class MaskedModel:
             known, ids, flat = shared.value
             net = Net(flat)
             for b in batches:
-                n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
                 for lo, hi, text in blocks(b.column(1)):
                     w = words(text)
-                    _, target, near = _examples(w, known, ids)
+                    h, target, near = _examples(w, known, ids)
                     each = np.zeros(len(target))
                     for i in range(0, len(target), 32768):
                         each[i : i + 32768] = net.log_prob(near[i : i + 32768], target[i : i + 32768])
-                    n[lo:hi], total[lo:hi] = w.count, np.bincount(w.doc, each, hi - lo)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-        return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidy(run), f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+                    behind = target == 0
+                    ends = np.append(0, np.cumsum(np.bincount(w.doc[behind], minlength=hi - lo))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[behind].view(np.int64)))
+                    columns = [b.column(0).slice(lo, hi - lo), pa.array(w.count.astype(np.int64)), pa.array(np.bincount(w.doc, each, hi - lo)), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "by_net", "rare"])
+
+        rows = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidy(run), f"doc_id {kind}, n_words long, by_net double, rare array<long>")
+        rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
+        words_of = rows.select("row", F.explode("rare").alias("word"))
+        own = words_of.join(self.counts, "word").groupBy("row").agg(F.sum(F.log("n")).alias("logs"))
+        missing = F.size("rare") * F.lit(math.log(max(self.rare, 1)))
+        whole = rows.select("row", "doc_id", "n_words", (F.col("by_net") - missing).alias("base")).join(own, "row", "left")
+        total = F.col("base") + F.coalesce("logs", F.lit(0.0))
+        return whole.select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
 
 
 def _train(shared, every: int, turn: int, rate: float):
@@ -202,8 +233,8 @@ def _train(shared, every: int, turn: int, rate: float):
                 place = mix(h + np.arange(len(h), dtype=np.uint64) - w.first[w.doc].astype(np.uint64) + np.uint64(turn << 40))
                 chosen = np.flatnonzero(place % np.uint64(every) == 0)
                 first = first or int(h[0] % np.uint64(1 << 30)) if len(h) else first
-                for i in range(0, len(chosen), 1024):
-                    c = chosen[i : i + 1024]
+                for i in range(0, len(chosen), BATCH):
+                    c = chosen[i : i + BATCH]
                     net.step(near[c], target[c], past, rate)
                 seen += len(chosen)
         if seen:
