@@ -20,7 +20,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import _shuffles_freed, fresh
+from .store import _shuffles_freed, fresh, unused
+
+
+#: In so many parts the query lets the documents arrive.
+ARRIVALS = 3
 
 
 class VersionTaken(RuntimeError):
@@ -103,10 +107,11 @@ class ShardStore:
             if not runs:
                 return last
             run_of = {s["file"].rsplit("/", 2)[-2] + "/" + s["file"].rsplit("/", 1)[-1]: i for i, r in enumerate(runs) for s in r}
-            table = self.spark.createDataFrame(list(run_of.items()), "_shard string, _run int")
             rows = self.spark.read.parquet(*[s["file"] for r in runs for s in r])
+            shard, run = unused(rows, "shard"), unused(rows, "run")
+            table = self.spark.createDataFrame(list(run_of.items()), f"`{shard}` string, `{run}` int")
             name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
-            merged = rows.withColumn("_shard", name).join(F.broadcast(table), "_shard").repartitionById(len(runs), F.col("_run")).drop("_shard", "_run")
+            merged = rows.withColumn(shard, name).join(F.broadcast(table), shard).repartitionById(len(runs), F.col(run)).drop(shard, run)
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
             with _shuffles_freed(self.spark):
                 merged.write.option("compression", "zstd").parquet(folder)
@@ -128,14 +133,16 @@ class ShardStore:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as the compacted store returns it: doc_id, n_chars, text_sha256, its shard's number, tier and bytes."""
+    """Each document as the store returns it after ``ARRIVALS`` appends, each compacted: doc_id, n_chars, text_sha256, its
+    shard's number, tier and bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = ShardStore(spark, fresh(spark, "shards"), target_bytes=32 << 20)
     if docs.isEmpty():
         return docs.select("doc_id", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.lit(0).alias("shard"), F.lit(0).alias("tier"), F.lit(0).cast("long").alias("shard_bytes"))
-    store.append(docs)
-    store.compact()
-    store.vacuum()
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        store.compact()
+        store.vacuum()
     table = spark.createDataFrame([(s["file"].rsplit("/", 1)[-1], i, s["tier"], s["bytes"]) for i, s in enumerate(store.shards())], "_shard string, shard int, tier int, shard_bytes long")
     rows = store.read().select("doc_id", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("_shard"))
     return rows.join(F.broadcast(table), "_shard").drop("_shard")
