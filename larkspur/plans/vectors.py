@@ -87,13 +87,72 @@ query(
 )(lambda s, d: V.target_relevance(_pairs(s, d).select(F.col("label").alias("query"), F.col("query").alias("seed"), "item", F.col("score").alias("sim"))).withColumn("relevance", F.round("relevance", 6)))
 
 
+def _members(s, d):
+    return vectors(s, d).select(F.col("label").cast("long").alias("query"), "id", "vec")
+
+
 @query("v3_interest_heads")
 def _heads(s, d):
-    return V.interest_heads(vectors(s, d).select(F.col("label").cast("long").alias("query"), "id", "vec")).select("query", "head", "size", F.round(Q.norm(F.col("vec")), 6).alias("norm"))
+    return V.interest_heads(_members(s, d)).select("query", "head", "size", F.round(Q.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query("v11_head_checks")
+def _checks(s, d):
+    return V.head_checks(_members(s, d), V.interest_heads).select("query", "same", (F.col("separation") < 0.95).alias("apart"), F.round("matched", 4).alias("matched"))
+
+
+query(
+    "v2_attention_pool",
+    """WITH h AS (SELECT vec_id AS head, CAST(embedding AS DOUBLE[]) AS h FROM embeddings WHERE vec_id < 4), s AS (SELECT label AS query, head, CAST(embedding AS DOUBLE[]) AS v, list_dot_product(h, CAST(embedding AS DOUBLE[])) / 8 AS s FROM embeddings, h),
+    e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY query, head)) AS e FROM s), l AS (SELECT query, head, generate_subscripts(v, 1) AS d, unnest(v) * e AS x, e FROM e), m AS (SELECT query, head, d, sum(x) / sum(e) AS x FROM l GROUP BY ALL) SELECT query, head, round(max(x) / sqrt(sum(x * x)), 6) AS top FROM m GROUP BY 1, 2""",
+)(lambda s, d: V.attention_pool(vectors(s, d).select(F.col("label").alias("query"), "id", "vec"), vectors(s, d).where("id < 4").select(F.col("id").alias("head"), "vec")).select("query", "head", F.round(F.array_max("vec"), 6).alias("top")))
+
+#: Sixteen centers of a routing model, by rule: center i has 1 at place i and 0.5 at place 2 i + 16.
+CENTERS = [[1.0 if k == i else 0.5 if k == 2 * i + 16 else 0.0 for k in range(64)] for i in range(16)]
+
+
+def _routing_sql() -> str:
+    out = f"""WITH c0 AS (SELECT generate_subscripts(c, 1) - 1 AS head, unnest(c) AS c FROM (SELECT {CENTERS} AS c)), cn AS (SELECT head, c, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS u FROM c0),
+    m AS (SELECT label AS query, vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v0 FROM embeddings), mu AS (SELECT query, id, list_transform(v0, lambda x: x / sqrt(list_dot_product(v0, v0))) AS v FROM m), k0 AS (SELECT DISTINCT query, head, u FROM mu, cn)"""
+    for r in range(3):
+        out += f""", s{r} AS (SELECT mu.query, id, head, v, list_dot_product(u, v) / 0.1 AS s FROM mu JOIN k{r} k ON mu.query = k.query), e{r} AS (SELECT *, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM s{r}), p{r} AS (SELECT query, id, head, v, e / sum(e) OVER (PARTITION BY id) AS p FROM e{r})"""
+        if r < 2:
+            out += f""", t{r} AS (SELECT query, head, d, sum(x) AS x FROM (SELECT query, head, generate_subscripts(v, 1) AS d, unnest(v) * p AS x FROM p{r}) GROUP BY ALL), z{r} AS (SELECT query, t.head, list(x + 0.1 * c[d] ORDER BY d) AS z FROM t{r} t JOIN cn ON t.head = cn.head GROUP BY ALL),
+    k{r + 1} AS (SELECT query, head, list_transform(z, lambda x: x / sqrt(list_dot_product(z, z))) AS u FROM z{r})"""
+    return out + """, tp AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, head) AS k FROM p2), ms AS (SELECT query, CAST(head AS INTEGER) AS head, round(avg(p), 6) AS mass, bool_or(k = 1) AS active FROM tp GROUP BY ALL),
+    l AS (SELECT query, head, d, sum(x) AS x FROM (SELECT query, head, generate_subscripts(v, 1) AS d, unnest(v) * p AS x FROM p2) GROUP BY ALL), tt AS (SELECT query, head, round(max(x) / sqrt(sum(x * x)), 5) AS top FROM l GROUP BY 1, 2)
+    SELECT ms.query, ms.head, mass, active, top FROM ms JOIN tt ON ms.query = tt.query AND ms.head = tt.head"""
+
+
+query("v4_interest_routing", _routing_sql())(lambda s, d: V.interest_routing(vectors(s, d).select(F.col("label").alias("query"), "id", "vec"), CENTERS).select("query", "head", F.round("mass", 6).alias("mass"), "active", F.round(F.array_max("vec"), 5).alias("top")))
+
+_P1 = [[((i * 3 + o * 5) % 13 - 6) / 20 for i in range(65)] for o in range(32)]
+_P2 = [[((i * 7 + o) % 11 - 5) / 10 for i in range(32)] for o in range(16)]
+_GELU = "0.5 * {0} * (1 + tanh(0.7978845608028654 * ({0} + 0.044715 * {0} * {0} * {0})))"
+query(
+    "v6_projected",
+    f"""WITH v AS (SELECT vec_id AS id, list_append(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), label / 10.0) AS v FROM embeddings), a AS (SELECT id, list_transform({_P1}, lambda w: list_dot_product(w, v)) AS a FROM v), b AS (SELECT id, list_transform(a, lambda x: {_GELU.format("x")}) AS b FROM a),
+    c AS (SELECT id, list_transform(list_transform({_P2}, lambda w: list_dot_product(w, b)), lambda x: {_GELU.format("x")}) AS c FROM b) SELECT id, round(list_max(c) / sqrt(list_dot_product(c, c)), 5) AS top, round(c[1] / sqrt(list_dot_product(c, c)), 5) AS first FROM c""",
+)(lambda s, d: _projected(s, d))
+
+
+def _projected(s, d):
+    from ..operators.discovery import projected
+
+    v = vectors(s, d).select("id", F.array_append(F.col("vec").cast("array<double>"), F.col("label") / 10.0).alias("v"))
+    return v.select("id", projected(F.col("v"), [(_P1, [0.0] * 32), (_P2, [0.0] * 16)]).alias("p")).select("id", F.round(F.array_max("p"), 5).alias("top"), F.round(F.col("p")[0], 5).alias("first"))
+
+
+@query("v8_covariance_rank")
+def _rank(s, d):
+    v = vectors(s, d)
+    return v.agg(F.count("*").alias("rows")).withColumn("rank", F.lit(V.covariance_rank(v)))
+
 
+@query("v7_session_embeddings")
+def _embedded(s, d):
+    """Items of a user's orders in time order as one session each."""
+    from ..sources.tables import interactions
 
-@query("v2_attention_pool")
-def _pool(s, d):
-    heads = vectors(s, d).where("id < 4").select(F.col("id").alias("head"), "vec")
-    members = vectors(s, d).select(F.col("label").alias("query"), "id", "vec")
-    return V.attention_pool(members, heads).select("query", "head", F.round(F.array_max("vec"), 6).alias("top"))
+    x = interactions(s, d).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ctx", "pos", "item"))), lambda r: r["item"].cast("string")).alias("items"))
+    return V.session_embeddings(x.select("items")).select(F.col("id").cast("long").alias("item"), F.round(Q.norm(F.col("vec")), 4).alias("norm"))
