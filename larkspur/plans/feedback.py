@@ -33,7 +33,13 @@ query(
 )(lambda s, d: J.feedback_state(journal(s, d)).withColumn("known", F.coalesce("known", F.lit(False))).withColumn("preference", F.coalesce(F.col("preference"), F.lit(0)).cast("int")))
 
 
-@query("st7_online_weights")
+@query(
+    "st7_online_weights",
+    E.replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT "user", row_number() OVER (PARTITION BY "user" ORDER BY event_id) AS k, item / 100.0 AS x1, (item % 7) / 7.0 AS x2, CASE WHEN action IN ('click', 'purchase') THEN 1.0 ELSE 0.0 END AS y FROM e),
+    r AS (SELECT DISTINCT "user", CAST(0 AS BIGINT) AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM o
+      UNION ALL SELECT "user", k, a + g, b + g * x1, c + g * x2 FROM (SELECT o."user", o.k, a, b, c, x1, x2, 0.1 * (y - 1 / (1 + exp(-(a + b * x1 + c * x2)))) AS g FROM r JOIN o ON o."user" = r."user" AND o.k = r.k + 1)),
+    l AS (SELECT "user", max(k) AS k FROM r GROUP BY 1) SELECT r."user", round(a, 6) AS t0, round(b, 6) AS t1, round(c, 6) AS t2 FROM r JOIN l ON r."user" = l."user" AND r.k = l.k""",
+)
 def _weights(s, d):
     rows = listens(s, d).select("user", F.col("event_id").alias("sequence"), F.array(F.lit(1.0), F.col("item") / 100.0, (F.col("item") % 7) / 7.0).alias("x"), F.col("action").isin("click", "purchase").cast("double").alias("y"))
     return J.online_weights(rows, 3).select("user", *[F.round(F.col("theta")[i], 6).alias(f"t{i}") for i in range(3)])

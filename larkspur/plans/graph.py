@@ -82,6 +82,10 @@ def _ppr_sql(n: int = 12) -> str:
     return out + f" SELECT query, item, round(p, 6) AS score FROM p{n}"
 
 
+#: The walk's tables up to the last step, p12; needs seeds ``sd`` and the graph.
+PPR = _ppr_sql().replace("JOIN t ON cf.src = t.src)", "JOIN t ON cf.src = t.src WHERE affinity * confidence > 0)").rsplit(" SELECT query, item, round(p", 1)[0]
+
+
 def _ppr(s, d):
     inc, edges = _graph(s, d)
     e = cut(G.confidence(edges, inc)).select("src", "dst", (F.col("affinity") * F.col("confidence")).alias("value")).where("value > 0")

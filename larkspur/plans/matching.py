@@ -14,7 +14,8 @@ from ..operators import sampling as N
 from ..sources.tables import INTERACTIONS, catalog, interactions, table, vectors
 from ..operators.sessions import eligible
 from .base import query
-from .graph import ASSOC, ELIGIBLE, METRICS, SPLIT, TOP, _candidates, _graph, _measured, _queries
+from ..sources.staging import cut
+from .graph import ASSOC, ELIGIBLE, PPR, _confident, METRICS, SPLIT, TOP, _candidates, _graph, _measured, _queries
 
 X = "WITH " + INTERACTIONS
 
@@ -152,21 +153,42 @@ def _terciles(s, d):
 
 query(
     "m6_methods",
-    X + SPLIT + """, u AS (SELECT item, count(*) AS pop FROM hs GROUP BY item), al AS (SELECT query, item, 'co_listen' AS method, score FROM nk UNION ALL SELECT nk.query, nk.item, 'popularity', CAST(pop AS DOUBLE) FROM nk JOIN u ON nk.item = u.item),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY query, method ORDER BY score DESC, item) AS k FROM al), tg AS (SELECT query, item FROM q WHERE NOT seed), tn AS (SELECT query, count(*) AS n FROM tg GROUP BY 1)
+    X + SPLIT + ASSOC + ", sd AS (SELECT query, item FROM q WHERE seed)" + PPR + """, u AS (SELECT item, count(*) AS pop FROM hs GROUP BY item), cd AS (SELECT query, item FROM nk),
+    li AS (SELECT DISTINCT "user" AS ctx, item FROM x), lz AS (SELECT ctx, count(*) AS size FROM li GROUP BY ctx), lp AS (SELECT item, count(*) AS pop FROM li GROUP BY item), lh AS (SELECT query, ctx, count(*) AS hits FROM sd JOIN li ON sd.item = li.item WHERE ctx <> query GROUP BY 1, 2),
+    ls AS (SELECT query, li.item, sum(hits / sqrt(size)) AS s FROM lh JOIN lz ON lh.ctx = lz.ctx JOIN li ON lh.ctx = li.ctx GROUP BY 1, 2), dg2 AS (SELECT query, dst AS item, sum(affinity * confidence) AS s FROM sd JOIN cf ON item = src GROUP BY 1, 2),
+    sc2 AS (SELECT query, item, 'co_listen' AS method, score AS s FROM nk UNION ALL SELECT query, cd.item, 'popularity', CAST(pop AS DOUBLE) FROM cd JOIN u ON cd.item = u.item UNION ALL SELECT cd.query, cd.item, 'listeners', s / sqrt(lp.pop) FROM cd JOIN ls ON cd.query = ls.query AND cd.item = ls.item JOIN lp ON lp.item = cd.item
+      UNION ALL SELECT cd.query, cd.item, 'graph', s FROM cd JOIN dg2 ON cd.query = dg2.query AND cd.item = dg2.item UNION ALL SELECT cd.query, cd.item, 'walk', p FROM cd JOIN p12 ON cd.query = p12.query AND cd.item = p12.item),
+    al AS (SELECT cd.query, cd.item, m.method, round(coalesce(s, 0), 6) AS s FROM cd CROSS JOIN (SELECT DISTINCT method FROM sc2) m LEFT JOIN sc2 ON sc2.query = cd.query AND sc2.item = cd.item AND sc2.method = m.method),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query, method ORDER BY s DESC, item) AS k FROM al), tg AS (SELECT query, item FROM q WHERE NOT seed), tn AS (SELECT query, count(*) AS n FROM tg GROUP BY 1)
     SELECT method, rk.query, round(count(*) / max(n), 6) AS recall FROM rk JOIN tg ON rk.query = tg.query AND rk.item = tg.item JOIN tn ON rk.query = tn.query WHERE k <= 100 GROUP BY 1, 2""",
 )(lambda s, d: _methods(s, d))
 
 
 def _methods(s, d):
+    """Recall at 100 of five methods on the same candidates; what a method does not score counts as 0."""
     q, found = _candidates(s, d)
-    pop = _queries(s, d)[1].groupBy("item").agg(F.count("*").cast("double").alias("pop"))
-    long = found.select("query", "item", F.lit("co_listen").alias("method"), "score").union(found.join(pop, "item").select("query", "item", F.lit("popularity"), "pop"))
-    w = Window.partitionBy("query", "method").orderBy(F.desc("score"), "item")
+    found, seeds = cut(found, "candidates"), q.where("seed").select("query", "item")
+    history = _queries(s, d)[1]
+    inc = G.incidence(interactions(s, d), "user")
+    edges = cut(_confident(s, d), "confident")
+    valued = edges.select("src", "dst", (F.col("affinity") * F.col("confidence")).alias("value")).where("value > 0")
+    methods = {
+        "co_listen": found.select("query", "item", "score"),
+        "popularity": found.select("query", "item").join(history.groupBy("item").agg(F.count("*").cast("double").alias("score")), "item").select("query", "item", "score"),
+        "listeners": G.listener_scores(inc, seeds).select("query", "item", "score"),
+        "graph": G.direct_scores(seeds, edges).select("query", "item", "score"),
+        "walk": G.personalized_pagerank(seeds, valued).select("query", "item", "score"),
+    }
     target = q.where("NOT seed").select("query", "item")
     n = target.groupBy("query").agg(F.count("*").alias("n"))
-    hit = long.withColumn("k", F.row_number().over(w)).where("k <= 100").join(target, ["query", "item"], "left_semi").join(n, "query")
-    return hit.groupBy("method", "query").agg(F.round(F.count("*") / F.max("n"), 6).alias("recall"))
+    w = Window.partitionBy("query").orderBy(F.desc("s"), "item")
+    out = None
+    for name, df in methods.items():
+        all_ = found.select("query", "item").join(df, ["query", "item"], "left").select("query", "item", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("s"))
+        hit = all_.withColumn("k", F.row_number().over(w)).where("k <= 100").join(target, ["query", "item"], "left_semi").join(n, "query")
+        one = hit.groupBy("query").agg(F.round(F.count("*") / F.max("n"), 6).alias("recall")).select(F.lit(name).alias("method"), "query", "recall")
+        out = one if out is None else out.union(one)
+    return out
 
 
 query("f20_band_default", X + """, u AS (SELECT item, count(DISTINCT "user") AS users FROM x GROUP BY item), p AS (SELECT item, percent_rank() OVER (ORDER BY users) AS pr FROM u)
@@ -191,7 +213,12 @@ def _canaries(s, d):
     return e.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("affinity", 9)), "dst"))).where("place <= 10").select("src", "dst", "support", "place")
 
 
-@query("g7_propagation")
+@query(
+    "g7_propagation",
+    X + ASSOC + """, t AS (SELECT src, sum(affinity) AS d FROM g GROUP BY src), w AS (SELECT g.src, g.dst, affinity / sqrt(a.d * b.d) AS w FROM g JOIN t a ON g.src = a.src JOIN t b ON g.dst = b.src),
+    v0 AS (SELECT p_partkey AS id, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM part JOIN embeddings ON p_partkey % 500 = vec_id), h1 AS (SELECT src AS id, d, sum(w * x) AS x FROM w JOIN v0 ON dst = id GROUP BY ALL), h2 AS (SELECT src AS id, d, sum(w * x) AS x FROM w JOIN h1 ON dst = id GROUP BY ALL),
+    m AS (SELECT id, d, sum(x) / 3 AS x FROM (SELECT * FROM v0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL) SELECT id, round(max(x) / sqrt(sum(x * x)), 6) AS top FROM m GROUP BY id""",
+)
 def _propagated(s, d):
     adj = G.adjacency(_graph(s, d)[1])
     v = catalog(s, d).select(F.col("item").alias("id")).join(vectors(s, d).select(F.col("id").alias("v"), "vec"), F.col("id") % 500 == F.col("v")).select("id", "vec")

@@ -10,7 +10,7 @@ from ..operators.numbering import drawn_sql
 from ..operators import scoring as S
 from ..sources.tables import INTERACTIONS, interactions, vectors
 from .base import query
-from .graph import SPLIT, _candidates
+from .graph import ASSOC, SPLIT, _candidates
 
 X = "WITH " + INTERACTIONS
 
@@ -125,3 +125,43 @@ def _adjusted(s, d):
     return S.feedback_adjusted(scored, fb, v.select(F.col("id").alias("item"), unit(F.col("vec")).alias("vec"))).withColumn("score", F.round("score", 5))
 
 
+
+
+query(
+    "r15_calibrated",
+    X + SPLIT + ASSOC + """, tg AS (SELECT query, item FROM q WHERE NOT seed), tn AS (SELECT query, count(*) AS n FROM tg GROUP BY 1), se AS (SELECT c.c AS confidence, r.r AS radius FROM (VALUES (0.2), (0.35)) c(c), (VALUES (-0.1), (0.0), (0.25)) r(r)),
+    e AS (SELECT src, dst, cf.confidence AS conf, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM cf LEFT JOIN embeddings a ON src = a.vec_id LEFT JOIN embeddings b ON dst = b.vec_id WHERE cf.confidence >= 0.2),
+    cn AS (SELECT DISTINCT se.confidence, se.radius, query, dst AS item FROM q JOIN e ON q.item = src JOIN se ON conf >= se.confidence AND coalesce(round(sim, 9), 1) >= se.radius WHERE seed), ht AS (SELECT confidence, radius, cn.query, count(*) AS size, count(tg.item) AS hits FROM cn LEFT JOIN tg ON cn.query = tg.query AND cn.item = tg.item GROUP BY ALL),
+    rs AS (SELECT se.confidence, se.radius, round(avg(coalesce(hits / n, 0)), 6) AS recall, round(avg(coalesce(size, 0)), 6) AS size FROM tn CROSS JOIN se LEFT JOIN ht ON ht.query = tn.query AND ht.confidence = se.confidence AND ht.radius = se.radius GROUP BY 1, 2)
+    SELECT CAST(confidence AS DOUBLE) AS confidence, CAST(radius AS DOUBLE) AS radius, recall, size FROM rs WHERE recall >= 0.01 ORDER BY size, recall DESC, confidence, radius LIMIT 1""",
+)(lambda s, d: _calibrated(s, d))
+
+
+def _calibrated(s, d):
+    """The grid of confidences and radii; a floor that these data reach."""
+    from .graph import _confident, _queries
+
+    q = _queries(s, d)[0]
+    v = vectors(s, d).select("id", "vec")
+    e = _confident(s, d).where("confidence >= 0.2").join(v.select(F.col("id").alias("src"), F.col("vec").alias("a")), "src", "left").join(v.select(F.col("id").alias("dst"), F.col("vec").alias("b")), "dst", "left")
+    e = e.select("src", "dst", F.col("confidence").alias("conf"), F.coalesce(F.round(dot(F.col("a"), F.col("b")), 9), F.lit(1.0)).alias("sim"))
+    grid = F.explode(F.array(*[F.struct(F.lit(c).alias("confidence"), F.lit(r).alias("radius")) for c in (0.2, 0.35) for r in (-0.1, 0.0, 0.25)])).alias("g")
+    targets = q.where("NOT seed").select("query", "item")
+    found = q.where("seed").select("query", F.col("item").alias("src")).join(e, "src").select("query", F.col("dst").alias("item"), "conf", "sim", grid).where("conf >= g.confidence AND sim >= g.radius").select("query", "item", "g.*").distinct()
+    hits = found.join(targets.withColumn("hit", F.lit(1)), ["query", "item"], "left").groupBy("query", "confidence", "radius").agg(F.count("*").alias("size"), F.count("hit").alias("hits"))
+    n = targets.groupBy("query").agg(F.count("*").alias("n")).select("query", "n", grid).select("query", "n", "g.*")
+    each = n.join(hits, ["query", "confidence", "radius"], "left").na.fill(0)
+    results = each.groupBy("confidence", "radius").agg(F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("recall"), F.round(F.avg("size"), 6).alias("size"))
+    return S.calibrated(results, ["confidence", "radius"], 0.01)
+
+
+@query("r13_personal_layer")
+def _personal(s, d):
+    """Ratings are a user's clicks and purchases against its other events."""
+    from ..sources.tables import listens
+
+    e = listens(s, d).where("item IS NOT NULL").withColumn("f1", F.col("item") / 100.0).withColumn("f2", (F.col("item") % 7) / 7.0)
+    pop = e.groupBy("item").agg(F.log1p(F.count("*")).alias("score"))
+    rated = e.join(pop, "item").select(F.col("user").alias("query"), F.col("event_id").alias("sequence"), F.col("action").isin("click", "purchase").cast("double").alias("label"), "score", "f1", "f2")
+    scores = e.select(F.col("user").alias("query"), "item", "f1", "f2").distinct().join(pop, "item")
+    return S.personal_layer(rated, scores, ["f1", "f2"]).withColumn("score", F.round("score", 6))
