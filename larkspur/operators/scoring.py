@@ -110,12 +110,14 @@ def personal_layer(ratings: DataFrame, scores: DataFrame, features: list[str], l
     of ratings up to 0.35; the correction is strength * deviation of the scores * tanh(logit / 2). ratings: query, sequence,
     label, score, features; scores: query, item, score, features. A user's ratings are a group."""
 
+    columns = ["query", "mean", "scale", "weights", "bias", "strength"]
+
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sequence")
         x, y = rows[features].to_numpy(float), rows["label"].to_numpy(float)
         n = int(0.8 * len(rows))
         if n < least or len(set(y[:n])) < 2 or len(set(y[n:])) < 2:
-            return pd.DataFrame({"query": [], "mean": [], "scale": [], "weights": [], "bias": [], "strength": []})
+            return pd.DataFrame(columns=columns, dtype=object)
         mean, scale = x[:n].mean(0), np.maximum(x[:n].std(0, ddof=1), 0.05)
         z = np.clip((x - mean) / scale, -5, 5)
         prior = float(np.clip(y[:n].mean(), 0.01, 0.99))
@@ -129,8 +131,8 @@ def personal_layer(ratings: DataFrame, scores: DataFrame, features: list[str], l
         loss, base = np.logaddexp(0, logit) - y[n:] * logit, -(y[n:] * np.log(prior) + (1 - y[n:]) * np.log(1 - prior))
         pairs = lambda s: (s[y[n:] == 1][:, None] > s[y[n:] == 0]).mean()
         ok = loss.mean() < base.mean() and pairs(logit) >= pairs(rows["score"].to_numpy(float)[n:])
-        one = {"query": key[0], "mean": list(mean), "scale": list(scale), "weights": list(theta[:-1]), "bias": theta[-1], "strength": min(0.35, n / 200)}
-        return pd.DataFrame([one] if ok else [], columns=list(one))
+        one = (key[0], list(mean), list(scale), list(theta[:-1]), float(theta[-1]), min(0.35, n / 200))
+        return pd.DataFrame([one] if ok else [], columns=columns, dtype=object)
 
     kind = ratings.schema["query"].dataType.simpleString()
     models = ratings.groupBy("query").applyInPandas(fit, f"query {kind}, mean array<double>, scale array<double>, weights array<double>, bias double, strength double")

@@ -114,7 +114,7 @@ def _recursive(sql: str) -> str:
 query("l2_no_adjacent_artist", _recursive(X + SPLIT + _greedy_sql(50, 2)))(lambda s, d: R.no_adjacent_artist(_greedy_input(s, d), 50, 2).select("query", "item", "place"))
 
 query("l4_prefix_quotas", _recursive(X + SPLIT + _greedy_sql(40, 2, "familiars + 1 <= (gr.place + 1) * 3 // 10", "populars + 1 <= (gr.place + 1) // 5")))(
-    lambda s, d: R.no_adjacent_artist(_greedy_input(s, d), 40, 2, familiar=(3, 10), popular=(1, 5)).select("query", "item", "place")
+    lambda s, d: R.no_adjacent_artist(_greedy_input(s, d), 40, 2, familiar=0.3, popular=0.2).select("query", "item", "place")
 )
 
 query("l5_less_familiar", _recursive(X + SPLIT + _greedy_sql(40, 2, per_familiar=1)))(lambda s, d: R.no_adjacent_artist(_greedy_input(s, d), 40, 2, per_familiar=1).select("query", "item", "place"))

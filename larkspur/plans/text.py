@@ -61,14 +61,14 @@ query("f8_seed_key", "SELECT p_partkey AS item, sha256(lower(p_brand) || chr(0)
     lambda s, d: catalog(s, d).select("item", H.sha(T.seed_key(F.concat(F.lit("  "), "artist"), F.col("title"))).alias("key"))
 )
 
-_FNV = "list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(range(1, len({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS UBIGINT))), lambda a, b: (xor(a, b) * 16777619) & 4294967295)"
+FNV = "list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(range(1, len({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS UBIGINT))), lambda a, b: (xor(a, b) * 16777619) & 4294967295)"
 
-query("f9_fnv1a", f"SELECT p_partkey AS item, CAST({_FNV.format('p_name')} AS BIGINT) AS hash FROM part")(lambda s, d: catalog(s, d).select("item", H.fnv1a(F.col("title")).alias("hash")))
+query("f9_fnv1a", f"SELECT p_partkey AS item, CAST({FNV.format('p_name')} AS BIGINT) AS hash FROM part")(lambda s, d: catalog(s, d).select("item", H.fnv1a(F.col("title")).alias("hash")))
 
 query(
     "f10_subwords",
     f"""WITH g AS (SELECT DISTINCT p_partkey AS item, substr('^' || p_name || '$', i, n) AS gram FROM part, range(3, 6) r(n), range(1, 200) s(i) WHERE i + n - 1 <= len(p_name) + 2),
-    b AS (SELECT DISTINCT item, CAST({_FNV.format('gram')} % 4096 AS BIGINT) AS bucket FROM g) SELECT item, count(*) AS n, string_agg(bucket, ',' ORDER BY bucket) AS buckets FROM b GROUP BY item""",
+    b AS (SELECT DISTINCT item, CAST({FNV.format('gram')} % 4096 AS BIGINT) AS bucket FROM g) SELECT item, count(*) AS n, string_agg(bucket, ',' ORDER BY bucket) AS buckets FROM b GROUP BY item""",
 )(lambda s, d: catalog(s, d).select("item", H.subword_ids(F.col("title")).alias("b")).select("item", F.size("b").cast("long").alias("n"), F.array_join("b", ",").alias("buckets")))
 
 query("f12_order_hash", "SELECT p_partkey AS item, ((p_partkey + 1) * 2654435761) & 4294967295 AS hash FROM part")(lambda s, d: catalog(s, d).select("item", H.order_hash(F.col("item")).alias("hash")))

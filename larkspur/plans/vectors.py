@@ -8,6 +8,7 @@ from ..functions import vector as Q
 from ..operators import vectors as V
 from ..sources.tables import vectors
 from .base import query
+from .text import FNV
 
 DOT = "(SELECT sum(CAST(u.a AS DOUBLE) * CAST(u.b AS DOUBLE)) FROM (SELECT unnest(q.embedding) AS a, unnest(i.embedding) AS b) u)"
 SIM = "WITH s AS (SELECT q.vec_id AS query, i.vec_id AS item, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0)"
@@ -156,3 +157,32 @@ def _embedded(s, d):
 
     x = interactions(s, d).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ctx", "pos", "item"))), lambda r: r["item"].cast("string")).alias("items"))
     return V.session_embeddings(x.select("items")).select(F.col("id").cast("long").alias("item"), F.round(Q.norm(F.col("vec")), 4).alias("norm"))
+
+
+_W5 = [[((i * 5 + o * 3) % 17 - 8) / 10 for i in range(32)] for o in range(8)]
+_RULE = "list_transform(range(8), lambda k: ({0} * (k + 3) * 7919) % 1000 / 500.0 - 1)"
+query(
+    "v5_encoded_tracks",
+    f"""WITH g AS (SELECT DISTINCT item, field, substr(t, i, n) AS gram FROM (SELECT p_partkey AS item, 'a' AS field, '^' || p_brand || '$' AS t FROM part UNION ALL SELECT p_partkey, 't', '^' || p_name || '$' FROM part), range(3, 6) r(n), range(1, 200) s(i) WHERE i + n - 1 <= len(t)),
+    b AS (SELECT DISTINCT item, field, CAST({FNV.format('gram')} % 4096 AS BIGINT) AS bucket FROM g), x AS (SELECT item, field, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM (SELECT item, field, {_RULE.format('bucket')} AS v FROM b)),
+    m AS (SELECT item, field, list(x ORDER BY d) AS v FROM (SELECT item, field, d, avg(x) AS x FROM x GROUP BY ALL) GROUP BY ALL), ar AS (SELECT p_brand AS key, row_number() OVER (ORDER BY p_brand) AS n FROM (SELECT DISTINCT p_brand FROM part)), ti AS (SELECT p_name AS key, row_number() OVER (ORDER BY p_name) AS n FROM (SELECT DISTINCT p_name FROM part)),
+    f AS (SELECT p_partkey AS item, list_concat(list_concat({_RULE.format('ar.n')}, CASE WHEN ti.n % 3 = 0 THEN list_transform(range(8), lambda k: 0.0) ELSE {_RULE.format('ti.n')} END), list_concat(ma.v, mt.v)) AS f FROM part JOIN ar ON ar.key = p_brand JOIN ti ON ti.key = p_name JOIN m ma ON ma.item = p_partkey AND ma.field = 'a' JOIN m mt ON mt.item = p_partkey AND mt.field = 't'),
+    z AS (SELECT item, list_transform({_W5}, lambda w: tanh(list_dot_product(CAST(w AS DOUBLE[]), CAST(f AS DOUBLE[])))) AS z FROM f) SELECT item, round(list_max(z) / sqrt(list_dot_product(z, z)), 5) AS top, round(z[1] / sqrt(list_dot_product(z, z)), 5) AS first FROM z""",
+)(lambda s, d: _encoded(s, d))
+
+
+def _encoded(s, d):
+    """A model's tables by rule; every third title is outside its vocabulary."""
+    from ..functions.hashing import subword_ids
+    from ..operators.discovery import encoded_tracks
+    from ..operators.numbering import numbered
+    from ..sources.tables import catalog
+
+    c = catalog(s, d)
+    rule = lambda n: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (n * (k + 3) * 7919) % 1000 / 500.0 - 1)
+    table_of = lambda name: numbered(c.select(F.col(name).alias("key")).distinct(), ["key"], "n").select("key", F.col("n") + 1)
+    artists = table_of("artist").toDF("key", "n").select("key", rule(F.col("n")).alias("vec"))
+    titles = table_of("title").toDF("key", "n").where("n % 3 <> 0").select("key", rule(F.col("n")).alias("vec"))
+    grams = s.range(4096).select(F.col("id").alias("bucket"), rule(F.col("id")).alias("vec"))
+    rows = c.select("item", "artist", "title", subword_ids(F.col("artist")).alias("artist_grams"), subword_ids(F.col("title")).alias("title_grams"))
+    return encoded_tracks(rows, artists, titles, grams, _W5, [0.0] * 8).select("item", F.round(F.array_max("vec"), 5).alias("top"), F.round(F.col("vec")[0], 5).alias("first"))

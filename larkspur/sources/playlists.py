@@ -46,7 +46,7 @@ def playlists(files: DataFrame) -> DataFrame:
     artist or title go; pos counts what a file lists."""
     typed = files.select("file_id", "text", kind(F.col("text")).alias("kind"))
     item = "artist string, artist_name string, artists array<struct<name: string>>, title string, name string, track_name string, uri string, id string"
-    listed = F.coalesce(F.from_json("text", f"array<struct<{item}>>"), F.from_json("text", f"struct<tracks: array<struct<{item}>>>")["tracks"])
+    listed = F.when(F.ltrim("text").startswith("["), F.from_json("text", f"array<struct<{item}>>")).otherwise(F.from_json("text", f"struct<tracks: array<struct<{item}>>>")["tracks"])
     songs = typed.where("kind = 'json'").select("file_id", F.posexplode(listed).alias("pos", "t"))
     songs = songs.select("file_id", "pos", F.coalesce("t.artist", "t.artist_name", F.col("t.artists")[0]["name"]).alias("artist"), F.coalesce("t.title", "t.name", "t.track_name").alias("title"), F.coalesce("t.uri", "t.id").alias("link"))
     lines = typed.where("kind <> 'json'").select("file_id", "kind", F.filter(F.transform(F.split("text", "\n"), lambda x: F.rtrim(F.replace(x, F.lit("\r"), F.lit("")))), lambda x: x != "").alias("lines"))
