@@ -63,7 +63,7 @@ class CappedSessions(StatefulProcessor):
                 out.append((key[0], *now))
                 now = None
             now = (now[0], ts, now[2] + 1) if now else (ts, ts, 1)
-        if now and not later and watermark > (now[1] + self.GAP) * 1000:
+        if now and watermark > (now[1] + self.GAP) * 1000:  # whatever waits is behind the watermark's gap
             out.append((key[0], *now))
             now = None
         self.waiting.put([(ts,) for ts in later]) if later else self.waiting.clear()
