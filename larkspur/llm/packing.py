@@ -140,7 +140,11 @@ def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.nda
 def lower_bound(sizes: np.ndarray, length: int = LENGTH) -> int:
     """The best of the volume bound and two families of dual-feasible functions: u(k), which rounds to multiples of
     1/(k+1), and f(e), which takes items above length - e as whole and drops those below e."""
-    count = np.bincount(sizes, minlength=length + 1).astype(np.int64)
+    return _bound(np.bincount(sizes, minlength=length + 1).astype(np.int64), length)
+
+
+def _bound(count: np.ndarray, length: int) -> int:
+    """The same from how many items have each size."""
     x = np.arange(length + 1)
     best = -(-int((count * x).sum()) // length)
     for k in range(1, 21):
@@ -184,6 +188,17 @@ def pack(pieces: DataFrame, length: int = LENGTH, part_rows: int = 20_000, round
     return out.unionByName(alone)
 
 
+def certified(packed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row: sequences, bound, gap. The bound is that of all pieces together; a gap of 0 means that no packing has fewer."""
+    used = packed.agg(F.count_distinct("sequence_id").alias("sequences"))
+    rows = packed.groupBy("length").agg(F.count("*").alias("n")).collect()  # a row a length
+    count = np.zeros(length + 1, np.int64)
+    for r in rows:
+        count[r["length"]] = r["n"]
+    bound = F.lit(_bound(count, length)).cast("long")
+    return used.select("sequences", bound.alias("bound"), (F.col("sequences") - bound).alias("gap"))
+
+
 def _pack(length: int, spare: int, final: bool):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         sizes = rows["size"].to_numpy()

@@ -272,6 +272,8 @@ def test_pipeline_stages(spark, docs, rows, empty):
     for r in packed:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= packing.LENGTH
+    whole = packing.certified(spark.createDataFrame(packed)).head()
+    assert whole.sequences == len(fill) and whole.bound == packing.lower_bound(np.array([r.length for r in packed])) and whole.gap == whole.sequences - whole.bound
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, "")
         assert out.isEmpty() and (name == "packing" or out.columns == columns)
