@@ -89,15 +89,18 @@ class DigestIndex:
     def compact(self) -> None:
         """One sorted file a bucket in place of one a batch. No other job may write meanwhile."""
         old, new = f"{self.name}_old", DigestIndex(self.spark, f"{self.name}_new", buckets=self.buckets)
-        rows = self.table().repartition(self.buckets, "digest")
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self._location()).repartition(self.buckets, "digest")  # not as buckets: Spark would drop the shuffle
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(new.name)
         self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {old}")
         self.spark.sql(f"ALTER TABLE {new.name} RENAME TO {self.name}")
         DigestIndex(self.spark, old).drop()
 
+    def _location(self) -> str:
+        return self.spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'").head()["data_type"]
+
     def drop(self) -> None:
         """Deletes the index, files included."""
-        at = self.spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'").head()["data_type"]
+        at = self._location()
         self.spark.sql(f"DROP TABLE {self.name}")
         delete(self.spark, at)
 
