@@ -102,10 +102,9 @@ def pooled_negatives(positives: DataFrame, known: DataFrame, items: DataFrame, e
     r = r.withColumn("h", sha(F.concat_ws(":", "positive", "item")))
     n, third = F.col("n"), F.floor(F.col("n") / 3)
     inside = [F.lit(True), F.col("rf") <= F.greatest(F.lit(1), F.floor(n / 4)), (F.col("rs") > third) & (F.col("rs") <= F.greatest(third + 1, F.floor(2 * n / 3))), n - F.col("rs") < F.greatest(F.lit(1), F.floor(n / 10))]
-    taken = F.lit(-1)
+    r = r.withColumn("taken", F.lit(-1))
     for k, ok in enumerate(inside):
         free = ok & (F.col("taken") < 0)
-        r = r.withColumn("taken", taken) if k == 0 else r
         place = F.row_number().over(Window.partitionBy("query", "positive", free).orderBy("h", "item"))
         r = r.withColumn("taken", F.when(free & (place <= each), k).otherwise(F.col("taken")))
     return r.where("taken >= 0").select("query", "positive", "item", F.col("taken").alias("pool"))

@@ -94,14 +94,14 @@ def _greedy_input(s, d):
 def _greedy_sql(size: int, per_artist: int, familiar: str = "true", popular: str = "true", per_familiar: int | None = None, source: str = "", directions: bool = False) -> str:
     """The greedy walk as a recursion: a step a place, all queries at once."""
     cap = f"CASE WHEN familiar THEN {per_familiar} ELSE {per_artist} END" if per_familiar else str(per_artist)
-    covered = "len(list_filter(directions, lambda d: d = direction)), " if directions else ""
+    covered = "len(list_filter(directions, lambda d: d = cn.direction)), " if directions else ""
     source = source or """cn AS (SELECT nk.query, nk.item, p_brand AS artist, p_brand || '|' || p_name AS family, nk.item % 3 = 0 AS familiar, support > 20 AS popular, score, '' AS direction FROM nk JOIN part ON nk.item = p_partkey)"""
     return f""", {source},
     gr AS (SELECT DISTINCT query, CAST(0 AS INTEGER) AS place, CAST(NULL AS BIGINT) AS item, '' AS direction, CAST([] AS VARCHAR[]) AS families, CAST([] AS VARCHAR[]) AS artists, CAST([] AS VARCHAR[]) AS directions, 0 AS familiars, 0 AS populars FROM cn
       UNION ALL SELECT query, place, item, direction, families, artists, directions, familiars, populars FROM (
         SELECT gr.query, gr.place + 1 AS place, cn.item, cn.direction, list_append(families, family) AS families, list_append(artists, artist) AS artists, list_append(directions, cn.direction) AS directions,
           familiars + CAST(familiar AS INTEGER) AS familiars, populars + CAST(popular AS INTEGER) AS populars,
-          row_number() OVER (PARTITION BY gr.query ORDER BY {covered.replace("= direction", "= cn.direction")}score DESC, cn.item, cn.direction) AS k_
+          row_number() OVER (PARTITION BY gr.query ORDER BY {covered}score DESC, cn.item, cn.direction) AS k_
         FROM gr JOIN cn ON gr.query = cn.query WHERE gr.place < {size} AND NOT list_contains(families, family) AND coalesce(artists[-1], '') <> artist AND len(list_filter(artists, lambda a: a = artist)) < {cap}
           AND (NOT familiar OR {familiar}) AND (NOT popular OR {popular})) WHERE k_ = 1)
     SELECT query, item, {"direction, " if directions else ""}place FROM gr WHERE place > 0"""
