@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from ..sources.staging import cut
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
-    """df with each row's number, from 0, in the order of these columns (which must tell all rows apart). Range partitions
-    are numbered by their sizes."""
+def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the sum of a whole number over all rows before each one, in the order of these columns (which must tell all
+    rows apart). Range partitions are summed by themselves and moved by the sums of those before."""
     parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
-    inner = parts.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    inner = cut(inner, "numbered")  # read twice: a second sampling of the ranges could differ
-    sizes = inner.groupBy("_p").agg(F.count("*").alias("n"))
-    before = sizes.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return inner.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_k") - 1).drop("_p", "_k", "_before")  # one row a partition
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    own = before.partitionBy("_p").orderBy(*order)
+    inner = parts.withColumn("_v", value.cast("long")).withColumn("_p", F.spark_partition_id()).withColumn("_s", F.coalesce(F.sum("_v").over(own), F.lit(0)))
+    inner = cut(inner, "running")  # read twice: a second sampling of the ranges could differ
+    totals = inner.groupBy("_p").agg(F.sum("_v").alias("t"))
+    moved = totals.select("_p", F.coalesce(F.sum("t").over(before.orderBy("_p")), F.lit(0)).alias("_t"))  # one row a partition
+    return inner.join(F.broadcast(moved), "_p").withColumn(name, F.col("_t") + F.col("_s")).drop("_p", "_v", "_s", "_t")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
+    """df with each row's number, from 0, in the order of these columns."""
+    return running(df, order, F.lit(1), name)
 
 
 def hash_number(*parts: Column) -> Column:

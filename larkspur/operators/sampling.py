@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sha
 from ..functions.vector import dot
 from ..sources.staging import cut
-from .numbering import drawn, hash_number, numbered
+from .numbering import drawn, hash_number, numbered, running
 from .popularity import user_percentile
 
 
@@ -22,9 +22,8 @@ def ordered_split(users: DataFrame, key: str, ratios: tuple[float, float]) -> Da
 
 def group_disjoint_split(x: DataFrame, group: str, share: float) -> DataFrame:
     """Whole groups in hash order until the share of rows is reached; the rest is held."""
-    n = x.groupBy(group).agg(F.count("*").alias("n"))
-    w = Window.orderBy(sha(F.col(group)), group).rowsBetween(Window.unboundedPreceding, 0)
-    c = n.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    n = x.groupBy(group).agg(F.count("*").alias("n")).withColumn("_h", sha(F.col(group)))
+    c = running(n, ["_h", group], F.col("n"), "before").crossJoin(F.broadcast(x.agg(F.count("*").alias("total"))))  # one row
     return c.select(group, "n", (F.col("before") >= share * F.col("total")).alias("held"))
 
 
