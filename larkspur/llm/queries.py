@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, masked_lm, near_dup, packing, pieces, pii, quality, repeats, shards
+from . import exact_dedup, language, masked_lm, near_dup, packing, pieces, pii, quality, repeats, shards, url_rules
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": repeats.op8_substring_dedup,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_masked_lm": masked_lm.op10_masked_lm,
+    "op11_url_filters": url_rules.op11_url_filters,
 }
 
-SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
+SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op11_url_filters": url_rules.OP11_SQL}
