@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, masked_lm, near_dup, packing, pieces, pii, quality, repeats, shards, url_rules
+from . import exact_dedup, language, masked_lm, near_dup, packing, pieces, pii, prefix_trie, quality, repeats, shards, spelling, url_rules
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
@@ -16,6 +16,13 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_masked_lm": masked_lm.op10_masked_lm,
     "op11_url_filters": url_rules.op11_url_filters,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
-SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op11_url_filters": url_rules.OP11_SQL}
+SQL = {
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op11_url_filters": url_rules.OP11_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
+}
