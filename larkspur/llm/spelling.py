@@ -206,9 +206,9 @@ def near_words(words: DataFrame) -> DataFrame:
     hot = hot.select("group", F.ceil(F.col("letters") / GROUP).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
     mine = F.when(F.col("searched") == 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("word"), parts).cast("int")))
-    rows = rows.join(F.broadcast(hot), "group", "left").select("word", "n", "searched", "mirrored", "m", "group", F.explode(mine).alias("part"))
-    block = F.struct(octave(F.col("m")).alias("octave"), F.pmod(F.xxhash64("group", "part"), F.coalesce(blocks[octave(F.col("m"))], F.lit(1))).alias("number"))
-    rows = rows.select(block.alias("block"), "word", "n", "searched", "mirrored", "m")
+    number = lambda part: F.pmod(F.xxhash64("group", part), F.coalesce(blocks[octave(F.col("m"))], F.lit(1)))
+    rows = rows.join(F.broadcast(hot), "group", "left").select("word", "n", "searched", "mirrored", "m", F.explode(F.array_distinct(F.transform(mine, number))).alias("number"))
+    rows = rows.select(F.struct(octave(F.col("m")).alias("octave"), "number").alias("block"), "word", "n", "searched", "mirrored", "m")
     found = rows.groupBy("block").applyInArrow(_block, _FOUND)
     best = F.min(F.struct((-F.col("form_n")).alias("n"), "form"))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", (-F.col("best.n")).alias("form_n"), F.col("best.form").alias("form"))
