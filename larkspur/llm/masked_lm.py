@@ -1,16 +1,19 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A network of one hidden layer predicts each word of a text from ``SIDE`` words on both sides; the text's score is the sum
-of the log-probabilities of all its words. The network knows the ``vocabulary`` most frequent words of the corpus and one
-symbol for all others; its output is a two-level softmax over classes of words of like frequency. A word behind that
-symbol also has its own probability among those words: its count over all documents, joined by the word. So every word is
-predicted, and what is gathered from the corpus (a count for each distinct word) grows with it.
-
-Counting merges in each task first, then by word. Training is numpy in Spark tasks: each task makes one pass of Adagrad
-over the positions of its partition that a hash chooses (one in ``every``, of all documents), from common weights; the
-weights are averaged by number of positions, in two groupings, and the next round starts from them. Only the vocabulary
-and one set of weights, both of fixed size, reach the driver. A word outside the vocabulary is less than one word in its
-size, so no key of the join is hot.
+of the log-probabilities of all its words. The network knows the ``vocabulary`` most frequent words of the corpus, and all
+others by one of ``GROUPS`` symbols, which a hash of the word names: so it predicts them from both sides too, and sees them
+beside a word. Its output is a two-level softmax over classes, of words of like frequency or of such symbols. A word behind
+a symbol also has its own probability among the words of that symbol: its count over all documents. What is gathered from
+the corpus (a count for each distinct word) grows with it.
+
+Counting merges in each task first, then by word. Counts of up to ``OFTEN`` words, a frequency bound chosen so that they are
+no more, are broadcast; all other words are joined with theirs. Training is numpy in Spark tasks: each task makes one pass
+of Adagrad over all positions of its partition (one in ``every``, chosen by a hash, if the caller asks for less) from
+common weights, in batches that grow with what it has seen, so that a small partition makes many steps too; the weights
+are averaged by number of positions, in two groupings, and the next round starts from them. Only the vocabulary, those
+counts and one set of weights, all of bounded size, reach the driver. A word outside the vocabulary is less than one word
+in its size, so no key of the join is hot.
 
 Defined cases: a null text, or one without a word, has 0 words and score 0; repeated rows each get their row; further
 columns are ignored; an empty table gives no rows.
@@ -28,7 +31,11 @@ from pyspark.sql import functions as F
 from .store import staged
 from .words import blocks, mix, tidy, words
 
-SIDE, WIDTH, CLASSES, PART, BATCH = 2, 24, 64, 8192, 4096
+SIDE, WIDTH, CLASSES, PART = 2, 24, 64, 8192
+#: Least and largest batch of a step.
+FIRST_BATCH, BATCH = 256, 4096
+#: Symbols of the words outside the vocabulary, and words whose counts are broadcast at most.
+GROUPS, OFTEN = 1024, 1_000_000
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
@@ -132,7 +139,8 @@ def _examples(w, known: np.ndarray, ids: np.ndarray):
     """Word ids of a block, and of each word its neighbours' ids."""
     h = w.hashes()
     at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-    target = np.where(known[at] == h, ids[at], 0) if len(known) else np.zeros(len(h), np.int64)
+    group = (h % np.uint64(GROUPS)).astype(np.int64)
+    target = np.where(known[at] == h, ids[at], group) if len(known) else group
     near = np.full((len(h), len(_OFFSETS)), CLASSES * CLASSES, np.int64)
     for k, o in enumerate(_OFFSETS):
         i = np.arange(max(0, -o), len(h) - max(0, o))
@@ -172,14 +180,14 @@ class MaskedModel:
         self.known, self.ids, self.flat, self.counts, self.rare = known, ids, flat, counts, rare
 
     @classmethod
-    def fit(cls, docs: DataFrame, text_col: str = "text", vocabulary: int = CLASSES * CLASSES - 1, every: int = 2, rounds: int = 1, rate: float = 0.1) -> MaskedModel:
+    def fit(cls, docs: DataFrame, text_col: str = "text", vocabulary: int = CLASSES * CLASSES - GROUPS, every: int = 1, rounds: int = 1, rate: float = 0.1) -> MaskedModel:
         spark = docs.sparkSession
         counts = staged(word_counts(docs, text_col), "word-counts")
-        top = counts.orderBy(F.desc("n"), "word").limit(min(vocabulary, CLASSES * CLASSES - 1)).select("word", "n").toArrow()
+        top = counts.orderBy(F.desc("n"), "word").limit(min(vocabulary, CLASSES * CLASSES - GROUPS)).select("word", "n").toArrow()
         rare = (counts.agg(F.sum("n")).head()[0] or 0) - sum(top["n"].to_pylist())
         known = top["word"].to_numpy().view(np.uint64)
         order = np.argsort(known)
-        known, ids = known[order], order + 1
+        known, ids = known[order], order + GROUPS
         flat = Net.start()
         for r in range(rounds):
             shared = spark.sparkContext.broadcast((known, ids, flat))
@@ -191,13 +199,38 @@ class MaskedModel:
                 flat = got.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
         return cls(known, ids, flat, counts, rare)
 
+    def _often(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, sorted, and logarithms of the counts of the words above the least frequency that leaves OFTEN at most."""
+        step = F.floor(F.log2("n") * 8)
+        sizes = sorted(((r.step, r.m) for r in self.counts.groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect()), reverse=True)  # few hundred steps
+        bound, total = None, 0
+        for at, m in sizes:
+            total += m
+            if total > OFTEN:
+                break
+            bound = at
+        got = self.counts.where(step >= bound if bound is not None else F.lit(False)).toArrow()
+        word = got["word"].to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        return word[order], np.log(got["n"].to_numpy()[order].astype(np.float64))
+
+    def _totals(self) -> np.ndarray:
+        """Of each symbol, the logarithm of how many of the corpus' words stand behind it."""
+        by_group = np.zeros(GROUPS)
+        group = F.col("word").bitwiseAND(GROUPS - 1)
+        known = self.counts.sparkSession.createDataFrame(pa.table({"word": pa.array(self.known.view(np.int64))})) if len(self.known) else None
+        rare = self.counts.join(F.broadcast(known), "word", "left_anti") if known is not None else self.counts  # the vocabulary's size is fixed
+        for r in rare.groupBy(group.alias("group")).agg(F.sum("n").alias("n")).collect():
+            by_group[r.group] = r.n
+        return np.log(np.maximum(by_group, 1))
+
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_words, log_likelihood (sum over the words), mean_log_likelihood (null without words)."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.known, self.ids, self.flat))  # fixed size, about 2 MB
+        shared = docs.sparkSession.sparkContext.broadcast((self.known, self.ids, self.flat, self._totals(), *self._often()))  # 18 MB at most
         kind = docs.schema[id_col].dataType.simpleString()
 
         def run(batches):
-            known, ids, flat = shared.value
+            known, ids, flat, totals, often, logs = shared.value
             net = Net(flat)
             for b in batches:
                 for lo, hi, text in blocks(b.column(1)):
@@ -206,19 +239,24 @@ class MaskedModel:
                     each = np.zeros(len(target))
                     for i in range(0, len(target), 32768):
                         each[i : i + 32768] = net.log_prob(near[i : i + 32768], target[i : i + 32768])
-                    behind = target == 0
+                    behind = np.flatnonzero(target < GROUPS)
+                    each[behind] -= totals[target[behind]]
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, h[behind]), len(often) - 1)
+                        told = often[at] == h[behind]
+                        each[behind[told]] += logs[at[told]]
+                        behind = behind[~told]
                     ends = np.append(0, np.cumsum(np.bincount(w.doc[behind], minlength=hi - lo))).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[behind].view(np.int64)))
                     columns = [b.column(0).slice(lo, hi - lo), pa.array(w.count.astype(np.int64)), pa.array(np.bincount(w.doc, each, hi - lo)), lists]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "by_net", "rare"])
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "base", "rare"])
 
-        rows = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidy(run), f"doc_id {kind}, n_words long, by_net double, rare array<long>")
+        rows = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidy(run), f"doc_id {kind}, n_words long, base double, rare array<long>")
         rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
         words_of = rows.select("row", F.explode("rare").alias("word"))
         own = words_of.join(self.counts, "word").groupBy("row").agg(F.sum(F.log("n")).alias("logs"))
-        missing = F.size("rare") * F.lit(math.log(max(self.rare, 1)))
-        whole = rows.select("row", "doc_id", "n_words", (F.col("by_net") - missing).alias("base")).join(own, "row", "left")
         total = F.col("base") + F.coalesce("logs", F.lit(0.0))
+        whole = rows.drop("rare").join(own, "row", "left")
         return whole.select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
 
 
@@ -230,13 +268,16 @@ def _train(shared, every: int, turn: int, rate: float):
             for _, _, text in blocks(b.column(0)):
                 w = words(text)
                 h, target, near = _examples(w, known, ids)
-                place = mix(h + np.arange(len(h), dtype=np.uint64) - w.first[w.doc].astype(np.uint64) + np.uint64(turn << 40))
-                chosen = np.flatnonzero(place % np.uint64(every) == 0)
+                chosen = np.arange(len(h))
+                if every > 1:
+                    place = mix(h + np.arange(len(h), dtype=np.uint64) - w.first[w.doc].astype(np.uint64) + np.uint64(turn << 40))
+                    chosen = np.flatnonzero(place % np.uint64(every) == 0)
                 first = first or int(h[0] % np.uint64(1 << 30)) if len(h) else first
-                for i in range(0, len(chosen), BATCH):
-                    c = chosen[i : i + BATCH]
+                while len(chosen):
+                    size = min(BATCH, max(FIRST_BATCH, seen // 8))
+                    c, chosen = chosen[:size], chosen[size:]
                     net.step(near[c], target[c], past, rate)
-                seen += len(chosen)
+                    seen += len(c)
         if seen:
             n = -(-len(flat) // PART)
             ends = np.minimum(np.arange(n + 1) * PART, len(flat)).astype(np.int32)

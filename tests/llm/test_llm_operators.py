@@ -172,7 +172,7 @@ def test_near_dup_deals_all_like_pairs_of_open_buckets_again(spark):
     df = spark.createDataFrame(rows, "doc long, text string")
     sets = near_dup._shingle_sets(df)
     buckets = {}
-    for r in near_dup._refined(df, sets, 0.8).collect():
+    for r in near_dup._refined(df.withColumn("class", F.col("doc")), sets, 0.8).collect():
         buckets.setdefault(r.doc, {})[r.bucket] = r.rest
     met = {(a, b) for a in buckets for b in buckets if a < b and buckets[a].keys() & buckets[b].keys()}
     assert set(_like_pairs(rows)) <= met
