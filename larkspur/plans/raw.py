@@ -104,19 +104,26 @@ _PLACE = "CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 A
 query(
     "s5_playlists",
     f"""WITH f AS (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand) AS file_id, {_PLACE} AS pos, substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 22) AS link FROM part)
-    SELECT file_id, pos, p_brand AS artist, CASE WHEN file_id % 6 IN (1, 2) THEN p_name || CASE WHEN file_id % 6 = 1 THEN ', "live"' ELSE '' END ELSE p_name END AS title, CASE WHEN file_id % 6 <= 2 THEN link END AS track FROM f""",
+    SELECT file_id, pos, p_brand AS artist, CASE WHEN file_id % 6 = 1 THEN p_name || ', "live"' || chr(10) || 'mix' ELSE p_name END AS title,
+      CASE WHEN file_id % 6 = 0 AND pos_shape < 3 OR file_id % 6 IN (1, 2) THEN link END AS track FROM (SELECT *, file_id // 6 % 4 AS pos_shape FROM f)""",
 )(lambda s, d: playlists.playlists(_files(s, d)))
 
 
 def _files(s, d):
-    """A file for each artist: JSON, CSV with quoted fields, TSV, M3U, PLS or numbered lines."""
+    """A file for each artist: JSON of four shapes, CSV with quoted fields and line breaks in them, TSV, M3U, PLS or numbered
+    lines."""
     link = F.substring(H.sha(F.col("item")), 1, 22)
     row = F.struct("item", "title", link.alias("link"))
     g = catalog(s, d).groupBy("artist").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("item").alias("file_id"))
     a = F.col("artist")
     each = lambda f: F.array_join(F.transform("rows", f), "\n")
     js = F.to_json(F.transform("rows", lambda r: F.struct(r["title"].alias("name"), F.array(F.struct(a.alias("name"))).alias("artists"), F.concat(F.lit("app:track:"), r["link"]).alias("uri"))))
-    csv = F.concat(F.lit("Track Name,Artist Name(s),Track URI\r\n"), each(lambda r: F.concat(F.lit('"'), r["title"], F.lit(', ""live""",'), a, F.lit(",https://music.example/track/"), r["link"], F.lit("?x=1\r"))))
+    wrapped = F.to_json(F.struct(F.lit("Mix").alias("name"), F.struct(F.transform("rows", lambda r: F.struct(F.struct(r["title"].alias("name"), F.array(a).alias("artists"), r["link"].alias("id")).alias("track"))).alias("items")).alias("tracks")))
+    attributes = F.to_json(F.struct(F.transform("rows", lambda r: F.struct(F.struct(r["title"].alias("name"), a.alias("artistName"), F.concat(F.lit("app:track:"), r["link"]).alias("uri")).alias("attributes"))).alias("data")))
+    texts = F.to_json(F.struct(F.transform("rows", lambda r: F.concat(a, F.lit(" - "), r["title"])).alias("songs")))
+    shape = F.floor(F.col("file_id") / 6) % 4
+    js = F.when(shape == 0, js).when(shape == 1, wrapped).when(shape == 2, attributes).otherwise(texts)
+    csv = F.concat(F.lit("Track Name,Artist Name(s),Track URI\r\n"), each(lambda r: F.concat(F.lit('"'), r["title"], F.lit(', ""live""\nmix",'), a, F.lit(",https://music.example/track/"), r["link"], F.lit("?x=1\r"))))
     tsv = F.concat(F.lit("artist\ttitle\turl\n"), each(lambda r: F.concat_ws("\t", a, r["title"], F.concat(F.lit("app:track:"), r["link"]))))
     m3u = F.concat(F.lit("#EXTM3U\n"), each(lambda r: F.concat(F.lit("#EXTINF:180,"), a, F.lit(" - "), r["title"], F.lit("\nmusic/"), r["link"], F.lit(".mp3"))))
     pls = F.concat(F.lit("[playlist]\n"), F.array_join(F.transform("rows", lambda r, i: F.concat(F.lit("File"), (i + 1).cast("string"), F.lit("=x.mp3\nTitle"), (i + 1).cast("string"), F.lit("="), a, F.lit(" - "), r["title"])), "\n"))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .nested import ListedSongs, each
+
 #: Page parts whose lists are not tracklists.
 SKIPPED = frozenset({"nav", "footer", "header", "aside", "script", "style"})
 
@@ -71,11 +73,7 @@ def tracklists(pages: DataFrame, least: int = 2, most: int = 500, skipped: froze
 
 
 def json_ld(pages: DataFrame) -> DataFrame:
-    """page_id, name, artist of the tracks of playlists and albums in JSON-LD; a track without artist takes the list's."""
+    """page_id, pos (in its list), name, artist of the tracks of playlists, albums and item lists in JSON-LD, wherever they
+    stand in it; a track without artist takes the list's."""
     body = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1))
-    by, item = "byArtist struct<name: string>", "name string, byArtist struct<name: string>"
-    schema = f"`@type` string, name string, {by}, track array<struct<{item}>>, itemListElement array<struct<item: struct<{item}>>>"
-    j = pages.select("page_id", body.alias("body")).select("page_id", F.from_json("body", schema).alias("j")).where(F.col("j.@type").isin("MusicPlaylist", "MusicAlbum", "ItemList"))
-    tracks = F.concat(F.coalesce("j.track", F.array()), F.coalesce(F.transform("j.itemListElement", lambda e: e["item"]), F.array()))
-    t = j.select("page_id", F.col("j.byArtist.name").alias("parent"), F.posexplode(tracks).alias("pos", "t"))
-    return t.select("page_id", "pos", F.col("t.name").alias("name"), F.coalesce("t.byArtist.name", "parent").alias("artist")).where("name IS NOT NULL")
+    return each(pages.select("page_id", body.alias("body")), ["page_id"], F.col("body"), ListedSongs).select("page_id", "pos", "name", "artist")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import artist_title
+from .nested import NestedTracks, PlaylistSongs, each
 
 #: Column names under which exports give artist, title and link (fixed values).
 ARTIST_NAMES = ("artist", "artist name", "artist name(s)", "artist_name", "performer")
@@ -45,11 +43,13 @@ def playlists(files: DataFrame) -> DataFrame:
     """file_id, pos (from 0), artist, title, track (22 characters, null without a link) of files (file_id, text). Rows without
     artist or title go; pos counts what a file lists."""
     typed = files.select("file_id", "text", kind(F.col("text")).alias("kind"))
-    item = "artist string, artist_name string, artists array<struct<name: string>>, title string, name string, track_name string, uri string, id string"
-    listed = F.when(F.ltrim("text").startswith("["), F.from_json("text", f"array<struct<{item}>>")).otherwise(F.from_json("text", f"struct<tracks: array<struct<{item}>>>")["tracks"])
-    songs = typed.where("kind = 'json'").select("file_id", F.posexplode(listed).alias("pos", "t"))
-    songs = songs.select("file_id", "pos", F.coalesce("t.artist", "t.artist_name", F.col("t.artists")[0]["name"]).alias("artist"), F.coalesce("t.title", "t.name", "t.track_name").alias("title"), F.coalesce("t.uri", "t.id").alias("link"))
-    lines = typed.where("kind <> 'json'").select("file_id", "kind", F.filter(F.transform(F.split("text", "\n"), lambda x: F.rtrim(F.replace(x, F.lit("\r"), F.lit("")))), lambda x: x != "").alias("lines"))
+    songs = each(typed.where("kind = 'json'"), ["file_id"], F.col("text"), PlaylistSongs)
+    named = F.when(F.col("line").isNotNull(), artist_title(F.col("line"))).otherwise(F.struct("artist", "title"))
+    songs = songs.select("file_id", "pos", named.alias("t"), "links").select("file_id", "pos", "t.artist", "t.title", F.filter("links", lambda x: x.rlike(_ID))[0].alias("link"))
+    # a record of a table may go on behind a line break in quotes; a file in which quotes are left open is cut at each break
+    paired = (F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))) % 2 == 0
+    records = F.when(F.col("kind").isin("csv", "tsv") & paired, F.regexp_extract_all("text", F.lit(r'((?:"[^"]*+"|[^"\n]++)++)'), 1)).otherwise(F.split("text", "\n"))
+    lines = typed.where("kind <> 'json'").select("file_id", "kind", F.filter(F.transform(records, lambda x: F.rtrim(F.regexp_replace(x, "\r$", ""))), lambda x: x != "").alias("lines"))
     delimiter = F.when(F.col("kind") == "tsv", "\t").when(F.col("lines")[0].contains(";") & ~F.col("lines")[0].contains(","), ";").otherwise(",")
     tables = lines.where("kind IN ('csv', 'tsv')").withColumn("delimiter", delimiter)
     tables = tables.select("file_id", "delimiter", F.transform(_fields(F.col("lines")[0], F.col("delimiter")), F.lower).alias("header"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("pos", "line"))
@@ -70,32 +70,8 @@ def playlists(files: DataFrame) -> DataFrame:
 def nested_tracks(states: DataFrame, deepest: int = 8) -> DataFrame:
     """page_id, pos, artist, title of objects with a title and artists, at most ``deepest`` levels down, in order of their
     place. states: page_id, state (JSON of any shape, which no schema fits; text that is no JSON has none)."""
-
-    def found(x, level: int, out: list) -> None:
-        if level > deepest:
-            return
-        if isinstance(x, dict):
-            names = [a.get("name") if isinstance(a, dict) else a for a in x["artists"]] if isinstance(x.get("artists"), list) else []
-            names = [n.strip() for n in names if isinstance(n, str) and n.strip()]
-            if isinstance(x.get("title"), str) and x["title"].strip() and names:
-                out.append((", ".join(names), x["title"].strip()))
-                return
-        for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
-            found(y, level + 1, out)
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for page, state in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out: list = []
-                try:
-                    found(json.loads(state or "null"), 0, out)
-                except ValueError:
-                    pass
-                rows += [(page, i, a, t) for i, (a, t) in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], ["page_id", "pos", "artist", "title"])
-
-    return states.select(F.col("page_id").cast("long"), "state").mapInArrow(run, "page_id long, pos int, artist string, title string")
+    found = each(states, ["page_id"], F.col("state"), lambda v: NestedTracks(v, F.lit(deepest)))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "pos", "artist", "title")
 
 
 def page_states(pages: DataFrame) -> DataFrame:
