@@ -41,5 +41,8 @@ query(
     l AS (SELECT "user", max(k) AS k FROM r GROUP BY 1) SELECT r."user", round(a, 6) AS t0, round(b, 6) AS t1, round(c, 6) AS t2 FROM r JOIN l ON r."user" = l."user" AND r.k = l.k""",
 )
 def _weights(s, d):
-    rows = listens(s, d).select("user", F.col("event_id").alias("sequence"), F.array(F.lit(1.0), F.col("item") / 100.0, (F.col("item") % 7) / 7.0).alias("x"), F.col("action").isin("click", "purchase").cast("double").alias("y"))
-    return J.online_weights(rows, 3).select("user", *[F.round(F.col("theta")[i], 6).alias(f"t{i}") for i in range(3)])
+    return J.online_weights(weight_rows(s, d), 3).select("user", *[F.round(F.col("theta")[i], 6).alias(f"t{i}") for i in range(3)])
+
+
+def weight_rows(s, d):
+    return listens(s, d).select("user", F.col("event_id").alias("sequence"), F.array(F.lit(1.0), F.col("item") / 100.0, (F.col("item") % 7) / 7.0).alias("x"), F.col("action").isin("click", "purchase").cast("double").alias("y"))

@@ -1,26 +1,25 @@
-"""The stream jobs replayed over the given events until all are taken; results as the sink holds them then."""
+"""The stream jobs replayed over the given events until all are taken; results as the sink holds them then. A file is a
+micro-batch, and each job is stopped half-way and started again from its checkpoint (streaming/replay.py)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import folder
-from ..sources.tables import LISTENS, table
+from ..sources.tables import LISTENS, listens, table
+from ..streaming import feedback as K
 from ..streaming import jobs as J
-from .base import query
+from ..streaming.replay import replayed
+from . import feedback, sessions  # noqa: F401
+from .base import SQL, query
 
 E = "WITH " + LISTENS
 
 
-def _replayed(s, d, job) -> DataFrame:
-    """Events in time order as a folder of files, read as a stream one file a batch; what the job appends."""
-    at, out = folder(s, "events"), folder(s, "appended")
-    table(s, d, "events").repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(at)
-    rows = job(J.read_events(s, at, files_per_trigger=1000))
-    running = rows.writeStream.format("parquet").option("checkpointLocation", folder(s, "stream")).option("path", out).outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return s.read.schema(rows.schema).parquet(out)
+def _replayed(s, d, job):
+    e = table(s, d, "events")
+    item = F.get_json_object("props", "$.k").cast("long").alias("item")
+    rows = e.select("event_id", F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("time"), item, F.col("event_type").alias("action"))
+    return replayed(rows, "time", job)
 
 
 query("st1_stream_ingest", E + """ SELECT DISTINCT "user", epoch_us(ev.ts) AS micros, item FROM e JOIN events ev ON ev.event_id = e.event_id""")(
@@ -39,14 +38,19 @@ query(
     r AS (SELECT "user", k, ts, CAST(0 AS BIGINT) AS session, ts AS start FROM o WHERE k = 1
       UNION ALL SELECT o."user", o.k, o.ts, CASE WHEN o.ts - r.ts > 1800 OR o.ts - r.start > 14400 THEN r.session + 1 ELSE r.session END, CASE WHEN o.ts - r.ts > 1800 OR o.ts - r.start > 14400 THEN o.ts ELSE r.start END FROM r JOIN o ON o."user" = r."user" AND o.k = r.k + 1),
     g AS (SELECT "user", min(ts) AS started, max(ts) AS ended, count(*) AS listens FROM r GROUP BY "user", session) SELECT * FROM g WHERE ended + 1800 < (SELECT max(epoch_us(ts)) FROM events) / 1000000 - 3600""",
-)(lambda s, d: _capped(s, d))
+)(lambda s, d: _replayed(s, d, J.capped_sessions))
 
 
-def _capped(s, d):
-    key, mine = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = s.conf.get(key, None)
-    s.conf.set(key, mine)
-    try:
-        return _replayed(s, d, J.capped_sessions)
-    finally:
-        s.conf.set(key, before) if before else s.conf.unset(key)
+@query("st4_stream_feedback", SQL["st4_feedback_state"])
+def _feedback(s, d):
+    rows = feedback.journal(s, d)
+    return K.current(replayed(rows, "sequence", K.feedback_changes))
+
+
+@query("st7_stream_weights", SQL["st7_online_weights"])
+def _weights(s, d):
+    theta = K.last_weights(replayed(feedback.weight_rows(s, d), "sequence", lambda r: K.weight_changes(r, 3)))
+    return theta.select("user", *[F.round(F.col("theta")[i], 6).alias(f"t{i}") for i in range(3)])
+
+
+query("st8_stream_throttle", SQL["st8_throttle"])(lambda s, d: replayed(listens(s, d).select("user", "event_id", "ts"), "ts", K.throttled))
