@@ -103,42 +103,105 @@ def calibrated(results: DataFrame, settings: list[str], floor: float = 0.6) -> D
     return results.where(F.col("recall") >= floor).orderBy("size", F.desc("recall"), *settings).limit(1)
 
 
-def personal_layer(ratings: DataFrame, scores: DataFrame, features: list[str], least: int = 10, decay: float = 0.05, steps: int = 200) -> DataFrame:
-    """(query, item, score): scores plus a bounded personal correction where a user's own ratings support one. Per user a
-    logistic fit on standardized, clipped features of the earlier four fifths of the ratings; it counts only if on the later
-    ones its loss is below the prior's and it orders pairs at least as well as the score. Its strength grows with the number
-    of ratings up to 0.35; the correction is strength * deviation of the scores * tanh(logit / 2). ratings: query, sequence,
-    label, score, features; scores: query, item, score, features. A user's ratings are a group."""
-
-    columns = ["query", "mean", "scale", "weights", "bias", "strength"]
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sequence")
-        x, y = rows[features].to_numpy(float), rows["label"].to_numpy(float)
-        n = int(0.8 * len(rows))
-        if n < least or len(set(y[:n])) < 2 or len(set(y[n:])) < 2:
-            return pd.DataFrame(columns=columns, dtype=object)
-        mean, scale = x[:n].mean(0), np.maximum(x[:n].std(0, ddof=1), 0.05)
-        z = np.clip((x - mean) / scale, -5, 5)
-        prior = float(np.clip(y[:n].mean(), 0.01, 0.99))
-        theta, m, v = np.append(np.zeros(z.shape[1]), np.log(prior / (1 - prior))), 0.0, 0.0
-        for t in range(1, steps + 1):  # Adam on the mean cross entropy
-            error = 1 / (1 + np.exp(-(z[:n] @ theta[:-1] + theta[-1]))) - y[:n]
-            g = np.append(z[:n].T @ error / n + 2 * decay * theta[:-1], error.mean())
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            theta = theta - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        logit = z[n:] @ theta[:-1] + theta[-1]
-        loss, base = np.logaddexp(0, logit) - y[n:] * logit, -(y[n:] * np.log(prior) + (1 - y[n:]) * np.log(1 - prior))
-        pairs = lambda s: (s[y[n:] == 1][:, None] > s[y[n:] == 0]).mean()
-        ok = loss.mean() < base.mean() and pairs(logit) >= pairs(rows["score"].to_numpy(float)[n:])
-        one = (key[0], list(mean), list(scale), list(theta[:-1]), float(theta[-1]), min(0.35, n / 200))
-        return pd.DataFrame([one] if ok else [], columns=columns, dtype=object)
-
-    kind = ratings.schema["query"].dataType.simpleString()
-    models = ratings.groupBy("query").applyInPandas(fit, f"query {kind}, mean array<double>, scale array<double>, weights array<double>, bias double, strength double")
+def temporal_ratings(ratings: DataFrame, least: int = 20, each: int = 5, exposures: int = 3, train: int = 10) -> DataFrame:
+    """Ratings (query, id, sequence, exposure, label, ..) with ``part``: the last fifth by sequence (4 at least, ties with the
+    first of them too) validates; what is earlier trains, but for exposures that validate too. Queries with fewer than
+    ``least`` ratings, ``each`` likes or dislikes, ``exposures`` lists, or ``train`` training ratings of both labels go."""
+    n = ratings.groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("likes"), F.count_distinct("exposure").alias("lists"))
+    enough = n.where((F.col("n") >= least) & (F.col("likes") >= each) & (F.col("n") - F.col("likes") >= each) & (F.col("lists") >= exposures)).select("query", "n")
+    back = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sequence"), F.desc("id")))
+    r = cut(ratings.join(enough, "query").withColumn("back", back), "ratings")
+    first = r.where(F.col("back") == F.greatest(F.lit(4), F.floor(F.col("n") / 5))).select("query", F.col("sequence").alias("from"))
+    r = r.join(first, "query")
+    late = r.where(F.col("sequence") >= F.col("from"))
+    held = late.select("query", "exposure").distinct()
+    early = r.where(F.col("sequence") < F.col("from")).join(held, ["query", "exposure"], "left_anti")
+    able = early.groupBy("query").agg(F.count("*").alias("m"), F.count_distinct("label").alias("kinds")).where((F.col("m") >= train) & (F.col("kinds") == 2)).select("query")
+    both = early.withColumn("part", F.lit("train")).unionByName(late.withColumn("part", F.lit("validation")))
+    return both.join(able, "query").drop("n", "back", "from")
+
+
+def _salted(models: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows beside their query's one, so dealt that a query may have any share of them."""
+    salted = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salted, ["query", "salt"]).drop("salt")
+
+
+def logistic_fits(rows: DataFrame, decay: float = 0.05, steps: int = 8) -> DataFrame:
+    """(query, theta): for each query the weights and, last, the bias of least mean cross entropy plus decay * |weights|^2, by
+    Newton steps from the label's mean. A step is one aggregate for all queries: sums of gradient and curvature. rows: query, id,
+    z (features), label."""
+    rows = cut(rows.select("query", "id", F.array_append("z", F.lit(1.0)).alias("z"), "label"), "fit-rows")
+    size = len(rows.select("z").head()[0]) if not rows.isEmpty() else 1
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    prior = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.avg("label")))
+    start = F.concat(F.array_repeat(F.lit(0.0), size - 1), F.array(F.log(prior / (1 - prior))))
+    now = rows.groupBy("query").agg(F.count("*").alias("n"), start.alias("theta"))
+    kind = rows.schema["query"].dataType.simpleString()
+
+    def solved(batches):
+        for b in batches:
+            theta, g, h = [], np.array(b["g"].tolist()), np.array(b["h"].tolist())
+            for k, (t, n) in enumerate(zip(b["theta"], b["n"])):
+                t, curve = np.array(t, float), np.zeros((size, size))
+                for (i, j), v in zip(pairs, h[k]):
+                    curve[i, j] = curve[j, i] = v / n
+                ridge = np.append(np.full(size - 1, 2 * decay), 0.0)
+                theta.append((t - np.linalg.solve(curve + np.diag(ridge), g[k] / n + ridge * t)).tolist())
+            yield pd.DataFrame({"query": b["query"], "n": b["n"], "theta": theta})
+
+    for _ in range(steps):
+        each = _salted(cut(now, "fits"), rows).withColumn("p", 1 / (1 + F.exp(-dot(F.col("theta"), F.col("z")))))
+        error, curve = F.col("p") - F.col("label"), F.col("p") * (1 - F.col("p"))
+        g = F.array(*[F.sum(error * F.col("z")[i]) for i in range(size)])
+        h = F.array(*[F.sum(curve * F.col("z")[i] * F.col("z")[j]) for i, j in pairs])
+        sums = each.groupBy("query").agg(F.first("n").alias("n"), F.first("theta").alias("theta"), g.alias("g"), h.alias("h"))
+        now = sums.mapInPandas(solved, f"query {kind}, n long, theta array<double>")
+    return cut(now.select("query", "theta"), "fits")
+
+
+def _ordered_pairs(rows: DataFrame, score: str) -> DataFrame:
+    """How many pairs of a like and a dislike of one list are in the right order, halves for ties, from ranks; sum over a list."""
+    w = Window.partitionBy("query", "exposure")
+    rank = F.rank().over(w.orderBy(score)) + (F.count("*").over(Window.partitionBy("query", "exposure", score)) - 1) / 2
+    ranked = rows.withColumn("_r", rank)
+    likes = F.count_if(F.col("label") > 0)
+    return ranked.groupBy("query", "exposure").agg((F.sum(F.when(F.col("label") > 0, F.col("_r")).otherwise(0.0)) - likes * (likes + 1) / 2).alias(score), (likes * (F.count("*") - likes)).alias("pairs"))
+
+
+def personal_models(ratings: DataFrame, spread: DataFrame, features: list[str]) -> DataFrame:
+    """(query, mean, scale, theta, strength, ..) of the accepted fits, and what they were accepted by: loss on the validating
+    ratings below the prior's, and within lists as many like-dislike pairs in order as the base score has. ratings: query, id,
+    sequence, exposure, label, score, features; spread: query, spread (of the query's scores)."""
+    r = cut(temporal_ratings(ratings).withColumn("x", F.array(*[F.col(f).cast("double") for f in features])), "parts")
+    n = len(features)
+    stats = r.where("part = 'train'").groupBy("query").agg(
+        F.count("*").alias("train"), F.avg("label").alias("prior"), F.array(*[F.avg(F.col("x")[i]) for i in range(n)]).alias("mean"),
+        F.array(*[F.greatest(F.lit(0.05), F.stddev_samp(F.col("x")[i])) for i in range(n)]).alias("scale"),
+    )
+    z = F.zip_with(F.zip_with("x", "mean", lambda a, b: a - b), "scale", lambda a, b: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), a / b)))
+    z_rows = cut(_salted(stats, r).withColumn("z", z), "standardized")
+    models = stats.join(logistic_fits(z_rows.where("part = 'train'")), "query").join(spread, "query").withColumn("strength", F.least(F.lit(0.35), F.col("train") / 200))
+    models = cut(models, "models")
+    late = _salted(models.select("query", "theta", "strength", "spread"), z_rows.where("part = 'validation'").drop("prior"))
+    logit = dot(F.array_append("z", F.lit(1.0)), F.col("theta"))
+    late = cut(late.withColumn("logit", logit).withColumn("moved", F.col("score") + F.col("strength") * F.col("spread") * F.tanh(logit / 2)), "judged")
+    loss = F.avg(F.greatest(F.lit(0.0), F.col("logit")) + F.log1p(F.exp(-F.abs("logit"))) - F.col("label") * F.col("logit"))
+    judged = late.groupBy("query").agg(F.count("*").alias("validation"), loss.alias("loss"), F.avg("label").alias("liked"))
+    order = _ordered_pairs(late, "score").join(_ordered_pairs(late, "moved").drop("pairs"), ["query", "exposure"])
+    order = order.groupBy("query").agg(F.sum("pairs").alias("pairs"), (F.sum("score") / F.sum("pairs")).alias("base_order"), (F.sum("moved") / F.sum("pairs")).alias("own_order"))
+    m = models.join(judged, "query").join(order, "query")
+    m = m.withColumn("base_loss", -(F.col("liked") * F.log("prior") + (1 - F.col("liked")) * F.log(1 - F.col("prior"))))
+    return m.withColumn("accepted", F.coalesce((F.col("loss") < F.col("base_loss")) & (F.col("pairs") > 0) & (F.col("own_order") >= F.col("base_order")), F.lit(False)))
+
+
+def personal_layer(ratings: DataFrame, scores: DataFrame, features: list[str]) -> DataFrame:
+    """(query, item, score): scores plus a bounded personal correction where a user's own ratings support one: strength (up to
+    0.35, with the number of ratings) * deviation of the scores * tanh(logit / 2). scores: query, item, score, features."""
     spread = scores.groupBy("query").agg(F.greatest(F.lit(0.05), F.stddev_pop("score")).alias("spread"))
+    models = personal_models(ratings, spread, features).where("accepted").select("query", "mean", "scale", "theta", "strength", "spread")
     x = F.array(*[F.col(f).cast("double") for f in features])
     z = F.zip_with(F.zip_with(x, "mean", lambda a, b: a - b), "scale", lambda a, b: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), a / b)))
-    logit = dot(z, F.col("weights")) + F.col("bias")
+    logit = dot(F.array_append(z, F.lit(1.0)), F.col("theta"))
     moved = F.col("score") + F.coalesce(F.col("strength") * F.col("spread") * F.tanh(logit / 2), F.lit(0.0))
-    return scores.join(models, "query", "left").join(spread, "query").select("query", "item", moved.alias("score"))
+    return scores.join(models, "query", "left").select("query", "item", moved.alias("score"))

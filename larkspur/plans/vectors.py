@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vector as Q
+from ..operators import embeddings as E
+from ..operators import matching as M
+from ..operators import ranking as R
 from ..operators import vectors as V
-from ..sources.tables import vectors
+from ..operators.sessions import window_pairs
+from ..sources.staging import cut
+from ..sources.tables import INTERACTIONS, interactions, vectors
 from .base import query
 from .text import FNV
 
@@ -150,13 +155,30 @@ def _rank(s, d):
     return v.agg(F.count("*").alias("rows")).withColumn("rank", F.lit(V.covariance_rank(v)))
 
 
+_W = (
+    "WITH "
+    + INTERACTIONS
+    + """, o AS (SELECT ctx, item, row_number() OVER (PARTITION BY ctx ORDER BY pos, item) AS k FROM x), p AS (SELECT a.item AS a, b.item AS b, count(*) AS n FROM o a JOIN o b ON a.ctx = b.ctx AND a.k <> b.k AND abs(a.k - b.k) <= 5 GROUP BY 1, 2),
+    m AS (SELECT a, sum(n) AS n FROM p GROUP BY a) SELECT p.a, p.b, round(ln(p.n * (SELECT sum(n) FROM p) / (ma.n * mb.n)), 6) AS value FROM p JOIN m ma ON p.a = ma.a JOIN m mb ON p.b = mb.a WHERE p.n * (SELECT sum(n) FROM p) > ma.n * mb.n"""
+)
+query("v7_ppmi", _W)(lambda s, d: E.ppmi(window_pairs(interactions(s, d))).withColumn("value", F.round("value", 6)))
+
+
 @query("v7_session_embeddings")
 def _embedded(s, d):
-    """Items of a user's orders in time order as one session each."""
-    from ..sources.tables import interactions
-
-    x = interactions(s, d).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ctx", "pos", "item"))), lambda r: r["item"].cast("string")).alias("items"))
-    return V.session_embeddings(x.select("items")).select(F.col("id").cast("long").alias("item"), F.round(Q.norm(F.col("vec")), 4).alias("norm"))
+    vec, _ = E.factored(E.ppmi(window_pairs(interactions(s, d))))
+    return vec.select(F.col("id").alias("item"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("v7_embedding_metrics")
+def _embedding_metrics(s, d):
+    """Vectors of sessions, and of sessions with their items shuffled, by what they find of withheld items: per query of users
+    whose id is divisible by 100, the 40 items nearest to the mean of its seeds that are not among them."""
+    x = interactions(s, d)
+    q = R.profile_split(x.where(F.col("user") % 100 == 0), F.sha2(F.concat_ws(":", "user", "item").cast("binary"), 256))
+    seeds, targets = q.where("seed").select("query", "item"), q.where("NOT seed").select("query", "item")
+    seen = cut(x.join(targets.select(F.col("query").alias("user"), "item"), ["user", "item"], "left_anti").select("ctx", "pos", "item"), "seen")
+    return E.retrieval(seen, seeds, targets, 40).unionByName(E.retrieval(M.token_shuffle(seen), seeds, targets, 40).withColumn("shuffled", F.lit(True)))
 
 
 _W5 = [[((i * 5 + o * 3) % 17 - 8) / 10 for i in range(32)] for o in range(8)]
