@@ -33,7 +33,7 @@ from .words import blocks, mix, tidy, words
 
 SIDE, WIDTH, CLASSES, PART = 2, 24, 64, 8192
 #: Least and largest batch of a step.
-FIRST_BATCH, BATCH = 256, 4096
+FIRST_BATCH, BATCH = 256, 8192
 #: Symbols of the words outside the vocabulary, and words whose counts are broadcast at most.
 GROUPS, OFTEN = 1024, 1_000_000
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
@@ -43,7 +43,7 @@ class Net:
     """Weights for a vocabulary of CLASSES * CLASSES words at most; the id after the last stands for a missing neighbour."""
 
     SHAPES = {
-        "embed": (len(_OFFSETS), CLASSES * CLASSES + 1, WIDTH),
+        "embed": (CLASSES * CLASSES + 1, len(_OFFSETS), WIDTH),
         "bias": (WIDTH,),
         "group": (WIDTH, CLASSES),
         "group_bias": (CLASSES,),
@@ -57,6 +57,7 @@ class Net:
             n = math.prod(shape)
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        self.wide = self.embed.reshape(len(self.embed), -1)
 
     @classmethod
     def size(cls) -> int:
@@ -67,53 +68,88 @@ class Net:
         return np.random.default_rng(7).normal(0, 0.1, cls.size()).astype(np.float32)
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        h = self.bias + self.embed[0, near[:, 0]]
+        h = self.bias + self.embed[near[:, 0], 0]
         for k in range(1, len(_OFFSETS)):
-            h += self.embed[k, near[:, k]]
+            h += self.embed[near[:, k], k]
+        return np.maximum(h, 0, out=h)
+
+    def hidden_of(self, ids: np.ndarray) -> np.ndarray:
+        """The same for each id of a text but the SIDE first and last, with the ids beside it."""
+        n, e = len(ids) - 2 * SIDE, self.wide[ids]
+        h = self.bias + e[SIDE + _OFFSETS[0] : SIDE + _OFFSETS[0] + n, :WIDTH]
+        for k, o in enumerate(_OFFSETS[1:], 1):
+            h += e[SIDE + o : SIDE + o + n, k * WIDTH : (k + 1) * WIDTH]
         return np.maximum(h, 0, out=h)
 
     def log_prob(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(near)
-        group = target // CLASSES
-        out = _log_of(h @ self.group + self.group_bias, group)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                out[rows] += _log_of(h[rows] @ self.word[c] + self.word_bias[c], target[rows] % CLASSES)
+        return self.log_prob_of(self.hidden(near), target)
+
+    def log_prob_of(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        order, cuts = _by_group(target)
+        h, target, out = h[order], target[order], np.empty(len(target), np.float64)
+        each = _log_of(h @ self.group + self.group_bias, target // CLASSES)
+        for c in np.flatnonzero(np.diff(cuts)):
+            rows = slice(cuts[c], cuts[c + 1])
+            each[rows] += _log_of(h[rows] @ self.word[c] + self.word_bias[c], target[rows] % CLASSES)
+        out[order] = each
         return out
 
-    def step(self, near: np.ndarray, target: np.ndarray, past: Net, rate: float) -> None:
-        """One Adagrad step; past holds the sums of squared gradients."""
+    def _learn_outputs(self, h: np.ndarray, target: np.ndarray, past: Net, rate: float) -> np.ndarray:
+        """One Adagrad step of the output weights; returns the gradient by the hidden values before their cut at 0."""
         n = len(target)
-        h = self.hidden(near)
-        group = target // CLASSES
+        order, cuts = _by_group(target)
+        h, target = h[order], target[order]
         p = _softmax(h @ self.group + self.group_bias)
-        p[np.arange(n), group] -= 1
+        p[np.arange(n), target // CLASSES] -= 1
         dh = p @ self.group.T
         _adagrad(self.group, past.group, h.T @ p / n, rate)
         _adagrad(self.group_bias, past.group_bias, p.mean(0), rate)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[c] : cuts[c + 1]]
+            rows = slice(cuts[c], cuts[c + 1])
             mine = h[rows]
             q = _softmax(mine @ self.word[c] + self.word_bias[c])
-            q[np.arange(len(rows)), target[rows] % CLASSES] -= 1
+            q[np.arange(len(q)), target[rows] % CLASSES] -= 1
             dh[rows] += q @ self.word[c].T
             _adagrad(self.word[c], past.word[c], mine.T @ q / n, rate)
             _adagrad(self.word_bias[c], past.word_bias[c], q.sum(0) / n, rate)
         dh *= h > 0
+        out = np.empty_like(dh)
+        out[order] = dh
+        return out
+
+    def step(self, near: np.ndarray, target: np.ndarray, past: Net, rate: float) -> None:
+        """One Adagrad step; past holds the sums of squared gradients."""
+        dh = self._learn_outputs(self.hidden(near), target, past, rate)
         _adagrad(self.bias, past.bias, dh.mean(0), rate)
-        dh /= n
+        dh /= len(target)
         for k in range(len(_OFFSETS)):
             order = np.argsort(near[:, k], kind="stable")
             ids = near[order, k]
             first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             g, ids = np.add.reduceat(dh[order], first, axis=0), ids[first]
-            past.embed[k, ids] += g * g
-            self.embed[k, ids] -= rate * g / (np.sqrt(past.embed[k, ids]) + 1e-6)
+            past.embed[ids, k] += g * g
+            self.embed[ids, k] -= rate * g / (np.sqrt(past.embed[ids, k]) + 1e-6)
+
+    def step_of(self, ids: np.ndarray, on: np.ndarray, past: Net, rate: float) -> None:
+        """The same for the places ``on`` of a text's ids: neighbours are read and taught as shifts of one matrix."""
+        h = self.hidden_of(ids)
+        n = len(on)
+        dh = self._learn_outputs(h[on], ids[SIDE + on], past, rate)
+        _adagrad(self.bias, past.bias, dh.mean(0), rate)
+        by_place = np.zeros((WIDTH, n_all := len(h)))
+        by_place[:, on] = dh.T / n
+        g = np.empty((len(_OFFSETS) * WIDTH, len(self.wide)))
+        for k, o in enumerate(_OFFSETS):
+            beside = ids[SIDE + o : SIDE + o + n_all]
+            for j in range(WIDTH):
+                g[k * WIDTH + j] = np.bincount(beside, by_place[j], len(self.wide))
+        _adagrad(self.wide, past.wide, np.ascontiguousarray(g.T, np.float32), rate)
+
+
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their class, and where each class begins."""
+    group = (target // CLASSES).astype(np.uint8)
+    return np.argsort(group, kind="stable"), np.append(0, np.cumsum(np.bincount(group, minlength=CLASSES)))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -135,39 +171,41 @@ def _adagrad(w: np.ndarray, past: np.ndarray, g: np.ndarray, rate: float) -> Non
     w -= rate * g / (np.sqrt(past) + 1e-6)
 
 
-def _examples(w, known: np.ndarray, ids: np.ndarray):
-    """Word ids of a block, and of each word its neighbours' ids."""
+def _ids(w, known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: hashes and ids of its words; and all its texts as one, with SIDE missing words around each, and the
+    place of each word there."""
     h = w.hashes()
     at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
     group = (h % np.uint64(GROUPS)).astype(np.int64)
-    target = np.where(known[at] == h, ids[at], group) if len(known) else group
-    near = np.full((len(h), len(_OFFSETS)), CLASSES * CLASSES, np.int64)
-    for k, o in enumerate(_OFFSETS):
-        i = np.arange(max(0, -o), len(h) - max(0, o))
-        i = i[w.doc[i] == w.doc[i + o]]
-        near[i, k] = target[i + o]
-    return h, target, near
+    own = np.where(known[at] == h, ids[at], group) if len(known) else group
+    place = np.arange(len(h)) + (w.doc + 1) * SIDE
+    text = np.full(len(h) + (len(w.count) + 1) * SIDE, CLASSES * CLASSES, np.int64)
+    text[place] = own
+    return h, own, text, place
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word hash, n) over all documents."""
 
     def run(batches):
-        have, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts, size = [], 0
+
+        def merged():
+            keys, back = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
+            return keys, np.bincount(back, np.concatenate([m for _, m in parts] or [np.zeros(0)]), len(keys)).astype(np.int64)
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(have.view(np.int64)), pa.array(n)], ["word", "n"])
+        def rows(keys, n):
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["word", "n"])
 
         for b in batches:
             for _, _, text in blocks(b.column(0)):
-                new, m = np.unique(words(text).hashes(), return_counts=True)
-                keys, back = np.unique(np.concatenate([have, new]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([n, m]), len(keys)).astype(np.int64)
-                have = keys
-                if len(have) > 500_000:
-                    yield rows()
-                    have, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield rows()
+                parts.append(np.unique(words(text).hashes(), return_counts=True))
+                size += len(parts[-1][0])
+                if size > 1_000_000:
+                    parts, size = [merged()], 0
+                    if len(parts[0][0]) > 500_000:
+                        yield rows(*parts.pop())
+        yield rows(*merged())
 
     return docs.select(text_col).mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -235,10 +273,11 @@ class MaskedModel:
             for b in batches:
                 for lo, hi, text in blocks(b.column(1)):
                     w = words(text)
-                    h, target, near = _examples(w, known, ids)
+                    h, target, whole, place = _ids(w, known, ids)
                     each = np.zeros(len(target))
                     for i in range(0, len(target), 32768):
-                        each[i : i + 32768] = net.log_prob(near[i : i + 32768], target[i : i + 32768])
+                        on = place[i : i + 32768] - place[i]
+                        each[i : i + 32768] = net.log_prob_of(net.hidden_of(whole[place[i] - SIDE : place[i] + on[-1] + SIDE + 1])[on], target[i : i + 32768])
                     behind = np.flatnonzero(target < GROUPS)
                     each[behind] -= totals[target[behind]]
                     if len(often):
@@ -267,17 +306,16 @@ def _train(shared, every: int, turn: int, rate: float):
         for b in batches:
             for _, _, text in blocks(b.column(0)):
                 w = words(text)
-                h, target, near = _examples(w, known, ids)
-                chosen = np.arange(len(h))
+                h, _, whole, place = _ids(w, known, ids)
                 if every > 1:
-                    place = mix(h + np.arange(len(h), dtype=np.uint64) - w.first[w.doc].astype(np.uint64) + np.uint64(turn << 40))
-                    chosen = np.flatnonzero(place % np.uint64(every) == 0)
+                    mark = mix(h + np.arange(len(h), dtype=np.uint64) - w.first[w.doc].astype(np.uint64) + np.uint64(turn << 40))
+                    place = place[mark % np.uint64(every) == 0]
                 first = first or int(h[0] % np.uint64(1 << 30)) if len(h) else first
-                while len(chosen):
+                while len(place):
                     size = min(BATCH, max(FIRST_BATCH, seen // 8))
-                    c, chosen = chosen[:size], chosen[size:]
-                    net.step(near[c], target[c], past, rate)
-                    seen += len(c)
+                    at, place = place[:size], place[size:]
+                    net.step_of(whole[at[0] - SIDE : at[-1] + SIDE + 1], at - at[0], past, rate)
+                    seen += len(at)
         if seen:
             n = -(-len(flat) // PART)
             ends = np.minimum(np.arange(n + 1) * PART, len(flat)).astype(np.int32)
