@@ -9,7 +9,7 @@ from ..functions import hashing as H
 from ..functions import text as T
 from ..operators import clean as C
 from ..sources import html, listens, playlists
-from ..sources.staging import folder
+from ..sources.staging import cut, folder
 from ..sources.tables import INTERACTIONS, LISTENS, catalog, interactions, table, vectors
 from ..sources.tables import listens as events
 from .base import query
@@ -183,18 +183,23 @@ def _published(s, d):
 
 query(
     "s14_bundle",
-    "SELECT 'catalog' AS part, count(*) AS n, true AS hashed, true AS within_budget FROM part UNION ALL SELECT 'vectors', count(*), true, true FROM embeddings UNION ALL SELECT 'neighbours', count(*), true, true FROM (SELECT q.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY i.vec_id) AS k FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0 AND q.vec_id <> i.vec_id) WHERE k <= 10",
+    """WITH p AS (SELECT 'catalog' AS part, count(*) AS n FROM part UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'neighbours', count(*) FROM (SELECT q.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY i.vec_id) AS k FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0 AND q.vec_id <> i.vec_id) WHERE k <= 10)
+    SELECT 'as written' AS state, part, n, true AS hashed, true AS within_budget FROM p UNION ALL SELECT 'changed', part, CASE WHEN part = 'catalog' THEN n - 1 ELSE n END, part <> 'catalog', false FROM p""",
 )(lambda s, d: _bundle(s, d))
 
 
 def _bundle(s, d):
     from ..functions.vector import quantize
     from ..operators.vectors import nearest
-    from ..sources.sinks import bundle
+    from ..sources.sinks import bundle, checked_bundle
 
     v = vectors(s, d)
     near = nearest(v, v.where("id % 100 = 0"), 11).where("query <> item").withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where("k <= 10").select("query", "item", "k")
-    return bundle({"catalog": catalog(s, d), "vectors": v.select("id", quantize(F.col("vec")).alias("vec")), "neighbours": near}, folder(s, "bundle"), 32 << 20)
+    at = folder(s, "bundle")
+    manifest = cut(bundle({"catalog": catalog(s, d), "vectors": v.select("id", quantize(F.col("vec")).alias("vec")), "neighbours": near}, at), "manifest")
+    whole = cut(checked_bundle(s, at, manifest, 1 << 40).withColumn("state", F.lit("as written")), "whole")
+    catalog(s, d).where("item <> 1").write.mode("overwrite").parquet(f"{at}/catalog")  # another catalog, and a budget of a byte
+    return whole.unionByName(checked_bundle(s, at, manifest, 1).withColumn("state", F.lit("changed")))
 
 
 query("p3_valid_similarity", X + """SELECT DISTINCT ctx AS seed, item, CAST(weight AS DOUBLE) AS score FROM x WHERE item % 7 <> 0 AND item % 5 <> 1 AND ctx % 11 <> 0""".replace("SELECT", " SELECT", 1))(

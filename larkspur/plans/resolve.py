@@ -123,18 +123,21 @@ def _external(s, d):
 query(
     "j18_splits_kept",
     X + """, sp AS (SELECT "user", CAST('0x' || substr(sha256(sha256(CAST("user" AS VARCHAR))), 1, 8) AS UBIGINT) % 100 AS b, min(ts) AS ts FROM x GROUP BY "user"), o AS (SELECT * FROM sp WHERE ts < DATE '1995-06-01')
-    SELECT CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS vanished, (SELECT count(*) FROM sp) - (SELECT count(*) FROM o) AS added, true AS kept""",
+    SELECT count(*) FILTER ("user" % 50 = 7 AND "user" % 40 <> 3 AND old) AS changed, count(*) FILTER ("user" % 40 = 3 AND old) AS vanished, count(*) FILTER ("user" % 40 <> 3 AND NOT old) AS added,
+      count(*) FILTER (("user" % 50 = 7 OR "user" % 40 = 3) AND old) = 0 AS kept FROM (SELECT *, "user" IN (SELECT "user" FROM o) AS old FROM sp)""",
 )(lambda s, d: _splits(s, d))
 
 
 def _splits(s, d):
+    """An earlier publication that had some users elsewhere, and a later one that lacks some."""
     u = interactions(s, d).groupBy("user").agg(F.min("ts").alias("ts")).withColumn("split", H.split_75_10_10_5(F.col("user").cast("string")))
-    return M.splits_kept(u.where("ts < DATE '1995-06-01'").select("user", "split"), u.select("user", "split"))
+    old = u.where("ts < DATE '1995-06-01'").select("user", F.when(F.col("user") % 50 == 7, "elsewhere").otherwise(F.col("split")).alias("split"))
+    return M.splits_kept(old, u.where("user % 40 <> 3").select("user", "split"))
 
 
 query(
     "j19_seed_vectors",
-    X + ELIGIBLE + """, sd AS (SELECT DISTINCT item FROM x WHERE item < 700), v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 2 = 0), nb AS (SELECT DISTINCT a.item, b.item AS other FROM el a JOIN el b ON a.ctx = b.ctx AND a.item <> b.item),
+    X + ELIGIBLE + """, sd AS (SELECT DISTINCT item FROM x WHERE item % 100 = 0), v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 2 = 0), nb AS (SELECT DISTINCT a.item, b.item AS other FROM el a JOIN el b ON a.ctx = b.ctx AND a.item <> b.item),
     m AS (SELECT sd.item, generate_subscripts(v.v, 1) AS d, unnest(v.v) AS x FROM sd JOIN nb ON sd.item = nb.item JOIN v ON v.item = nb.other), a AS (SELECT item, d, avg(x) AS x FROM m GROUP BY 1, 2), n AS (SELECT item, round(max(x) / sqrt(sum(x * x)), 5) AS top FROM a GROUP BY item)
     SELECT sd.item, CASE WHEN v.item IS NOT NULL THEN 'direct' WHEN n.item IS NOT NULL THEN 'neighbours' ELSE 'unresolved' END AS source, coalesce(round(list_max(v.v), 5), top, -9) AS top FROM sd LEFT JOIN v ON sd.item = v.item LEFT JOIN n ON sd.item = n.item""",
 )(lambda s, d: _fallback(s, d))
@@ -145,7 +148,7 @@ def _fallback(s, d):
     i = eligible(x).select("ctx", "item").distinct()
     near = i.join(i.withColumnRenamed("item", "other"), "ctx").where("item <> other").select("item", "other").distinct()
     v = vectors(s, d).where("id % 2 = 0").select(F.col("id").alias("item"), "vec")
-    out = M.seed_vectors(x.where("item < 700").select("item").distinct(), v, near)
+    out = M.seed_vectors(x.where("item % 100 = 0").select("item").distinct(), v, near)
     return out.select("item", "source", F.coalesce(F.round(F.array_max("vec"), 5), F.lit(-9.0)).alias("top"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.vector import dot, unit
 from ..operators import ranking as R
 from ..operators.numbering import drawn_sql
+from ..operators.vectors import products
 from ..operators import scoring as S
-from ..sources.tables import INTERACTIONS, interactions, vectors
+from ..sources.tables import INTERACTIONS, LISTENS, interactions, vectors
 from .base import query
 from .graph import ASSOC, SPLIT, _candidates
 
@@ -85,8 +86,7 @@ query(
 
 
 def _joint(s, d):
-    q = vectors(s, d).where("id % 100 = 0").select(F.col("vec").alias("qv"))
-    sim = q.crossJoin(vectors(s, d)).withColumn("sim", dot(F.col("qv"), F.col("vec")))  # the stated query set against all rows
+    sim = products(vectors(s, d), vectors(s, d).where("id % 100 = 0")).withColumn("sim", dot(F.col("q.vec"), F.col("vec")))
     f = sim.groupBy(F.col("id").alias("item")).agg(F.array(F.max("sim"), F.avg("sim")).alias("features"))
     layers = [([[1.0, -0.2], [-1.0, 1.0]], [0.1, 0.0]), ([[0.7, -0.4]], [0.05])]
     return S.mlp(f, layers).select("item", F.round("score", 5).alias("score"))
@@ -155,13 +155,61 @@ def _calibrated(s, d):
     return S.calibrated(results, ["confidence", "radius"], 0.01)
 
 
-@query("r13_personal_layer")
-def _personal(s, d):
-    """Ratings are a user's clicks and purchases against its other events."""
+def _rated(s, d):
+    """Ratings are a user's clicks and purchases against its other events, five of them an exposure."""
+    from pyspark.sql import Window
+
     from ..sources.tables import listens
 
     e = listens(s, d).where("item IS NOT NULL").withColumn("f1", F.col("item") / 100.0).withColumn("f2", (F.col("item") % 7) / 7.0)
     pop = e.groupBy("item").agg(F.log1p(F.count("*")).alias("score"))
-    rated = e.join(pop, "item").select(F.col("user").alias("query"), F.col("event_id").alias("sequence"), F.col("action").isin("click", "purchase").cast("double").alias("label"), "score", "f1", "f2")
+    nth = F.row_number().over(Window.partitionBy("user").orderBy("event_id")) - 1
+    rated = e.withColumn("exposure", F.floor(nth / 5)).join(pop, "item")
+    rated = rated.select(F.col("user").alias("query"), F.col("event_id").alias("id"), F.col("event_id").alias("sequence"), "exposure", F.col("action").isin("click", "purchase").cast("double").alias("label"), "score", "f1", "f2")
     scores = e.select(F.col("user").alias("query"), "item", "f1", "f2").distinct().join(pop, "item")
-    return S.personal_layer(rated, scores, ["f1", "f2"]).withColumn("score", F.round("score", 6))
+    return rated, scores
+
+
+def _personal_sql(steps: int = 8) -> str:
+    """The same fits by Newton steps, with the three equations of two features and a bias solved by Cramer's rule."""
+    out = "WITH " + LISTENS + """, ev AS (SELECT "user" AS query, event_id AS id, item, action, item / 100.0 AS f1, (item % 7) / 7.0 AS f2, (row_number() OVER (PARTITION BY "user" ORDER BY event_id) - 1) // 5 AS exposure FROM e WHERE item IS NOT NULL),
+    pop AS (SELECT item, ln(1 + count(*)) AS score FROM ev GROUP BY item), rt AS (SELECT ev.*, score, CASE WHEN action IN ('click', 'purchase') THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM ev JOIN pop ON ev.item = pop.item),
+    n AS (SELECT query, count(*) AS n FROM rt GROUP BY query HAVING count(*) >= 20 AND sum(y) >= 5 AND count(*) - sum(y) >= 5 AND count(DISTINCT exposure) >= 3),
+    bk AS (SELECT rt.*, n, row_number() OVER (PARTITION BY rt.query ORDER BY id DESC) AS back FROM rt JOIN n ON rt.query = n.query), fr AS (SELECT query, id AS first FROM bk WHERE back = greatest(4, n // 5)),
+    va AS (SELECT bk.* FROM bk JOIN fr ON bk.query = fr.query WHERE id >= first), ea AS (SELECT bk.* FROM bk JOIN fr ON bk.query = fr.query WHERE id < first AND NOT EXISTS (SELECT 1 FROM va WHERE va.query = bk.query AND va.exposure = bk.exposure)),
+    st AS MATERIALIZED (SELECT query, count(*) AS m, avg(y) AS prior, avg(f1) AS m1, avg(f2) AS m2, greatest(0.05, stddev_samp(f1)) AS s1, greatest(0.05, stddev_samp(f2)) AS s2 FROM ea GROUP BY query HAVING count(*) >= 10 AND count(DISTINCT y) = 2),
+    z AS MATERIALIZED (SELECT ea.query, y, greatest(-5, least(5, (f1 - m1) / s1)) AS a, greatest(-5, least(5, (f2 - m2) / s2)) AS b FROM ea JOIN st ON ea.query = st.query),
+    t0 AS (SELECT query, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, ln(least(0.99, greatest(0.01, prior)) / (1 - least(0.99, greatest(0.01, prior)))) AS w3 FROM st)"""
+    for k in range(steps):
+        out += f""", p{k} AS (SELECT z.*, w1, w2, w3, 1 / (1 + exp(-(w1 * a + w2 * b + w3))) AS p FROM z JOIN t{k} t ON z.query = t.query),
+    g{k} AS (SELECT query, w1, w2, w3, avg((p - y) * a) + 0.1 * w1 AS g1, avg((p - y) * b) + 0.1 * w2 AS g2, avg(p - y) AS g3, avg(p * (1 - p) * a * a) + 0.1 AS h11, avg(p * (1 - p) * a * b) AS h12, avg(p * (1 - p) * a) AS h13,
+      avg(p * (1 - p) * b * b) + 0.1 AS h22, avg(p * (1 - p) * b) AS h23, avg(p * (1 - p)) AS h33 FROM p{k} GROUP BY query, w1, w2, w3), d{k} AS (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS det FROM g{k}),
+    t{k + 1} AS MATERIALIZED (SELECT query, w1 - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / det AS w1,
+      w2 - (h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det AS w2, w3 - (h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det AS w3 FROM d{k})"""
+    return out + f""", sc AS (SELECT DISTINCT ev.query, ev.item, f1, f2, score FROM ev JOIN pop ON ev.item = pop.item), sp AS (SELECT query, greatest(0.05, stddev_pop(score)) AS spread FROM sc GROUP BY query),
+    mo AS (SELECT st.*, w1, w2, w3, spread, least(0.35, m / 200) AS strength FROM st JOIN t{steps} t ON st.query = t.query JOIN sp ON st.query = sp.query),
+    lg AS (SELECT va.query, exposure, va.score, y, spread, strength, prior, w1 * greatest(-5, least(5, (f1 - m1) / s1)) + w2 * greatest(-5, least(5, (f2 - m2) / s2)) + w3 AS logit FROM va JOIN mo ON va.query = mo.query),
+    mv AS (SELECT *, score + strength * spread * tanh(logit / 2) AS moved FROM lg), ls AS (SELECT query, count(*) AS validation, avg(greatest(0, logit) + ln(1 + exp(-abs(logit))) - y * logit) AS loss, avg(-(y * ln(prior) + (1 - y) * ln(1 - prior))) AS base_loss FROM mv GROUP BY query),
+    pr AS (SELECT a.query, count(*) AS pairs, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS base_order, avg(CASE WHEN a.moved > b.moved THEN 1.0 WHEN a.moved = b.moved THEN 0.5 ELSE 0 END) AS own_order
+      FROM mv a JOIN mv b ON a.query = b.query AND a.exposure = b.exposure AND a.y = 1 AND b.y = 0 GROUP BY a.query),
+    ok AS (SELECT mo.*, validation, loss, base_loss, pairs, base_order, own_order, loss < base_loss AND own_order >= base_order AS accepted FROM mo JOIN ls ON mo.query = ls.query JOIN pr ON mo.query = pr.query)"""
+
+
+query(
+    "r13_personal_models",
+    _personal_sql() + " SELECT query, m AS train, validation, round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS bias, round(loss, 6) AS loss, round(base_loss, 6) AS base_loss, pairs, round(base_order, 6) AS base_order, round(own_order, 6) AS own_order, accepted FROM ok",
+)(lambda s, d: _personal_models(s, d))
+
+
+def _personal_models(s, d):
+    rated, scores = _rated(s, d)
+    m = S.personal_models(rated, scores.groupBy("query").agg(F.greatest(F.lit(0.05), F.stddev_pop("score")).alias("spread")), ["f1", "f2"])
+    rounded = [F.round(c, 6).alias(c) for c in ("loss", "base_loss", "base_order", "own_order")]
+    return m.select("query", "train", "validation", *[F.round(F.col("theta")[k], 6).alias(n) for k, n in enumerate(("w1", "w2", "bias"))], "pairs", "accepted", *rounded)
+
+
+query(
+    "r13_personal_layer",
+    _personal_sql() + """ SELECT sc.query, sc.item, round(score + CASE WHEN accepted THEN strength * spread * tanh((w1 * greatest(-5, least(5, (f1 - m1) / s1)) + w2 * greatest(-5, least(5, (f2 - m2) / s2)) + w3) / 2) ELSE 0 END, 6) AS score
+    FROM sc LEFT JOIN ok ON sc.query = ok.query""",
+)(lambda s, d: S.personal_layer(*_rated(s, d), ["f1", "f2"]).withColumn("score", F.round("score", 6)))

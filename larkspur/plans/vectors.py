@@ -68,8 +68,9 @@ query(
 
 
 def _pairs(s, d):
-    q = _asked(s, d).select(F.col("id").alias("query"), F.col("vec").alias("qv"), F.col("label").alias("ql"))
-    return q.crossJoin(vectors(s, d)).select("query", F.col("id").alias("item"), "ql", "label", F.round(Q.dot(F.col("qv"), F.col("vec")), 9).alias("score"))  # the stated query set against all rows
+    """The stated query set against all rows."""
+    met = V.products(vectors(s, d), _asked(s, d))
+    return met.select(F.col("q.id").alias("query"), F.col("id").alias("item"), F.col("q.label").alias("ql"), "label", F.round(Q.dot(F.col("q.vec"), F.col("vec")), 9).alias("score"))
 
 
 def _same_label(s, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,18 +18,26 @@ def publish(df: DataFrame, path: str, by: str, gates: dict[str, Column], disjoin
     return path
 
 
-def bundle(tables: dict[str, DataFrame], path: str, budget: int) -> DataFrame:
-    """Writes the tables below path; (part, n, hashed, within_budget): rows of each, whether all its files have a
-    fingerprint, and whether the whole bundle is at most ``budget`` bytes."""
-    spark = next(iter(tables.values())).sparkSession
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("part"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes the tables below path. Returns the manifest: part, file, bytes, sha256."""
     for name, df in tables.items():
         df.write.parquet(f"{path}/{name}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
-    each = files.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("part"), "length", F.sha2("content", 256).alias("sha256"))
-    each = each.groupBy("part").agg(F.sum("length").alias("bytes"), F.bool_and(F.length("sha256") == 64).alias("hashed"))
+    return _files(next(iter(tables.values())).sparkSession, path)
+
+
+def checked_bundle(spark: SparkSession, path: str, manifest: DataFrame, budget: int) -> DataFrame:
+    """(part, n, hashed, within_budget) of a bundle as it lies there: rows of each part, whether its files are those of the
+    manifest with their fingerprints, and whether the whole bundle is at most ``budget`` bytes."""
+    told = manifest.select("part", "file", F.col("sha256").alias("told"))
+    each = _files(spark, path).join(told, ["part", "file"], "full").groupBy("part").agg(F.sum("bytes").alias("bytes"), F.bool_and(F.coalesce(F.col("sha256") == F.col("told"), F.lit(False))).alias("hashed"))
     total = each.agg(F.sum("bytes").alias("total"))
     rows = None
-    for name in tables:
+    for name in [r.part for r in manifest.select("part").distinct().collect()]:  # a few parts
         n = spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n"))
         rows = n if rows is None else rows.union(n)
     return rows.join(each, "part").crossJoin(F.broadcast(total)).select("part", "n", "hashed", (F.col("total") <= budget).alias("within_budget"))  # one row
