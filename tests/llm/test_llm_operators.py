@@ -321,7 +321,12 @@ def test_shards(spark, docs, tmp_path):
     assert len(store.shards()) == 5 and store.compact() > old and len(store.shards()) < 5
     assert store.read().exceptAll(df).isEmpty() and df.exceptAll(store.read()).isEmpty() and store.read(old).count() == len(rows)
     with pytest.raises(shards.VersionTaken):
-        store._commit([], old)
+        store._commit(store.manifest(old), old)
+    late = shards.ShardStore(spark, store.path, publish=lambda aside, name: store._published(aside, name.replace("v" + name[-8:], f"v{old:08d}")))
+    before = store.shards(old)
+    with pytest.raises(shards.VersionTaken):  # a writer that looks before another has committed, and makes its mark after
+        late._commit(store.manifest(), store.version() + 1)
+    assert store.shards(old) == before and len(store._fs.listStatus(store._path("manifest"))) == store.version()
     store.vacuum()
     assert store.read().count() == len(rows)
 
