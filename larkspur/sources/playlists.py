@@ -45,7 +45,7 @@ def playlists(files: DataFrame) -> DataFrame:
     typed = files.select("file_id", "text", kind(F.col("text")).alias("kind"))
     songs = each(typed.where("kind = 'json'"), ["file_id"], F.col("text"), PlaylistSongs)
     named = F.when(F.col("line").isNotNull(), artist_title(F.col("line"))).otherwise(F.struct("artist", "title"))
-    songs = songs.select("file_id", "pos", named.alias("t"), "links").select("file_id", "pos", "t.artist", "t.title", F.filter("links", lambda x: x.rlike(_ID))[0].alias("link"))
+    songs = songs.select("file_id", "pos", named.alias("t"), "links").select("file_id", "pos", "t.artist", "t.title", F.get(F.filter("links", lambda x: x.rlike(_ID)), F.lit(0)).alias("link"))
     # a record of a table may go on behind a line break in quotes; a file in which quotes are left open is cut at each break
     paired = (F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))) % 2 == 0
     records = F.when(F.col("kind").isin("csv", "tsv") & paired, F.regexp_extract_all("text", F.lit(r'((?:"[^"]*+"|[^"\n]++)++)'), 1)).otherwise(F.split("text", "\n"))
