@@ -19,7 +19,8 @@ until no bucket is open; that is quadratic in a group of variants of one text th
 Pairs in one class, and pairs that their numbers of shingles, or of those left after the one that they share, rule out, are
 not compared. Only ``exhaustive=False`` stops before; no query or stage does.
 
-All comparisons are exact: weighted Jaccard of the shingle multisets, from the texts.
+All comparisons are exact: weighted Jaccard of the shingle multisets, from the texts. The set of a document that very many
+pairs name is copied to as many parts as they need, so no task takes all members of a hub.
 
 Defined cases: a document without words (null, empty) or with a null id is a class of its own; one of 1 to 4 words has
 one shingle, its whole word sequence; rows that repeat an id are one document; further columns are ignored; an empty
@@ -42,6 +43,8 @@ SHINGLE = 5
 SLOTS = 1 << 20
 #: Most leaders of a bucket in one round: up to so many, Spark picks them before it deals the members out.
 LEADERS = 1000
+#: Pairs of one document that meet in one task, and documents with more whose names are broadcast at most (16 bytes each).
+CROWD, FEW = 256, 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -240,9 +243,21 @@ def _may(size: str, rest: str, similarity: float):
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left, right = sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("set").alias("sb"))
+    """a, b, similarity. A document that more than CROWD pairs name (the leader of a large bucket) meets them in parts."""
+    pairs = staged(pairs, "pairs")
+    crowded = {}
+    for side in ("a", "b"):
+        many = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+        many = staged(many.select(side, F.ceil(F.col("n") / CROWD).cast("int").alias("parts")), "crowded")
+        crowded[side] = F.broadcast(many) if many.count() <= FEW else many
+    met = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        parts = F.coalesce("parts", F.lit(1))
+        mine = sets.select(F.col("doc").alias(side), F.col("set").alias(f"s{side}")).join(crowded[side], side, "left")
+        mine = mine.select(side, f"s{side}", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        met = met.join(crowded[side], side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts").join(mine, [side, "part"]).drop("part")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
+    return met.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
 
 
 def _slots(sets: DataFrame) -> np.ndarray:

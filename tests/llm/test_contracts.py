@@ -301,3 +301,17 @@ def test_masked_net_of_whole_texts_equals_the_net_of_windows():
     assert np.allclose(past_a.flat, past_b.flat, rtol=1e-4, atol=1e-10)
     sure = past_a.flat > 1e-8  # where a gradient is nearly 0 its rounding decides the step
     assert np.allclose(a.flat[sure], b.flat[sure], atol=1e-4)
+
+
+def test_members_of_a_hub_meet_it_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(words[: 100 + i % 20] + [f"x{rng.random()}"] * (i % 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dup._shingle_sets(df.select(F.col("doc_id").alias("doc"), "text"))
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(i, 59) for i in range(1, 50)], "a long, b long")
+    want = sorted(map(tuple, near_dup._similar(pairs, sets).collect()))
+    for few in (10, 0):
+        monkeypatch.setattr(near_dup, "CROWD", 7)
+        monkeypatch.setattr(near_dup, "FEW", few)
+        assert sorted(map(tuple, near_dup._similar(pairs, sets).collect())) == want and len(want) == 108
