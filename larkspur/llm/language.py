@@ -8,6 +8,8 @@ The piece probabilities are fitted by expectation maximisation on a bounded samp
 language in expectation, chosen by a hash of the id), from all their words. Each step's expected
 counts come from Spark tasks; languages x pieces numbers reach the driver.
 
+A run of over ``MOST`` characters without white space counts as words of ``MOST`` each; texts of any length are read whole.
+
 Defined cases: null text, or text without a letter: 'und' with score 0; nothing to learn from: 'und' for all; a null id
 is held in (no remainder); repeated rows and further columns make no difference.
 """
@@ -27,6 +29,8 @@ from .store import unused
 from .words import WordRows, blocks, kept, mix, tidy, words
 
 MARK, LONGEST = "▁", 16
+#: Characters of a word; a longer run without white space, as of scripts that write none, counts as words of so many.
+MOST = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -140,8 +144,20 @@ def _edges(marked: list[str], size: np.ndarray, table: Lookup, unknown: int):
     return edges
 
 
+def _parts(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Words of MOST characters at most, and the text that each is of. All parts go side by side, so the steps of a pass are
+    bounded whatever the length of a text."""
+    parts = [[t[i : i + MOST] for i in range(0, max(len(t), 1), MOST)] for t in texts]
+    return [x for part in parts for x in part], np.repeat(np.arange(len(texts)), [len(x) for x in parts])
+
+
 def log_words(texts: list[str], table: Lookup, p: np.ndarray) -> np.ndarray:
     """p: languages x (pieces + 1), the last for a character that is no piece. Log-probability of each word in each."""
+    parts, owner = _parts(texts)
+    if len(parts) > len(texts):
+        whole = np.zeros((len(texts), len(p)))
+        np.add.at(whole, owner, log_words(parts, table, p))
+        return whole
     out = np.zeros((len(texts), len(p)))
     q = np.ascontiguousarray(p.T)
     unknown = q.shape[0] - 1
@@ -164,6 +180,9 @@ def log_words(texts: list[str], table: Lookup, p: np.ndarray) -> np.ndarray:
 def expected(texts: list[str], counts: np.ndarray, table: Lookup, p: np.ndarray) -> np.ndarray:
     """Expected piece counts of words with counts (words x languages), by a forward and a backward pass. Both are scaled
     every few characters, so words may be of any length."""
+    parts, owner = _parts(texts)
+    if len(parts) > len(texts):
+        return expected(parts, counts[owner], table, p)
     total = np.zeros_like(p.T)
     q = np.ascontiguousarray(p.T)
     unknown, slots = q.shape[0] - 1, LONGEST + 1

@@ -315,3 +315,17 @@ def test_members_of_a_hub_meet_it_in_parts(spark, monkeypatch):
         monkeypatch.setattr(near_dup, "CROWD", 7)
         monkeypatch.setattr(near_dup, "FEW", few)
         assert sorted(map(tuple, near_dup._similar(pairs, sets).collect())) == want and len(want) == 108
+
+
+def test_a_text_without_blanks_takes_bounded_steps():
+    import time
+
+    table, n = language.lookup(language.default_vocabulary())
+    p = np.random.default_rng(1).dirichlet(np.ones(n + 1), 4)
+    run = "".join(chr(0x4E00 + k * 7919 % 20000) for k in range(200_000))
+    began = time.time()
+    got = language.log_words(["ab", run, "c"], table, p)
+    assert time.time() - began < 30 and np.isfinite(got).all()
+    cut = language.log_words([run[i : i + language.MOST] for i in range(0, len(run), language.MOST)], table, p)
+    assert np.allclose(got[1], cut.sum(0)) and np.allclose(got[0], language.log_words(["ab"], table, p)[0])
+    assert np.allclose(language.expected(["ab" * 300], np.ones((1, 4)), table, p), language.expected(["ab" * 128, "ab" * 128, "ab" * 44], np.ones((3, 4)), table, p))
