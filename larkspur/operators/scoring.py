@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha
@@ -21,6 +23,23 @@ def mlp(rows: DataFrame, layers: list[tuple[list[list[float]], list[float]]], fe
     return rows.withColumn("score", x[0])
 
 
+def evaluated(candidates: DataFrame, targets: DataFrame, scorers: dict[str, Callable[[DataFrame], Column]], k: int) -> DataFrame:
+    """(scorer, queries, recall, ndcg, mrr, hit): the means over queries of what each scorer ranks into the first k places.
+    A scorer takes the candidates (query, item, ..) and gives a column of them; all see the same candidates and targets, and
+    those are read once. Ties by item."""
+    from .ranking import metrics
+
+    names = list(scorers)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("scorer"), scorers[n](candidates).cast("double").alias("score")) for n in names]))
+    scored = candidates.select("query", "item", each.alias("s")).select("s.scorer", "query", "item", "s.score")
+    w = Window.partitionBy("scorer", "query").orderBy(F.desc("score"), "item")
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    asked = targets.withColumn("scorer", F.explode(F.array(*map(F.lit, names))))
+    key = F.struct("scorer", "query").alias("query")
+    m = metrics(ranked.select(key, "item", "rank"), asked.select(key, "item"), k)
+    return m.groupBy(F.col("query.scorer").alias("scorer")).agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in ("recall", "ndcg", "mrr", "hit")])
+
+
 def pairwise_ranker(pairs: DataFrame, columns: list[str], weight: str | None = None) -> list[float]:
     """Coefficients that minimise softplus(neg - pos): a logistic regression without intercept on differences. pairs: for each
     column c, pos_c and neg_c. Each pair appears once as it is and once mirrored."""

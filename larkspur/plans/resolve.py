@@ -19,7 +19,7 @@ X, E = "WITH " + INTERACTIONS, "WITH " + LISTENS
 
 query(
     "j2_merged_lists",
-    X + """, sd AS (SELECT DISTINCT "user" AS query, item FROM x WHERE "user" % 100 = 0), c AS (SELECT DISTINCT ctx, item FROM x), pt AS (SELECT p_partkey AS item, p_brand || '|' || p_name AS identity FROM part),
+    X + ELIGIBLE + """, sd AS (SELECT DISTINCT "user" AS query, item FROM x WHERE "user" % 100 = 0), c AS (SELECT DISTINCT ctx, item FROM el), pt AS (SELECT p_partkey AS item, p_brand || '|' || p_name AS identity FROM part),
     l0 AS (SELECT query, sd.item AS seed, b.item, count(*) AS n FROM sd JOIN c a ON a.item = sd.item JOIN c b ON a.ctx = b.ctx AND a.item <> b.item GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY query, seed ORDER BY n DESC, item) AS rank FROM l0),
     nm AS (SELECT DISTINCT query, identity FROM sd JOIN pt ON sd.item = pt.item)
     SELECT l.query, l.item, count(DISTINCT seed) AS support, CAST(min(rank) AS INTEGER) AS best FROM l JOIN pt ON l.item = pt.item WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.query = l.query AND sd.item = l.item) AND NOT EXISTS (SELECT 1 FROM nm WHERE nm.query = l.query AND nm.identity = pt.identity) GROUP BY 1, 2""",
@@ -29,7 +29,7 @@ query(
 def _merged(s, d):
     x = interactions(s, d)
     seeds = x.where("user % 100 = 0").select(F.col("user").alias("query"), "item").distinct()
-    c = x.select("ctx", "item").distinct()
+    c = eligible(x).select("ctx", "item").distinct()  # contexts of bounded size
     near = seeds.withColumnRenamed("item", "seed").join(c.withColumnRenamed("item", "seed"), "seed").join(c, "ctx").where("seed <> item").groupBy("query", "seed", "item").agg(F.count("*").alias("score"))
     lists = near.withColumn("rank", F.row_number().over(Window.partitionBy("query", "seed").orderBy(F.desc("score"), "item")))
     return M.merged_lists(lists, seeds, catalog(s, d).select("item", F.concat_ws("|", "artist", "title").alias("identity"))).drop("evidence")

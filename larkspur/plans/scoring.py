@@ -40,6 +40,42 @@ def _alpha(s, d):
     return S.best_alpha(scored, targets, [i / 10 for i in range(1, 10)]).select("alpha", F.round("ndcg", 6).alias("ndcg"))
 
 
+_SCORED = "(VALUES ('score', nk.score), ('support', CAST(nk.support AS DOUBLE)), ('damped', nk.score / sqrt(1 + nk.support)))"
+
+query(
+    "d1_scorers",
+    X + SPLIT + f""", tg AS (SELECT query, item FROM q WHERE NOT seed), tn AS (SELECT query, count(*) AS n FROM tg GROUP BY 1), rk AS (SELECT v.scorer, nk.query, nk.item, row_number() OVER (PARTITION BY v.scorer, nk.query ORDER BY v.s DESC, nk.item) AS rank FROM nk, {_SCORED} v(scorer, s)),
+    hi AS (SELECT scorer, rk.query, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first FROM rk JOIN tg ON rk.query = tg.query AND rk.item = tg.item WHERE rank <= 20 GROUP BY 1, 2),
+    al AS (SELECT scorer, query, n FROM tn, (VALUES ('score'), ('support'), ('damped')) s(scorer)), mt AS (SELECT al.scorer, coalesce(hits / n, 0) AS recall, coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 21) r(i) WHERE i <= n), 0) AS ndcg, coalesce(1 / first, 0) AS mrr, CASE WHEN hits > 0 THEN 1.0 ELSE 0 END AS hit FROM al LEFT JOIN hi ON al.scorer = hi.scorer AND al.query = hi.query)
+    SELECT scorer, count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(hit), 6) AS hit FROM mt GROUP BY scorer""",
+)(lambda s, d: _scorers(s, d))
+
+
+def _scorers(s, d):
+    """Co-listening candidates under three scorers, each a function of the candidates."""
+    q, found = _candidates(s, d)
+    scorers = {"score": lambda c: c["score"], "support": lambda c: c["support"], "damped": lambda c: c["score"] / F.sqrt(1 + c["support"])}
+    m = S.evaluated(found, q.where("NOT seed").select("query", "item"), scorers, 20)
+    return m.select("scorer", "queries", *[F.round(c, 6).alias(c) for c in ("recall", "ndcg", "mrr", "hit")])
+
+
+#: A ranker's layers by rule: 64 inputs, 8 hidden, one output.
+_R2 = [([[((i * 7 + o * 11) % 19 - 9) / 10 for i in range(64)] for o in range(8)], [(o - 4) / 10 for o in range(8)]), ([[(o % 3 - 1) / 2 + 0.1 for o in range(8)]], [0.05])]
+query(
+    "r2_mlp",
+    f"""WITH v AS (SELECT vec_id AS item, label / 10.0 AS base, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    h AS (SELECT item, base, list_transform(list_zip({_R2[0][0]}, {_R2[0][1]}), lambda w: greatest(0, list_dot_product(CAST(w[1] AS DOUBLE[]), v) + w[2])) AS h FROM v),
+    o AS (SELECT item, base, list_dot_product(CAST({_R2[1][0][0]} AS DOUBLE[]), list_transform(h, lambda x: CAST(x AS DOUBLE))) + 0.05 AS o FROM h)
+    SELECT item, round(o, 5) AS output, round(base + 2 * tanh(o), 5) AS score FROM o""",
+)(lambda s, d: _ranked_by_net(s, d))
+
+
+def _ranked_by_net(s, d):
+    v = vectors(s, d).select(F.col("id").alias("item"), (F.col("label") / 10.0).alias("base"), F.col("vec").alias("features"))
+    out = S.mlp(v, _R2).withColumnRenamed("score", "output")
+    return S.residual(out, ["output"], [1.0]).select("item", F.round("output", 5).alias("output"), F.round("score", 5).alias("score"))
+
+
 @query("r11_pairwise_ranker")
 def _pairwise(s, d):
     """Every candidate scored by a ranker that is fitted on each query's targets against all its other candidates."""
