@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sha
 from ..functions.vector import dot
 from ..sources.staging import cut
+from .vectors import products
 from .numbering import drawn, hash_number, numbered, running
 from .popularity import user_percentile
 
@@ -94,7 +95,9 @@ def pooled_negatives(positives: DataFrame, known: DataFrame, items: DataFrame, e
     popularity, the middle third and the top tenth by similarity; an item counts for the first pool that takes it.
     positives: query, positive, a stated set; known: query, item; items: item, users, vec."""
     p = positives.join(items.select(F.col("item").alias("positive"), F.col("vec").alias("pv"), F.col("users").alias("pu")), "positive")
-    every = p.crossJoin(items).join(known, ["query", "item"], "left_anti")  # the stated positives against all items
+    asked = p.withColumn("id", F.xxhash64("query", "positive"))
+    met = products(items.withColumn("id", F.xxhash64("item")), asked).drop("id")  # the stated positives against all items, in blocks
+    every = met.select("q.query", "q.positive", "q.pv", "q.pu", *items.columns).join(known, ["query", "item"], "left_anti")
     every = every.select("query", "positive", "item", F.round(dot(F.col("pv"), F.col("vec")), 9).alias("sim"), F.round(F.abs(F.log1p("users") - F.log1p("pu")), 9).alias("far"))
     w = Window.partitionBy("query", "positive")
     r = every.withColumn("rf", F.row_number().over(w.orderBy("far", "item"))).withColumn("rs", F.row_number().over(w.orderBy("sim", "item"))).withColumn("n", F.count("*").over(w))
