@@ -40,18 +40,35 @@ def evaluated(candidates: DataFrame, targets: DataFrame, scorers: dict[str, Call
     return m.groupBy(F.col("query.scorer").alias("scorer")).agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in ("recall", "ndcg", "mrr", "hit")])
 
 
-def pairwise_ranker(pairs: DataFrame, columns: list[str], weight: str | None = None) -> list[float]:
-    """Coefficients that minimise softplus(neg - pos): a logistic regression without intercept on differences. pairs: for each
-    column c, pos_c and neg_c. Each pair appears once as it is and once mirrored."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    keep = [weight] if weight else []
-    diff = pairs.select(*[(F.col(f"pos_{c}") - F.col(f"neg_{c}")).cast("double").alias(c) for c in columns], *keep)
-    both = diff.withColumn("label", F.lit(1.0)).union(diff.select(*[(-F.col(c)).alias(c) for c in columns], *keep, F.lit(0.0).alias("label")))
-    x = VectorAssembler(inputCols=columns, outputCol="x").transform(both)
-    fit = LogisticRegression(featuresCol="x", fitIntercept=False, standardization=False, maxIter=50, regParam=1e-4, **({"weightCol": weight} if weight else {}))
-    return [float(v) for v in fit.fit(x).coefficients]
+def pairwise_ranker(positives: DataFrame, negatives: DataFrame, columns: list[str], weight: str | None = None, penalty: float = 1e-4, steps: int = 10) -> list[float]:
+    """Coefficients of the least mean of softplus(negative - positive) over all pairs of one query, plus penalty / 2 *
+    |coefficients|^2, by Newton steps. Pairs are never rows: a negative row holds its query's positives as one array and sums
+    over it, and a step is one aggregate of sums of gradient and curvature. positives, negatives: query, columns (a query's
+    positives fit an array, as a user's targets do); weight: a column of the positives."""
+    size, spots = len(columns), [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    of = positives.groupBy("query").agg(F.collect_list(F.struct(x.alias("x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))).alias("p"))
+    rows = cut(negatives.select("query", x.alias("x")).join(of, "query"), "pairs")
+    total = rows.select(F.aggregate("p", F.lit(0.0), lambda a, p: a + p["w"]).alias("w")).agg(F.sum("w")).head()[0] or 0.0
+    theta = np.zeros(size)
+    for _ in range(steps if total else 0):
+
+        def added(sums, p):
+            d = [F.col("x")[i] - p["x"][i] for i in range(size)]
+            s = 1 / (1 + F.exp(-sum((float(t) * v for t, v in zip(theta, d)), F.lit(0.0))))
+            parts = [p["w"] * s * v for v in d] + [p["w"] * s * (1 - s) * d[i] * d[j] for i, j in spots]
+            return F.array(*[sums[k] + part for k, part in enumerate(parts)])
+
+        each = rows.select(F.aggregate("p", F.array_repeat(F.lit(0.0), size + len(spots)), added).alias("s"))
+        got = np.array(each.agg(*[F.sum(F.col("s")[k]) for k in range(size + len(spots))]).head(), float) / total
+        curve = np.zeros((size, size))
+        for (i, j), v in zip(spots, got[size:]):
+            curve[i, j] = curve[j, i] = v
+        move = np.linalg.solve(curve + penalty * np.eye(size), got[:size] + penalty * theta)
+        theta = theta - move
+        if np.abs(move).max() < 1e-10:
+            break
+    return theta.tolist()
 
 
 def linear(rows: DataFrame, columns: list[str], weights: list[float]) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.vector import dot, unit
 from ..operators import ranking as R
 from ..operators.numbering import drawn_sql
 from ..operators.vectors import products
+from ..sources.staging import cut
 from ..operators import scoring as S
 from ..sources.tables import INTERACTIONS, LISTENS, interactions, vectors
 from .base import query
@@ -76,14 +77,23 @@ def _ranked_by_net(s, d):
     return S.residual(out, ["output"], [1.0]).select("item", F.round("output", 5).alias("output"), F.round("score", 5).alias("score"))
 
 
-@query("r11_pairwise_ranker")
+def _pairwise_sql(steps: int = 10) -> str:
+    """The same Newton steps over all pairs; two coefficients by Cramer's rule."""
+    out = _BLEND + ", ps AS (SELECT p.* FROM p JOIN tg ON p.query = tg.query AND p.item = tg.item), ng AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.query = p.query AND tg.item = p.item)), d AS MATERIALIZED (SELECT ng.a - ps.a AS x, ng.b - ps.b AS y FROM ps JOIN ng ON ps.query = ng.query), w0 AS (SELECT 0.0::DOUBLE AS u, 0.0::DOUBLE AS v)"
+    for k in range(steps):
+        out += f""", s{k} AS (SELECT x, y, u, v, 1 / (1 + exp(-(u * x + v * y))) AS s FROM d, w{k}), g{k} AS (SELECT u, v, avg(s * x) + 1e-4 * u AS g1, avg(s * y) + 1e-4 * v AS g2, avg(s * (1 - s) * x * x) + 1e-4 AS h11, avg(s * (1 - s) * x * y) AS h12, avg(s * (1 - s) * y * y) + 1e-4 AS h22 FROM s{k} GROUP BY u, v),
+    w{k + 1} AS MATERIALIZED (SELECT u - (g1 * h22 - g2 * h12) / (h11 * h22 - h12 * h12) AS u, v - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS v FROM g{k})"""
+    return out + f", r AS (SELECT query, item, u * a + v * b AS score, row_number() OVER (PARTITION BY query ORDER BY round(u * a + v * b, 9) DESC, item) AS rank FROM p, w{steps}) SELECT query, item, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 40"
+
+
+@query("r11_pairwise_ranker", _pairwise_sql())
 def _pairwise(s, d):
     """Every candidate scored by a ranker that is fitted on each query's targets against all its other candidates."""
     targets, scored = _blend_input(s, d)
-    pos = targets.join(scored, ["query", "item"]).select("query", F.col("a").alias("pos_a"), F.col("b").alias("pos_b"))
-    neg = scored.join(targets, ["query", "item"], "left_anti").select("query", F.col("a").alias("neg_a"), F.col("b").alias("neg_b"))
-    weights = S.pairwise_ranker(pos.join(neg, "query"), ["a", "b"])
-    return R.top_k(S.linear(scored, ["a", "b"], weights), 40).select("query", "item", F.round("score", 4).alias("score"), "rank")
+    scored = cut(scored, "scored")
+    weights = S.pairwise_ranker(targets.join(scored, ["query", "item"]), scored.join(targets, ["query", "item"], "left_anti"), ["a", "b"])
+    ranked = S.linear(scored, ["a", "b"], weights).withColumn("score", F.round("score", 9))
+    return R.top_k(ranked, 40).select("query", "item", F.round("score", 4).alias("score"), "rank")
 
 
 @query(
