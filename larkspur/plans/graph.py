@@ -145,6 +145,24 @@ def _shuffled(s, d):
     return G.shuffled_edges(e)
 
 
+query(
+    "g10_degrees",
+    X + ASSOC + """, ed AS (SELECT src, dst FROM g WHERE src < dst), en AS (SELECT src AS item FROM ed UNION ALL SELECT dst FROM ed), dg2 AS (SELECT item, count(*) AS degree FROM en GROUP BY item)
+    SELECT item, degree, (SELECT count(*) FROM ed) AS edges, (SELECT count(*) FROM ed) AS distinct_edges, true AS moved FROM dg2""",
+)(lambda s, d: _degrees(s, d))
+
+
+def _degrees(s, d):
+    """What a shuffle must keep: each degree, the number of edges, and no edge twice; and that most edges are new."""
+    e = cut(_graph(s, d)[1].where("src < dst").select("src", "dst"), "edges")
+    out = cut(G.shuffled_edges(e, rounds=8), "shuffled")
+    stayed = out.join(e, ["src", "dst"], "left_semi").agg(F.count("*").alias("stayed"))
+    whole = out.agg(F.count("*").alias("edges"), F.count_distinct("src", "dst").alias("distinct_edges")).crossJoin(stayed)  # one row each
+    whole = whole.select("edges", "distinct_edges", (F.col("stayed") < F.col("edges") / 2).alias("moved"))
+    ends = out.select(F.col("src").alias("item")).union(out.select("dst")).groupBy("item").agg(F.count("*").alias("degree"))
+    return ends.crossJoin(F.broadcast(whole))  # one row
+
+
 SPLIT = """, q0 AS (SELECT DISTINCT "user" AS query, item FROM x WHERE "user" % 100 = 0),
 q1 AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY sha256(query || ':' || item), item) AS k, count(*) OVER (PARTITION BY query) AS n FROM q0),
 q AS (SELECT query, item, k <= floor(n * 0.8) AS seed FROM q1 WHERE n >= 5),

@@ -202,6 +202,22 @@ def _tokens(s, d):
     return M.token_shuffle(interactions(s, d))
 
 
+query(
+    "g11_kept_counts",
+    X + """ SELECT 'item' AS kind, item AS key, count(*) AS n FROM x GROUP BY item UNION ALL SELECT 'context', ctx, count(*) FROM x GROUP BY ctx UNION ALL SELECT 'moved', 1, 1""",
+)(lambda s, d: _kept_counts(s, d))
+
+
+def _kept_counts(s, d):
+    """What a shuffle must keep: how often each item occurs, and the length of each context; and that most slots change."""
+    x = interactions(s, d).select("ctx", "pos", "item")
+    out = cut(M.token_shuffle(x), "shuffled")
+    of = lambda kind, c: out.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+    same = out.join(x.withColumnRenamed("item", "was"), ["ctx", "pos"]).agg(F.avg((F.col("item") == F.col("was")).cast("double")).alias("share"))
+    moved = same.select(F.lit("moved").alias("kind"), F.lit(1).cast("long").alias("key"), (F.col("share") < 0.1).cast("long").alias("n"))
+    return of("item", "item").union(of("context", "ctx")).union(moved)
+
+
 query("g13_canaries", X + ASSOC + """, a AS (SELECT item, artist, count(*) AS n FROM x GROUP BY 1, 2), t AS (SELECT item, row_number() OVER (PARTITION BY artist ORDER BY n DESC, item) AS k FROM a WHERE artist IN ('Brand#1', 'Brand#2', 'Brand#3')),
  r AS (SELECT src, dst, support, row_number() OVER (PARTITION BY src ORDER BY round(affinity, 9) DESC, dst) AS place FROM g JOIN t ON src = item WHERE k <= 2) SELECT src, dst, support, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10""")(lambda s, d: _canaries(s, d))
 

@@ -103,6 +103,12 @@ def _heads(s, d):
     return V.interest_heads(_members(s, d)).select("query", "head", "size", F.round(Q.norm(F.col("vec")), 6).alias("norm"))
 
 
+query(
+    "v3_head_sizes",
+    """WITH n AS (SELECT CAST(label AS BIGINT) AS query, count(*) AS n FROM embeddings GROUP BY 1) SELECT query, n AS members, CAST(least(n, greatest(2, least(12, ceil(sqrt(n))))) AS BIGINT) AS heads, true AS unit FROM n""",
+)(lambda s, d: V.interest_heads(_members(s, d)).groupBy("query").agg(F.sum("size").cast("long").alias("members"), F.count_distinct("head").alias("heads"), F.bool_and(F.abs(Q.norm(F.col("vec")) - 1) < 1e-9).alias("unit")))
+
+
 @query("v11_head_checks")
 def _checks(s, d):
     return V.head_checks(_members(s, d), V.interest_heads).select("query", "same", (F.col("separation") < 0.95).alias("apart"), F.round("matched", 4).alias("matched"))
