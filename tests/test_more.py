@@ -81,7 +81,8 @@ def test_personal_layer_moves_only_where_ratings_support_it(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=200)
     rated = [(1, i, float(v > 0), float(rng.normal()), float(v)) for i, v in enumerate(x)] + [(2, i, float(i % 2), 0.0, 1.0) for i in range(5)]
-    ratings = spark.createDataFrame(rated, "query long, sequence long, label double, score double, f double")
+    rated = [(q, i, i, i // 5, *rest) for q, i, *rest in rated]  # five ratings an exposure
+    ratings = spark.createDataFrame(rated, "query long, id long, sequence long, exposure long, label double, score double, f double")
     scores = spark.createDataFrame([(q, i, 0.1 * i, float(i - 2)) for q in (1, 2) for i in range(5)], "query long, item long, score double, f double")
     moved = {(r["query"], r.item): r.score for r in S.personal_layer(ratings, scores, ["f"]).collect()}
     assert moved[1, 4] > 0.4 and moved[1, 0] < 0.0 and all(abs(moved[2, i] - 0.1 * i) < 1e-12 for i in range(5))
