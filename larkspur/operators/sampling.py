@@ -80,13 +80,15 @@ def user_weighted(pairs: DataFrame) -> DataFrame:
 
 def matched_negatives(x: DataFrame, asked=None, tries: int = 32) -> DataFrame:
     """(query, positive, negative, weight): for each known item an unknown one of an artist that the user knows, so that
-    both carry the same familiar flag; the weights of a user sum to one."""
+    both carry the same familiar flag; the weights of a user sum to one. Items are numbered within the lists of a user's
+    artists together, and no user's pool is written out."""
     asked = F.col("user") % 100 == 0 if asked is None else asked
     mine = x.where(asked).select(F.col("user").alias("query"), "artist", "item").distinct()
-    of = mine.select("query", "artist").distinct().join(x.select("item", "artist").distinct(), "artist").select(F.col("query").alias("pool"), "item")
-    items = cut(of.withColumn("number", F.row_number().over(Window.partitionBy("pool").orderBy("item")) - 1), "familiar")
-    positives = mine.select(F.col("item").alias("positive"), "query", F.col("query").alias("pool")).distinct()
-    found = drawn(positives, items, mine.select("query", "item").distinct(), ["positive"], 1, tries)
+    items = cut(x.select(F.col("artist").alias("list"), "item").distinct(), "familiar")
+    lists = cut(mine.select(F.col("query").alias("pool"), F.col("artist").alias("list")).distinct(), "artists")
+    known = cut(mine.select("query", "item").distinct(), "known")
+    positives = known.select(F.col("item").alias("positive"), "query", F.col("query").alias("pool"))
+    found = drawn(positives, items, known, ["positive"], 1, tries, lists)
     return user_weighted(found.select(F.col("query").alias("user"), "positive", F.col("item").alias("negative"))).withColumnRenamed("user", "query")
 
 
