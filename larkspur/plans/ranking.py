@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..operators.numbering import numbered
+from ..sources.staging import cut
 from ..sources.tables import INTERACTIONS, catalog, interactions, table
 from .base import query
 from .graph import SPLIT, _candidates
@@ -86,9 +88,13 @@ def _pair_loss(s, d):
     return p.groupBy("ctx").agg(F.round(F.avg(F.log1p(F.exp(F.col("neg") - F.col("pos")))), 6).alias("loss"), F.round(F.avg(F.when(F.col("pos") > F.col("neg"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
 
 
-def _greedy_input(s, d):
-    items = catalog(s, d).select("item", "artist", F.concat_ws("|", "artist", "title").alias("family"))
-    return _candidates(s, d)[1].join(items, "item").withColumn("familiar", F.col("item") % 3 == 0).withColumn("popular", F.col("support") > 20)
+def _greedy(s, d, size, per_artist, **rules):
+    """Families go by number, so that what is dealt by query is narrow."""
+    parts = catalog(s, d).select("item", "artist", F.concat_ws("|", "artist", "title").alias("name"))
+    families = cut(numbered(parts.select("name", "artist").distinct(), ["name", "artist"], "family"), "families")
+    found = _candidates(s, d, items=parts.join(families, ["name", "artist"]), carry=("family",))[1]
+    found = found.withColumn("familiar", F.col("item") % 3 == 0).withColumn("popular", F.col("support") > 20)
+    return R.no_adjacent_artist(found, size, per_artist, artists=families.select("family", "artist"), **rules).select("query", "item", "place")
 
 
 def _greedy_sql(size: int, per_artist: int, familiar: str = "true", popular: str = "true", per_familiar: int | None = None, source: str = "", directions: bool = False) -> str:
@@ -111,13 +117,13 @@ def _recursive(sql: str) -> str:
     return sql.replace("WITH", "WITH RECURSIVE", 1)
 
 
-query("l2_no_adjacent_artist", _recursive(X + SPLIT + _greedy_sql(50, 2)))(lambda s, d: R.no_adjacent_artist(_greedy_input(s, d), 50, 2).select("query", "item", "place"))
+query("l2_no_adjacent_artist", _recursive(X + SPLIT + _greedy_sql(50, 2)))(lambda s, d: _greedy(s, d, 50, 2))
 
 query("l4_prefix_quotas", _recursive(X + SPLIT + _greedy_sql(40, 2, "familiars + 1 <= (gr.place + 1) * 3 // 10", "populars + 1 <= (gr.place + 1) // 5")))(
-    lambda s, d: R.no_adjacent_artist(_greedy_input(s, d), 40, 2, familiar=0.3, popular=0.2).select("query", "item", "place")
+    lambda s, d: _greedy(s, d, 40, 2, familiar=0.3, popular=0.2)
 )
 
-query("l5_less_familiar", _recursive(X + SPLIT + _greedy_sql(40, 2, per_familiar=1)))(lambda s, d: R.no_adjacent_artist(_greedy_input(s, d), 40, 2, per_familiar=1).select("query", "item", "place"))
+query("l5_less_familiar", _recursive(X + SPLIT + _greedy_sql(40, 2, per_familiar=1)))(lambda s, d: _greedy(s, d, 40, 2, per_familiar=1))
 
 
 query("a22_coverage", X + SPLIT + ", r AS (SELECT item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS k FROM nk) SELECT count(DISTINCT item) AS items, round(count(DISTINCT item) / (SELECT count(*) FROM part), 6) AS share FROM r WHERE k <= 40")(
