@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import artist_title
 from .nested import NestedTracks, PlaylistSongs, each
+from .staging import cut
 
 #: Column names under which exports give artist, title and link (fixed values).
 ARTIST_NAMES = ("artist", "artist name", "artist name(s)", "artist_name", "performer")
@@ -42,7 +43,8 @@ def _named(header: Column, fields: Column, names: tuple[str, ...]) -> Column:
 def playlists(files: DataFrame) -> DataFrame:
     """file_id, pos (from 0), artist, title, track (22 characters, null without a link) of files (file_id, text). Rows without
     artist or title go; pos counts what a file lists."""
-    typed = files.select("file_id", "text", kind(F.col("text")).alias("kind"))
+    files = cut(files.select("file_id", "text"), "files")  # else a filter by kind makes the text anew for each mention of it
+    typed = cut(files.withColumn("kind", kind(F.col("text"))), "typed-files")
     songs = each(typed.where("kind = 'json'"), ["file_id"], F.col("text"), PlaylistSongs)
     named = F.when(F.col("line").isNotNull(), artist_title(F.col("line"))).otherwise(F.struct("artist", "title"))
     songs = songs.select("file_id", "pos", named.alias("t"), "links").select("file_id", "pos", "t.artist", "t.title", F.get(F.filter("links", lambda x: x.rlike(_ID)), F.lit(0)).alias("link"))
@@ -50,6 +52,7 @@ def playlists(files: DataFrame) -> DataFrame:
     paired = (F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))) % 2 == 0
     records = F.when(F.col("kind").isin("csv", "tsv") & paired, F.regexp_extract_all("text", F.lit(r'((?:"[^"]*+"|[^"\n]++)++)'), 1)).otherwise(F.split("text", "\n"))
     lines = typed.where("kind <> 'json'").select("file_id", "kind", F.filter(F.transform(records, lambda x: F.rtrim(F.regexp_replace(x, "\r$", ""))), lambda x: x != "").alias("lines"))
+    lines = cut(lines, "lines")  # read several times by each branch
     delimiter = F.when(F.col("kind") == "tsv", "\t").when(F.col("lines")[0].contains(";") & ~F.col("lines")[0].contains(","), ";").otherwise(",")
     tables = lines.where("kind IN ('csv', 'tsv')").withColumn("delimiter", delimiter)
     tables = tables.select("file_id", "delimiter", F.transform(_fields(F.col("lines")[0], F.col("delimiter")), F.lower).alias("header"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("pos", "line"))
