@@ -6,9 +6,9 @@ it make a rule; it stays if its support and confidence reach the bounds. Each ru
 token. A url looks up the postings of its tokens and checks that it has the rest of the rule.
 
 Bounds: a token in a frequent set is in ``share`` of the labelled urls, so there are at most (tokens a url) / ``share`` of
-them; these tokens reach the driver, nothing else does. ``max_items``: a labelled url brings its rarest frequent tokens
-into the mining, so many at most, as sets of tokens are exponential in it; matching uses all tokens. Postings are
-broadcast up to ``MOST`` rules; more are joined by salted token, since a token may be in most urls.
+them; these tokens reach the driver, nothing else does. A labelled url brings all its frequent tokens into the mining, so
+no rule is missed; sets are exponential in the number of tokens that are frequent together. Postings are broadcast up to
+``MOST`` rules; more are joined by salted token, since a token may be in most urls.
 
 Everything runs as DataFrame operations; there is no Python in tasks.
 
@@ -69,7 +69,7 @@ def _tokens(pages: DataFrame, url_col: str) -> Column:
     return url_tokens(*url_parts(F.col(url_col)))
 
 
-def mine(labelled: DataFrame, share: float = 0.002, least: int = 5, confidence: float = 0.6, max_items: int = 12) -> DataFrame:
+def mine(labelled: DataFrame, share: float = 0.002, least: int = 5, confidence: float = 0.6) -> DataFrame:
     """labelled: tokens, bad. Rules: antecedent (sorted tokens), anchor (the rarest of them), support (bad urls that have
     them all), confidence."""
     spark = labelled.sparkSession
@@ -80,8 +80,7 @@ def mine(labelled: DataFrame, share: float = 0.002, least: int = 5, confidence:
     often = each.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= need)
     often = staged(often, "url-tokens")
     met = each.join(F.broadcast(often), "token")  # (tokens a url) / share rows at most
-    own = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, max_items), lambda x: x["token"])
-    baskets = met.groupBy("row").agg(own.alias("items"), F.first("bad").alias("bad"))
+    baskets = met.groupBy("row").agg(F.collect_list("token").alias("items"), F.first("bad").alias("bad"))
     baskets = baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
     baskets = staged(baskets, "baskets")
     shown = baskets.count()
