@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,28 +94,109 @@ def matched_negatives(x: DataFrame, asked=None, tries: int = 32) -> DataFrame:
     return user_weighted(found.select(F.col("query").alias("user"), "positive", F.col("item").alias("negative"))).withColumnRenamed("user", "query")
 
 
-def pooled_negatives(positives: DataFrame, known: DataFrame, items: DataFrame, each: int = 8) -> DataFrame:
+#: Pairs of a positive that are placed first, for each item that it takes from a pool; positives and items of a block.
+PLACED, POSITIVES, ITEM_BLOCK = 160, 1024, 1 << 16
+
+
+def pooled_negatives(positives: DataFrame, known: DataFrame, items: DataFrame, each: int = 8, placed: int = PLACED) -> DataFrame:
     """(query, positive, item, pool): ``each`` unknown items in hash order from four pools in turn: all, the quarter nearest in
-    popularity, the middle third and the top tenth by similarity; an item counts for the first pool that takes it.
-    positives: query, positive, a stated set; known: query, item; items: item, users, vec."""
+    popularity, the middle third and the top tenth by similarity; an item counts for the first pool that takes it. A pool's
+    first items by hash are all that matters: pairs below a bound on the hash, ``placed`` * ``each`` a positive or so, find their
+    ranks by counts in blocks, and no other pair is a row. A positive of which a pool holds too few of them, though it has
+    more, is done again with a sixteenfold bound, up to all pairs. positives: query, positive, a stated set; known: query,
+    item; items: item, users, vec."""
+    items, known = cut(items, "valued"), known.distinct()
     p = positives.join(items.select(F.col("item").alias("positive"), F.col("vec").alias("pv"), F.col("users").alias("pu")), "positive")
-    asked = p.withColumn("id", F.xxhash64("query", "positive"))
-    met = products(items.withColumn("id", F.xxhash64("item")), asked).drop("id")  # the stated positives against all items, in blocks
-    every = met.select("q.query", "q.positive", "q.pv", "q.pu", *items.columns).join(known, ["query", "item"], "left_anti")
-    every = every.select("query", "positive", "item", F.round(dot(F.col("pv"), F.col("vec")), 9).alias("sim"), F.round(F.abs(F.log1p("users") - F.log1p("pu")), 9).alias("far"))
-    w = Window.partitionBy("query", "positive")
-    r = every.withColumn("rf", F.row_number().over(w.orderBy("far", "item"))).withColumn("rs", F.row_number().over(w.orderBy("sim", "item"))).withColumn("n", F.count("*").over(w))
-    r = r.withColumn("h", sha(F.concat_ws(":", "positive", "item")))
-    n, third = F.col("n"), F.floor(F.col("n") / 3)
-    inside = [F.lit(True), F.col("rf") <= F.greatest(F.lit(1), F.floor(n / 4)), (F.col("rs") > third) & (F.col("rs") <= F.greatest(third + 1, F.floor(2 * n / 3))), n - F.col("rs") < F.greatest(F.lit(1), F.floor(n / 10))]
-    r = r.withColumn("taken", F.lit(-1))
-    for k, ok in enumerate(inside):
-        free = ok & (F.col("taken") < 0)
+    mine = known.join(p.select("query").distinct(), "query", "left_semi").join(items.select("item"), "item", "left_semi")
+    left = cut(p.join(mine.groupBy("query").agg(F.collect_list("item").alias("mine")), "query", "left"), "positives")
+    share, done = each * placed / max(1, items.count()), None
+    while True:
+        r = _placed(left, known, items, share)
+        n, third = F.col("n"), F.floor(F.col("n") / 3)
+        middle, tenth = F.greatest(third + 1, F.floor(2 * n / 3)), F.greatest(F.lit(1), F.floor(n / 10))
+        quarter = F.greatest(F.lit(1), F.floor(n / 4))
+        inside = [F.lit(True), F.col("rf") <= quarter, (F.col("rs") > third) & (F.col("rs") <= middle), n - F.col("rs") < tenth]
+        r = cut(r.withColumns({f"in{k}": ok for k, ok in enumerate(inside)}), "ranked")
+        short = None
+        if share < 1:
+            sizes = [n, quarter, F.least(n, middle) - third, tenth]
+            counts = r.groupBy("query", "positive").agg(F.first("n").alias("n"), *[F.count_if(f"in{k}").alias(f"c{k}") for k in range(4)])
+            enough = [F.col(f"c{k}") >= F.least(F.lit(each * (k + 1)), size) for k, size in enumerate(sizes)]
+            whole = counts.where(enough[0] & enough[1] & enough[2] & enough[3]).select("query", "positive")
+            short = cut(left.join(whole, ["query", "positive"], "left_anti"), "short")
+            if short.isEmpty():
+                short = None
+            else:
+                r = r.join(whole, ["query", "positive"], "left_semi")
+        done = r if done is None else done.unionByName(r)
+        if short is None:
+            break
+        left, share = short, share * 16
+    r = done.withColumn("taken", F.lit(-1))
+    for k in range(4):
+        free = F.col(f"in{k}") & (F.col("taken") < 0)
         place = F.row_number().over(Window.partitionBy("query", "positive", free).orderBy("h", "item"))
         r = r.withColumn("taken", F.when(free & (place <= each), k).otherwise(F.col("taken")))
     return r.where("taken >= 0").select("query", "positive", "item", F.col("taken").alias("pool"))
 
 
+def _placed(positives: DataFrame, known: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """query, positive, item, h, rs, rf, n: unknown pairs whose hash is in the first ``share`` of all, their places among the
+    n unknown items by similarity and by distance in popularity."""
+    asked = positives.select(F.xxhash64("query", "positive").alias("id"), "query", "positive")
+    met = products(items.select(F.xxhash64("item").alias("id"), "item"), asked).select("q.query", "q.positive", "item")  # the stated positives against all items, in blocks
+    met = met.withColumn("h", sha(F.concat_ws(":", "positive", "item")))
+    if share < 1:
+        met = met.where(F.col("h") < f"{int(share * 16**12):012x}")
+    met = met.join(known, ["query", "item"], "left_anti").join(items, "item").join(positives.select("query", "positive", "pv", "pu"), ["query", "positive"])
+    met = met.select("query", "positive", "item", "h", F.round(dot(F.col("pv"), F.col("vec")), 9).alias("sim"), F.round(F.abs(F.log1p("users") - F.log1p("pu")), 9).alias("far"))
+    met = cut(met, "hashed")
+    n = positives.count()
+    blocks, item_blocks = max(-(-n // POSITIVES), min(n, 16), 1), max(1, -(-items.count() // ITEM_BLOCK))
+    of = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = met.groupBy("query", "positive").agg(F.collect_list("item").alias("item"), F.collect_list("sim").alias("sim"), F.collect_list("far").alias("far")).join(positives, ["query", "positive"])
+    asked = asked.select(of(blocks, "query", "positive").alias("b"), every(item_blocks).alias("i"), "query", "positive", "pv", "pu", F.coalesce("mine", F.array().cast("array<long>")).alias("mine"), "item", "sim", "far")
+    facts = items.select(every(blocks).alias("b"), of(item_blocks, "item").alias("i"), "item", "users", "vec")
+    below = asked.groupBy("b", "i").cogroup(facts.groupBy("b", "i")).applyInArrow(_places, "query long, positive long, item long, sims long, fars long, n long")
+    below = below.groupBy("query", "positive", "item").agg((F.sum("sims") + 1).alias("rs"), (F.sum("fars") + 1).alias("rf"), F.sum("n").alias("n"))
+    return met.select("query", "positive", "item", "h").join(below, ["query", "positive", "item"])
+
+
+def _below(value: np.ndarray, nth: np.ndarray, asked: np.ndarray, asked_nth: np.ndarray) -> np.ndarray:
+    """How many of the pairs (value, nth) are less than each asked pair; nth are whole numbers from 0 to len(value)."""
+    level, of = np.unique(value, return_inverse=True)
+    at = np.searchsorted(level, asked)
+    there = np.append(level, np.inf)[at] == asked
+    wide = max(int(nth.max(initial=0)), int(asked_nth.max(initial=0))) + 1
+    return np.searchsorted(np.sort(of * wide + nth), at * wide + np.where(there, asked_nth, 0))
+
+
+def _places(asked: pa.Table, items: pa.Table) -> pa.Table:
+    """For each asked pair of a block of positives, how many unknown items of a block of items come before it."""
+    out = {c: [np.zeros(0, np.int64)] for c in ("query", "positive", "item", "sims", "fars", "n")}
+    if len(asked):
+        item = items["item"].to_numpy()
+        order = np.argsort(item)
+        item, log = item[order], np.log1p(items["users"].to_numpy()[order].astype(np.float64))
+        x = items["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(item), -1)[order] if len(item) else np.zeros((0, 1))
+        nth = np.arange(len(item))
+        for row in range(len(asked)):
+            one = {c: asked[c][row] for c in asked.column_names}
+            values = {c: one[c].values.to_numpy(zero_copy_only=False) for c in ("pv", "mine", "item", "sim", "far")}
+            on = ~np.isin(item, values["mine"])
+            sims = np.round(x[on] @ values["pv"].astype(np.float64), 9) if len(item) else np.zeros(0)
+            fars = np.round(np.abs(log[on] - np.log1p(float(one["pu"].as_py()))), 9)
+            spot = np.searchsorted(item, values["item"])
+            for c, got in (("sims", _below(sims, nth[on], values["sim"], spot)), ("fars", _below(fars, nth[on], values["far"], spot))):
+                out[c].append(got)
+            m = len(spot)
+            for c, got in (("query", one["query"].as_py()), ("positive", one["positive"].as_py()), ("n", int(on.sum()))):
+                out[c].append(np.full(m, got, np.int64))
+            out["item"].append(values["item"])
+    return pa.table({c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in out.items()})
+
+
 def cohort_union(old: DataFrame, new: DataFrame, key: str = "user") -> DataFrame:
     """(key, part): old users all train, new ones apart. Raises where a user is in both."""
     both = old.select(key).intersect(new.select(key)).agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.raise_error(F.lit("cohorts overlap"))).alias("e"))
