@@ -34,7 +34,8 @@ def gap_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1
 
 class CappedSessions(StatefulProcessor):
     """Sessions that end by a gap or once they have lasted ``longest`` seconds; an event-time timer closes them. Rows wait
-    until the watermark has passed them, so that they are taken in order."""
+    until the watermark has passed them, so that they are taken in order. A user has one timer that counts, where the next
+    session can end, and a user's rows of a micro-batch are put into the state at once."""
 
     GAP, LONGEST = 1800, 14400
 
@@ -44,20 +45,17 @@ class CappedSessions(StatefulProcessor):
         self.session = handle.getValueState("session", "start long, last long, listens long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for ts in part["ts"].tolist():
-                self.waiting.appendValue((int(ts),))
-                self.handle.registerTimer(int(ts) * 1000 + self.GAP * 1000)
-        yield self._taken(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._taken(key, [int(ts) for part in rows for ts in part["ts"].tolist()], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._taken(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._taken(key, [], timerValues.getCurrentWatermarkInMs())
 
-    def _taken(self, key, watermark: int) -> pd.DataFrame:
+    def _taken(self, key, new: list[int], watermark: int) -> list[pd.DataFrame]:
         ready, later, out = [], [], []
-        for (ts,) in self.waiting.get():
+        had = [ts for (ts,) in self.waiting.get()]
+        for ts in had + new:
             (ready if ts * 1000 <= watermark else later).append(ts)
-        now = self.session.get()
+        before = now = self.session.get()
         for ts in sorted(ready):
             if now and (ts - now[1] > self.GAP or ts - now[0] > self.LONGEST):
                 out.append((key[0], *now))
@@ -66,9 +64,17 @@ class CappedSessions(StatefulProcessor):
         if now and watermark > (now[1] + self.GAP) * 1000:  # whatever waits is behind the watermark's gap
             out.append((key[0], *now))
             now = None
-        self.waiting.put([(ts,) for ts in later]) if later else self.waiting.clear()
-        self.session.update(now) if now else self.session.clear()
-        return pd.DataFrame(out, columns=["user", "started", "ended", "listens"])
+        if later and later != had:
+            self.waiting.put([(ts,) for ts in later])
+        elif had and not later:
+            self.waiting.clear()
+        if now and now != before:
+            self.session.update(now)
+        elif before and not now:
+            self.session.clear()
+        if now or later:  # nothing ends before the open session can, or else the first of the waiting rows
+            self.handle.registerTimer(((now[1] if now else min(later)) + self.GAP) * 1000)
+        return [pd.DataFrame(out, columns=["user", "started", "ended", "listens"])] if out else []
 
     def close(self) -> None:
         pass
