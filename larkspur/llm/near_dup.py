@@ -41,6 +41,8 @@ from .words import blocks, kept, mix, tidy, words
 SHINGLE = 5
 #: Counters of shingles, for an order that puts rare ones first; any order gives the same classes.
 SLOTS = 1 << 20
+#: Rows in which a task hands on what it counted.
+RANGES = 64
 #: Most leaders of a bucket in one round: up to so many, Spark picks them before it deals the members out.
 LEADERS = 1000
 #: Pairs of one document that meet in one task, and documents with more whose names are broadcast at most (16 bytes each).
@@ -260,19 +262,41 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
 
 
+def _ranges(at: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """Slots (ascending) and what was counted for them, a row for each range of slots that has any."""
+    ends = np.searchsorted(at, np.arange(RANGES + 1) * (SLOTS // RANGES))
+    there = np.flatnonzero(np.diff(ends))
+    offsets = pa.array(np.append(ends[there], len(at)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (at, *values)]
+    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *lists], ["range", "slot", *(f"v{k}" for k in range(len(values)))])
+
+
+def _flat(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(b.schema.get_field_index(name)).flatten().to_numpy()
+
+
 def _slots(sets: DataFrame) -> np.ndarray:
-    """How many of the sets' shingles fall on each of SLOTS counters."""
+    """How many of the sets' shingles fall on each of SLOTS counters. A task hands on at most RANGES rows."""
 
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
             total += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(SLOTS), minlength=SLOTS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+        yield _ranges(at, total[at])
+
+    def added(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            np.add.at(total, _flat(b, "slot"), _flat(b, "v0"))
+        at = np.flatnonzero(total)
+        yield _ranges(at, total[at])
 
-    got = sets.select("set").mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    kind = "range int, slot array<long>, v0 array<long>"
+    got = sets.select("set").mapInArrow(tidy(run), kind).repartition(RANGES, "range").mapInArrow(tidy(added), kind).toArrow()
     out = np.zeros(SLOTS, np.int64)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    for b in got.to_batches():
+        out[_flat(b, "slot")] = _flat(b, "v0")
     return out
 
 
@@ -304,11 +328,21 @@ def _refined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             np.minimum.at(lo, slot, of_row)
             np.maximum.at(hi, slot, of_row)
         at = np.flatnonzero(lo <= hi)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lo[at]), pa.array(hi[at])], ["slot", "lo", "hi"])
+        yield _ranges(at, lo[at], hi[at])
+
+    def mixed(batches):
+        big = np.iinfo(np.int64)
+        lo, hi = np.full(SLOTS, big.max), np.full(SLOTS, big.min)
+        for b in batches:
+            np.minimum.at(lo, _flat(b, "slot"), _flat(b, "v0"))
+            np.maximum.at(hi, _flat(b, "slot"), _flat(b, "v1"))
+        yield _ranges(np.flatnonzero(lo < hi))
 
-    mixed = some.mapInArrow(tidy(classes), "slot long, lo long, hi long").groupBy("slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("slot").toArrow()
+    kind = "range int, slot array<long>, v0 array<long>, v1 array<long>"
+    got = some.mapInArrow(tidy(classes), kind).repartition(RANGES, "range").mapInArrow(tidy(mixed), "range int, slot array<long>").toArrow()
     several = np.zeros(SLOTS, bool)
-    several[mixed["slot"].to_numpy()] = True
+    for b in got.to_batches():
+        several[_flat(b, "slot")] = True
     open_ = context.broadcast(several)  # fixed size, 1 MB
 
     def run(batches):
