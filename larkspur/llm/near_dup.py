@@ -154,17 +154,45 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, root), root the smallest node that edges lead to; min-label steps with pointer jumps."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
-        jump = labels.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        new = staged(step.join(jump, step["root"] == jump["at"], "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "was"), "labels")
-        if new.where("root <> was").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    """(a, b) -> (node, root), root the smallest node that edges lead to. Each node takes its smallest neighbour, if smaller, and
+    the chains are followed to their ends; edges then lead from end to end, and those within one are done."""
+    edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        new = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+        while True:
+            jump = new.select(F.col("node").alias("at"), F.col("root").alias("next"))
+            far = staged(new.join(jump, new["root"] == jump["at"]).select("node", F.col("next").alias("root"), F.col("root").alias("was")), "labels")
+            new = far.select("node", "root")
+            if far.where("root <> was").isEmpty():
+                break
+        edges = staged(_between(edges, new).distinct(), "edges")
+        labels = new if labels is None else staged(_relabelled(labels, new), "labels")
+    return labels
+
+
+def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) as those between the roots of their ends, without those that lead to their own."""
+    for end in ("a", "b"):
+        to = labels.select(F.col("node").alias("at"), F.col("root").alias("end"))
+        edges = edges.join(to, edges[end] == to["at"], "left").withColumn(end, F.coalesce("end", end)).select("a", "b")
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels whose roots have got a root in ``new``."""
+    to = new.select(F.col("node").alias("at"), F.col("root").alias("end"))
+    return labels.join(to, labels["root"] == to["at"], "left").select("node", F.coalesce("end", "root").alias("root"))
+
+
+def _joined(klass: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Classes (node, root) with further links: only what these join is gone through, not the links before."""
+    if klass is None:
+        return components(links)
+    new = components(_between(links, klass))
+    first = new.select("node", F.col("node").alias("root")).join(klass.select("node"), "node", "left_anti")
+    return staged(_relabelled(klass.union(first), new), "classes")
 
 
 def near_dup_classes(
@@ -225,7 +253,7 @@ def near_dup_classes(
         free(spark, members)
         members = again
         if not new.isEmpty():
-            klass = components(links)
+            klass = _joined(klass, new)
         if members.isEmpty() or (rounds == 2 * refine_after and not exhaustive):
             break
     degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("links"))
