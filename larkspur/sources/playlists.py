@@ -55,7 +55,9 @@ def playlists(files: DataFrame) -> DataFrame:
     lines = cut(lines, "lines")  # read several times by each branch
     delimiter = F.when(F.col("kind") == "tsv", "\t").when(F.col("lines")[0].contains(";") & ~F.col("lines")[0].contains(","), ";").otherwise(",")
     tables = lines.where("kind IN ('csv', 'tsv')").withColumn("delimiter", delimiter)
-    tables = tables.select("file_id", "delimiter", F.transform(_fields(F.col("lines")[0], F.col("delimiter")), F.lower).alias("header"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("pos", "line"))
+    # what a record needs of its file is made first: else each record goes on with all lines of the file
+    tables = tables.select("file_id", "delimiter", F.transform(_fields(F.col("lines")[0], F.col("delimiter")), F.lower).alias("header"), F.slice("lines", 2, 1 << 30).alias("records"))
+    tables = tables.select("file_id", "delimiter", "header", F.posexplode("records").alias("pos", "line"))
     tables = tables.select("file_id", "pos", "header", _fields(F.col("line"), F.col("delimiter")).alias("f"))
     tables = tables.select("file_id", "pos", *[_named(F.col("header"), F.col("f"), n).alias(c) for c, n in (("artist", ARTIST_NAMES), ("title", TITLE_NAMES), ("link", LINK_NAMES))])
 
