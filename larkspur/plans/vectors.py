@@ -91,7 +91,15 @@ query(
     """WITH s AS (SELECT i.label AS query, q.vec_id AS seed, i.vec_id AS item, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 9) AS sim FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query, item ORDER BY sim DESC, seed) AS k FROM s), b AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY query, item)) / 0.12) AS e FROM r WHERE k <= 8)
     SELECT query, item, round(sum(e * sim) / sum(e), 6) AS relevance FROM b GROUP BY 1, 2""",
-)(lambda s, d: V.target_relevance(_pairs(s, d).select(F.col("label").alias("query"), F.col("query").alias("seed"), "item", F.col("score").alias("sim"))).withColumn("relevance", F.round("relevance", 6)))
+)(lambda s, d: _relevance(s, d))
+
+
+def _relevance(s, d):
+    """Every row as a query for its most similar seeds, so that only those are rows."""
+    v = vectors(s, d)
+    best = V.nearest(_asked(s, d), v, 8).select(F.col("query").alias("id"), F.col("item").alias("seed"), F.col("score").alias("sim"))
+    pairs = best.join(v.select("id", F.col("label").alias("query")), "id").select("query", "seed", F.col("id").alias("item"), "sim")
+    return V.target_relevance(pairs).withColumn("relevance", F.round("relevance", 6))
 
 
 def _members(s, d):
